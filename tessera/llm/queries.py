@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, simhash
+from . import byte_bpe, embedding_dedup, packing, simhash
 from .shared import table
 
 
@@ -18,5 +18,15 @@ def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component_id").cast("long").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op3_simhash_neardup)}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op3_simhash_neardup, op4_byte_bpe, op5_best_fit_packing)}
 ORACLES: dict[str, str] = {}
