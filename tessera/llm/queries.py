@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, packing, simhash
+from . import byte_bpe, embedding_dedup, line_dedup, packing, quality_rules, sharding, simhash
 from .shared import table
 
 
@@ -28,5 +28,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op3_simhash_neardup, op4_byte_bpe, op5_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.layout(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op3_simhash_neardup, op4_byte_bpe, op5_best_fit_packing, op7_line_dedup, op8_quality_rules, op10_hilbert_sharding)}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}

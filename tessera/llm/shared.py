@@ -32,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def constants(values: list[int]) -> Column:
+    """A constant array of whole numbers, folded once when the query is optimised."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 def share01(*cols: Column) -> Column:
     """A uniform number in [0, 1) that depends on the columns' values only."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
