@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, line_dedup, packing, quality_rules, sharding, simhash
+from . import byte_bpe, embedding_dedup, line_dedup, packing, pii, quality_rules, sharding, simhash
 from .shared import table
 
 
@@ -13,6 +13,10 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component_id").cast("long").alias("component_id"))
@@ -40,5 +44,5 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.layout(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op3_simhash_neardup, op4_byte_bpe, op5_best_fit_packing, op7_line_dedup, op8_quality_rules, op10_hilbert_sharding)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_pii_bootstrap, op3_simhash_neardup, op4_byte_bpe, op5_best_fit_packing, op7_line_dedup, op8_quality_rules, op10_hilbert_sharding)}
 ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
