@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, line_dedup, packing, pii, quality_rules, sharding, simhash
+from . import byte_bpe, embedding_dedup, langid, line_dedup, packing, pii, quality_classifier, quality_rules, sharding, simhash
 from .shared import table
 
 
@@ -32,6 +32,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,9 +44,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op9_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.layout(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_pii_bootstrap, op3_simhash_neardup, op4_byte_bpe, op5_best_fit_packing, op7_line_dedup, op8_quality_rules, op10_hilbert_sharding)}
+QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_pii_bootstrap, op3_simhash_neardup, op4_byte_bpe, op5_best_fit_packing, op6_hierarchical_langid, op7_line_dedup, op8_quality_rules, op9_rule_ensemble_quality, op10_hilbert_sharding)}
 ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
