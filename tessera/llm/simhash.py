@@ -117,19 +117,37 @@ def close_links(prints: DataFrame, radius: int = 3, tile: int = TILE, segments:
     return rows.groupBy("tile", "chunk", "part").applyInArrow(compare, "a bigint, b bigint")
 
 
+def _groups(docs: DataFrame, radius: int, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fingerprint) of every row, and (fingerprint, component_id)."""
+    ids = cut(with_fingerprint(docs.select("doc_id", "text"), words_per_shingle=words_per_shingle).select("doc_id", "fingerprint"))
+    prints = cut(ids.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
+    found = components(close_links(prints, radius), "a", "b")
+    named = prints.join(found, prints.rep == found.id, "left").select("fingerprint", F.coalesce("component_id", "rep").alias("component_id"))
+    return ids, named
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``fingerprint`` BIGINT and ``component_id``.
+    """(doc_id, fingerprint BIGINT, component_id) for every row of ``docs`` (doc_id, text, ...).
 
     component_id: the smallest doc_id reachable over links of ``radius`` bits or fewer. Null and wordless
     texts have fingerprint 0 and link like any other; rows with a null doc_id take part and get the
     component of their fingerprint (null if nothing in it has an id). Repeated rows stay, each with the
-    same component. An empty table gives an empty result. Columns named like the two new ones are replaced.
+    same component. An empty table gives an empty result; other columns are ignored.
     """
-    marked = with_fingerprint(docs.drop("component_id"), words_per_shingle=words_per_shingle)
-    ids = cut(marked.select("doc_id", "fingerprint"))
-    prints = cut(ids.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    found = components(close_links(prints, radius), "a", "b")
-    named = prints.join(found, prints.rep == found.id, "left").select("fingerprint", F.coalesce("component_id", "rep").alias("component_id"))
-    if set(docs.columns) <= {"doc_id", "text"}:
-        marked = ids
-    return marked.join(named, "fingerprint", "left")
+    ids, named = _groups(docs, radius, words_per_shingle)
+    return ids.join(named, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of each group of near duplicates: that of the smallest doc_id.
+
+    Of rows that repeat it, one stays; so does one row of each fingerprint that only rows without an id have.
+    """
+    ids, named = _groups(docs, radius, words_per_shingle)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    again = ids.join(named, "fingerprint", "left").where(first).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).count().where("count > 1")
+    out = with_fingerprint(docs, out="_print", words_per_shingle=words_per_shingle)
+    out = out.join(named.select(F.col("fingerprint").alias("_print"), F.col("component_id").alias("_first")), "_print", "left").where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    if not again.isEmpty():
+        out = out.withColumn("_print", F.when(F.col("_first").isNull(), F.col("_print"))).dropDuplicates(["_first", "_print"])
+    return out.drop("_print", "_first")
