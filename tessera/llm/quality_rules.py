@@ -32,9 +32,7 @@ def _bound(value: Column, use) -> Column:
 
 def _triples(words: Column) -> Column:
     """Hashes of all windows of three words (words: three at least)."""
-    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    triples = F.zip_with(pairs, F.slice(words, 3, F.size(words)), lambda p, c: F.xxhash64(p["a"], p["b"], c))
-    return F.slice(triples, 1, F.size(words) - 2)
+    return F.transform(F.slice(words, 1, F.size(words) - 2), lambda a, i: F.xxhash64(a, F.get(words, i + 1), F.get(words, i + 2)))
 
 
 def _covered(hashes: Column) -> Column:
@@ -55,32 +53,45 @@ def _covered(hashes: Column) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words that lie in 3-word windows found twice or more."""
     of = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_bound(_triples(words), of))
+    return _bound(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(_bound(_triples(w), of)))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     text = F.coalesce("text", F.lit(""))
-    trimmed = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-    docs = docs.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+")))
+    docs = docs.withColumn("_trim", F.btrim(text, F.lit(_BLANKS)))
+    docs = docs.withColumn("_words", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", f"{SPACE}+")))
     full = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
     counts = {
         "n_words": F.size("_words"),
-        "word_chars": F.length(F.regexp_replace(text, f"{SPACE}+", "")),
+        "word_chars": F.length(F.array_join("_words", "")),
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")),
         "n_dup_lines": _bound(full, lambda x: F.size(x) - F.size(F.array_distinct(x))),
         "n_repeat_words": repeat_words(F.col("_words")),
     }
-    docs = docs.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_words")
+    docs = docs.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_words", "_trim")
     return docs.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]+"), 0)
+
+
+def _bucket(*tokens: Column) -> Column:
+    return F.xxhash64(*tokens).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
 def buckets(text: Column) -> Column:
-    """The buckets of a text's n-grams: its tokens, and each token with the next."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]+"), 0)
-    at = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
-    both = lambda t: F.concat(F.transform(t, lambda a: at(a)), F.zip_with(t, F.slice(t, 2, F.size(t)), lambda a, b: at(a, b)))
-    return _bound(tokens, both)
+    """The buckets of a text's n-grams: its tokens, and each token with the next (the last with none)."""
+    return _bound(_tokens(text), lambda t: F.concat(F.transform(t, lambda a: _bucket(a)), F.zip_with(t, F.slice(t, 2, F.size(t)), lambda a, b: _bucket(a, b))))
+
+
+def mean_ratio(text: Column, ratio: list[int]) -> Column:
+    """The mean of the n-grams' ratios, 0 where there are none."""
+    table = constants(ratio)
+    each = lambda t: F.zip_with(t, F.slice(t, 2, F.size(t)), lambda a, b: F.get(table, _bucket(a)) + F.get(table, _bucket(a, b)))
+    total = lambda r: F.when(F.size(r) > 0, F.aggregate(r, F.lit(0).cast("long"), lambda acc, x: acc + x) / (2 * F.size(r)) / SCALE).otherwise(0.0)
+    return _bound(_bound(_tokens(text), each), total)
 
 
 def ratios(docs: DataFrame) -> list[int]:
@@ -109,7 +120,5 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, ratio: list[int] | None
     trusted document all ratios are 0. An empty table gives an empty result. Columns named like the new ones
     are replaced.
     """
-    table = constants(ratios(docs) if ratio is None else ratio)
-    total = F.aggregate(buckets(F.col("text")), F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("n")), lambda acc, b: F.struct((acc["s"] + F.get(table, b)).alias("s"), (acc["n"] + 1).alias("n")), lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"] / SCALE).otherwise(0.0))
-    docs = base_counts(docs).withColumn("llr", total)
+    docs = base_counts(docs).withColumn("llr", mean_ratio(F.col("text"), ratios(docs) if ratio is None else ratio))
     return docs.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
