@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: First of the 256 characters that stand for bytes, in a private-use block.
-_BLOCK = 0xE000
+BLOCK = 0xE000
 #: Pre-tokens that a Python worker remembers at most.
 _REMEMBERED = 400_000
 #: A space within white space, where a text can't be cut by spaces alone.
@@ -36,7 +36,7 @@ def as_chars(token: bytes) -> str:
     return token.decode("latin-1").translate(_CHARS)
 
 
-_CHARS = {k: _BLOCK + k for k in range(256)}
+_CHARS = {k: BLOCK + k for k in range(256)}
 
 
 def _varint(n: int) -> bytes:
@@ -55,10 +55,10 @@ def _field(number: int, value: bytes | int | float) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
-def model_bytes(tokens: list[bytes]) -> bytes:
+def model_bytes(tokens: list[str]) -> bytes:
     """A serialised sentencepiece model: piece 0 is unknown, piece k + 1 the token of rank k."""
     pieces = [_field(1, _field(1, b"<unk>") + _field(2, 0.0) + _field(3, 2))]
-    pieces += [_field(1, _field(1, as_chars(t).encode()) + _field(2, -float(k)) + _field(3, 1)) for k, t in enumerate(tokens)]
+    pieces += [_field(1, _field(1, t.encode()) + _field(2, -float(k)) + _field(3, 1)) for k, t in enumerate(tokens)]
     trainer = _field(2, _field(3, 2) + _field(4, len(tokens) + 1) + _field(40, 0) + _field(41, (1 << 64) - 1) + _field(42, (1 << 64) - 1) + _field(43, (1 << 64) - 1))
     normalizer = _field(3, _field(1, b"identity") + _field(3, 0) + _field(4, 0) + _field(5, 0))
     return b"".join(pieces) + trainer + normalizer
@@ -73,7 +73,7 @@ class Codec(dict):
 
         self.tokens = read_ranks(path)
         self.rank = {t: k for k, t in enumerate(self.tokens)}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes([as_chars(t) for t in self.tokens]))
         # White space as Unicode has it: Python's \s also takes the four separators \x1c to \x1f.
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
 

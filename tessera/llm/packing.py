@@ -15,6 +15,7 @@ from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,37 +23,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .byte_bpe import BLOCK, model_bytes
 from .shared import cut
 
 MAX_TOKENS, END = 4096, 1
+#: Texts that a Python worker splits together.
+TOGETHER = 256
 #: Words that a Python worker remembers at most; slices of runs of equal lengths.
-_REMEMBERED, SLICES = 400_000, 10_000
+_REMEMBERED, SLICES = 600_000, 10_000
+
+
+#: A word whose ids are those of its lower-cased letters and of the signs after them: normalisation leaves
+#: precomposed Latin letters as they are, and no pre-token holds both letters and signs.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#$%&]*)")
+
+
+_INNER = {b: BLOCK + b for b in range(256)}
+_LAST = [chr(BLOCK + 256 + b) for b in range(256)]
 
 
 class Words(dict):
     """Remembers words (parts between spaces) and the bytes of their ids.
 
     No pre-token spans white space and normalisation doesn't reach across it, so the ids of a text are
-    those of its words in turn.
+    those of its words in turn. Plain words go through a sentencepiece model written from the same merges,
+    in which a word's last byte has a character of its own; all others through the tokenizer.
     """
 
-    _spaces = re.compile(r"[ \n\r\t]+")
-
     def __init__(self, path: str) -> None:
+        import json
+
+        import sentencepiece
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-
-    def encode(self, text: str | None) -> bytes:
-        words = self._spaces.split(text or "")
+        with open(path, encoding="utf-8") as file:
+            bpe = json.load(file)["model"]
+        # Bytes as printable characters: those that print stand for themselves, the others follow from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        char = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+        byte = {c: b for b, c in char.items()}
+        end = bpe["end_of_word_suffix"]
+
+        def piece(token: str) -> str:
+            last = token.endswith(end)
+            codes = [byte[c] for c in token.removesuffix(end)]
+            return "".join(chr(BLOCK + c) for c in codes[: len(codes) - last]) + (chr(BLOCK + 256 + codes[-1]) if last else "")
+
+        made = [a + b for a, b in (m if isinstance(m, list) else m.split(" ") for m in bpe["merges"])]
+        single = [t for t in bpe["vocab"] if len(t.removesuffix(end)) == 1]
+        pieces = list(dict.fromkeys([*made, *single]))
+        self.ids = np.array([0, *(bpe["vocab"][t] for t in pieces)], "<u4")
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes([piece(t) for t in pieces]))
+
+    def learn(self, new: set[str]) -> None:
+        """Remember ``new`` words, encoded together."""
+        plain, others, known = {}, [], self.keys()
+        for word in new:
+            found = _PLAIN.fullmatch(word)
+            if found:
+                plain[word] = (found[1].lower(), found[2])
+            else:
+                others.append(word)
+        for word, e in zip(others, self.model.encode_batch_fast(others, add_special_tokens=False)):
+            self[word] = np.array(e.ids, "<u4").tobytes()
+        parts = [x for x in {x for pair in plain.values() for x in pair if x} if x not in known]
+        mapped = [x.encode().decode("latin-1") for x in parts]
+        mapped = [x[:-1].translate(_INNER) + _LAST[ord(x[-1])] for x in mapped]
+        encoded = self.pieces.encode(mapped, num_threads=1)
+        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) * 4).tolist()
+        flat = self.ids[np.fromiter(chain.from_iterable(encoded), np.int64)].tobytes()
+        self[""] = b""
+        self.update(zip(parts, (flat[a:b] for a, b in zip([0, *ends], ends))))
+        self.update((word, self[letters] + self[signs]) for word, (letters, signs) in plain.items())
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self) > _REMEMBERED:
             self.clear()
-        new = list({w for w in words if w not in self})
+        new = set(chain.from_iterable(split)).difference(self.keys())
         if new:
-            for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+            self.learn(new)
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -83,12 +136,13 @@ def pieces(docs: DataFrame, size: int = MAX_TOKENS, path: str | None = None, wit
         end = np.uint32(END).astype("<u4").tobytes()
         for batch in batches:
             out, ends = [], [0]
-            for text in batch:
-                ids = words(path).encode(text.as_py()) + end
-                for k, s in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[s : s + 4 * size]
-                    out.append((k, s // 4, len(part) // 4, zlib.crc32(part), part))
-                ends.append(len(out))
+            for at in range(0, len(batch), TOGETHER):
+                for ids in words(path).encode(batch[at : at + TOGETHER].to_pylist()):
+                    ids += end
+                    for k, s in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[s : s + 4 * size]
+                        out.append((k, s // 4, len(part) // 4, zlib.crc32(part), part))
+                    ends.append(len(out))
             columns = list(zip(*out)) or [()] * 5
             made = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], fields=[pa.field(*k) for k in kinds])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
