@@ -74,7 +74,7 @@ def rubric(reply: Column) -> Column:
 def flaws(found: Column) -> Column:
     """Known flaws only, trimmed, each once, the first five."""
     known = F.array(*map(F.lit, FLAWS))
-    return F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), F.trim), lambda x: F.array_contains(known, x))), 1, 5)
+    return F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.array_contains(known, x))), 1, 5)
 
 
 def category(name: Column) -> Column:

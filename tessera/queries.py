@@ -239,7 +239,7 @@ def q_env_face_override(spark, sf_dir):
     return tables.scored(spark, sf_dir).select("id", F.round(scores.face_score(F.col("face_count"), F.col("face_ratio"), overall), 6).alias("face_score"))
 
 
-_CLAMP = "round(greatest(1, least(10, CAST(o ->> '$.{0}' AS DOUBLE))), 1)"
+_CLAMP = "CASE WHEN o IS NOT NULL THEN round(greatest(1, least(10, CAST(o ->> '$.{0}' AS DOUBLE))), 1) END"
 
 
 def _rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
