@@ -1,37 +1,20 @@
-"""What several operators of this subpackage need: tables, written cuts of lineage, link forests and components."""
+"""What several operators of this subpackage need besides the tables, cuts and components of the package."""
 
 from __future__ import annotations
 
-import uuid
-
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, forest
+from ..sources.shared import cut, table
+
+__all__ = ["NOT_SPACE", "SPACE", "components", "constants", "cut", "forest", "share01", "table"]
+
 #: Java class of the six ASCII white-space characters; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one below the warehouse (also shared)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuts").rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the shared folder and go on from the written table, so that a lost
-    executor costs a re-read, not a recomputation of everything before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def constants(values: list[int]) -> Column:
     """A constant array of whole numbers, folded once when the query is optimised."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
@@ -40,38 +23,3 @@ def constants(values: list[int]) -> Column:
 def share01(*cols: Column) -> Column:
     """A uniform number in [0, 1) that depends on the columns' values only."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
-
-
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` vertices over the edges ``i[k] - j[k]``."""
-    root = np.arange(n)
-    while len(i):
-        before = root.copy()
-        np.minimum.at(root, i, before[j])
-        np.minimum.at(root, j, before[i])
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(id, component_id) of every vertex of an undirected graph but the smallest of each component.
-
-    Alternating large-star and small-star steps: each halves the distance to the smallest vertex, and a
-    vertex never gathers its neighbours (only their minimum, pre-aggregated). Each round is cut by a
-    written table; the loop ends when a round leaves the set of edges as it was.
-    """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now, mark = cut(now), None
-    while True:
-        now_mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now_mark == mark or not now_mark[0]:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
-        mark = now_mark
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
