@@ -1,0 +1,115 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import faces, prompts
+from tessera.plans import boards, plugins, sinks
+
+SQUARE = [(0.3, 0.2), (0.7, 0.2), (0.3, 0.8), (0.7, 0.8), (0.5, 0.5)]
+
+
+def face(blink=0.1, smile=0.6, points=SQUARE):
+    return (points, {"eyeBlinkLeft": blink, "eyeBlinkRight": 0.0, "mouthSmileLeft": smile, "mouthSmileRight": smile})
+
+
+def measured(spark, found):
+    df = spark.createDataFrame([(found,)], f"faces array<{faces.FACE}>")
+    return df.select(faces.metrics(F.col("faces"), F.lit(100), F.lit(100)).alias("m")).first()["m"]
+
+
+def test_one_face(spark):
+    m = measured(spark, [face()])
+    assert (m["face_count"], m["has_face"], m["any_blink"], m["main_blink"]) == (1, True, False, False)
+    assert m["ratio"] == pytest.approx(0.24) and m["second_ratio"] == 0 and m["smile"] == pytest.approx(0.6)
+
+
+def test_blink_equal_and_small_faces(spark):
+    assert measured(spark, [face(blink=0.8)])["main_blink"]
+    m = measured(spark, [face(), face(), face()])
+    assert m["face_count"] == 3 and m["second_ratio"] == 1.0
+    m = measured(spark, [face(blink=0.9, points=[(0.1, 0.1), (0.2, 0.2)]), face()])
+    assert m["any_blink"] and not m["main_blink"] and m["main"]["i"] == 1
+
+
+@pytest.mark.parametrize("found", [None, [], [face(points=[(0.5, 0.5)])]])
+def test_no_box(spark, found):
+    m = measured(spark, found)
+    assert m["ratio"] == 0 and m["main"] is None and not m["main_blink"]
+
+
+def test_prompts(spark):
+    rows = [(None,), ("【人脸检测信息】未检测到人脸，请聚焦场景本身。",), ("检测到 1 张人脸",)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "s string").select(prompts.prompt(F.col("s")).alias("p")).collect()]
+    assert got[0] == got[1] and "1 张人脸" in got[2] and all("闭眼" in p and "人文纪实" in p for p in got)
+
+
+def test_scorer_rows_fail_alone(spark):
+    def load():
+        return lambda x: 1 / x
+
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([0.0, 0.01, -2.0, 4.0])], "id int, v double")
+    got = [r["s"] for r in df.select("id", plugins.scored(F.col("v"), load).alias("s")).orderBy("id").collect()]
+    assert got[0]["score"] is None and "zero" in got[0]["error"]
+    assert [g["score"] for g in got[1:]] == [10.0, 0.0, 0.25] and all(g["error"] is None for g in got[1:])
+
+    def missing():
+        raise RuntimeError("no model")
+
+    assert {r["s"]["error"] for r in df.select(plugins.scored(F.col("v"), missing).alias("s")).collect()} == {"no model"}
+
+
+def test_remote_judge_is_tried_again(spark):
+    def connect():
+        calls = {}
+
+        def ask(prompt):
+            calls[prompt] = calls.get(prompt, 0) + 1
+            if prompt == "never" or calls[prompt] < 2:
+                raise OSError("busy")
+            return prompt.upper()
+
+        return ask
+
+    df = spark.createDataFrame([(1, "a"), (2, "never")], "id bigint, prompt string")
+    got = {r["id"]: (r["reply"], r["error"]) for r in plugins.asked(df, connect, wait=0.01).collect()}
+    assert got == {1: ("A", None), 2: (None, "busy")}
+
+
+def test_fallback_is_listed_once(spark):
+    skipped = []
+
+    def broken():
+        raise ValueError
+
+    for _ in range(2):
+        assert plugins.fallback(broken, lambda: spark.range(3), skipped, "l4").count() == 3
+    assert skipped == ["l4"] and plugins.fallback(lambda: spark.range(2), broken, skipped, "l2").count() == 2
+
+
+def items(spark, n=30):
+    rows = [(k, k * 7919 % 4, f"/p/{k}.jpg", f"{k}.jpg", 5.0, 5.0, 5.0, 0.0 if k % 3 else 7.0, float(k * 13 % 11), 0.0, None) for k in range(n)]
+    return spark.createDataFrame(rows, "id bigint, h bigint, path string, filename string, composition double, color double, lighting double, vlm double, topiq double, face double, objective double")
+
+
+def test_boards_penalise_once(spark):
+    plain = {r["id"]: r["final"] for r in boards.fused(items(spark)).collect()}
+    got = {r["id"]: r for r in boards.photo_board(items(spark), n=30).collect()}
+    first = max(got, key=lambda k: (k * 13 % 11, -k))
+    assert not got[first]["penalised"] and sum(r["penalised"] for r in got.values()) == 29  # all hashes are near
+    assert all(r["final"] == pytest.approx(plain[k] * (0.85 if r["penalised"] else 1)) for k, r in got.items())
+
+
+def test_written_board(spark, tmp_path):
+    sinks.write_board(boards.fused(items(spark)), str(tmp_path), 5, video=True)
+    full, top, shown = (spark.read.json(str(tmp_path / f"video_{x}")) for x in ("full_ranking", "ranking", "names"))
+    assert full.count() == 30 and top.count() == 5
+    best = full.orderBy(F.col("final").desc(), "path").first()
+    assert shown.where("name like 'v01_%'").first()["name"] == f"v01_{best['filename']}"
+    row = sinks.summary(items(spark).withColumn("rejected", F.lit(False)), items(spark).withColumn("cluster_id", F.col("h")), top).first()
+    assert tuple(row) == (30, 0, 26, 4, 5)
+
+
+def test_progress_swallows_errors():
+    seen = []
+    sinks.Progress(seen.append)._say(event="x")
+    sinks.Progress(lambda e: 1 / 0)._say(event="x")
+    assert seen == [{"event": "x"}]
