@@ -53,4 +53,4 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_pii_bootstrap, op3_simhash_neardup, op4_byte_bpe, op5_best_fit_packing, op6_hierarchical_langid, op7_line_dedup, op8_quality_rules, op9_rule_ensemble_quality, op10_hilbert_sharding)}
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_embedding_neardup": embedding_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}

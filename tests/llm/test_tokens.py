@@ -1,0 +1,96 @@
+"""Tokens and packing against the tokenizers' own libraries."""
+
+import base64
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from tessera.llm import byte_bpe, packing
+
+WORD, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+PARTS = [*" \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 　ab'sTé漢字🙂1٣²½._-!#́\x00ßΣİ̸가", "  ", "   ", "'s", "'ll", " the", "\n\n", "<|endoftext|>", "THE", "ndtion.", "Élan,"]
+
+
+def samples(n, seed):
+    rng = random.Random(seed)
+    return ["", "a", " ", "word " * 3000, "x" * 30_000, *("".join(rng.choices(PARTS, k=rng.randrange(1, 25))) for _ in range(n))]
+
+
+def test_bytes_equal_tiktoken(spark):
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = samples(2000, 1)
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(None, None, "x"), (0, "", "x")]
+    got = byte_bpe.encode_documents(spark.createDataFrame(rows, "doc_id bigint, text string, ids string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = r["text"] or ""
+        assert np.frombuffer(r["ids"], "<u4").tolist() == plain.encode_ordinary(text)
+        assert bytes(r["decoded"]) == text.encode()
+    assert byte_bpe.encode_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_words_equal_tokenizers():
+    plain = Tokenizer.from_file(WORD)
+    plain.encode_special_tokens = True
+    texts = samples(3000, 2)
+    for text, ids in zip(texts, packing.Words(WORD).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def check_layout(rows, size):
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for some in by.values():
+        at = 0
+        for r in sorted(some, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= size
+    return len(by)
+
+
+@pytest.mark.parametrize("size", [16, 4096])
+def test_packing(spark, size):
+    plain = Tokenizer.from_file(WORD)
+    plain.encode_special_tokens = True
+    texts = [None, *samples(400, 3), *["same text again"] * 100]
+    rows = [(k if k % 5 else None, t, 7) for k, t in enumerate(texts)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string, piece int").repartition(3), size).collect()
+    want = []
+    for k, t, _ in rows:
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(str(k), s // size, s, len(ids[s : s + size]), zlib.crc32(ids[s : s + size].tobytes())) for s in range(0, len(ids), size)]
+    assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    used, least = check_layout(got, size), -(-sum(w[3] for w in want) // size)
+    assert used <= least * 1.02 + 1
+    assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string"), size).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_sweep_is_best_fit(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randrange(1, 100) for _ in range(600)] + [50] * 200 + [100] * 3
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    placed, room = {n: 0 for n in counts}, {}
+    for length, rank, n, first, offset in packing.sweep(counts, 100):
+        assert rank == placed[length]
+        placed[length] += n
+        for k in range(first, first + n):
+            assert room.get(k, 0) == offset and offset + length <= 100
+            room[k] = offset + length
+    assert placed == counts and sorted(room) == list(range(len(room)))
+    gaps = []  # plain best-fit decreasing
+    for n in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((100 if fit is None else fit) - n)
+    assert len(room) <= len(gaps) + 2
