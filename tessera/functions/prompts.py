@@ -9,7 +9,7 @@ from ..config import CATEGORIES, FLAWS
 
 NO_FACE = "未检测到人脸"
 HEAD = "You judge photographs. Look at the whole picture and answer with one JSON object.\n"
-FACES = "{FACES}\nDecide which person, if any, is the subject; closed eyes of the subject are a flaw, those of passers-by aren't.\n"
+FACES = "{FACES}\nDecide which person, if any, is the subject; closed eyes of the subject are a flaw, those of passers-by are not.\n"
 PLAIN = "No person needs judging; attend to the scene.\n"
 TASK = (
     "Give composition_score, color_score, lighting_score and overall_aesthetic_score from 1 to 10, a short reason, "

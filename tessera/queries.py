@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import PLATFORMS
-from .functions import fingerprints, names, scores
+from .functions import faces, fingerprints, names, prompts, scores
 from .operators import close, frames as frame_ops, merge, ranking
 from .plans import boards
 from .sources import tables
@@ -228,6 +228,30 @@ def q_face_bins(spark, sf_dir):
     return tables.scored(spark, sf_dir).select("id", scores.face_summary(*map(F.col, names_)).alias("summary"))
 
 
+@_query("""WITH f AS (SELECT vec_id AS id, unnest(range(least(vec_id % 4, 3))) AS j FROM embeddings),
+  c AS (SELECT *, id * 7 % 50 / 100::DOUBLE + j * 0.05::DOUBLE AS x, id * 5 % 50 / 100::DOUBLE AS y FROM f),
+  b AS (SELECT *, (CAST(floor((x + 0.1::DOUBLE + id * (j + 3) % 20 / 100::DOUBLE) * 1024) AS BIGINT) - CAST(floor(x * 1024) AS BIGINT))
+    * (CAST(floor((y + 0.2::DOUBLE + id * (j + 1) % 15 / 100::DOUBLE) * 1024) AS BIGINT) - CAST(floor(y * 1024) AS BIGINT)) AS area,
+    id * (j + 11) % 10 / 10::DOUBLE > 0.5::DOUBLE AS blink, id * (j + 13) % 8 / 16::DOUBLE AS smile FROM c),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY area DESC, j) AS k FROM b),
+  m AS (SELECT id, CAST(count(*) AS INT) AS n, bool_or(blink) AS one_blinks, bool_or(blink AND k = 1) AS first_blinks, max(smile) AS smile, max(area) FILTER (WHERE k = 1) AS a, max(area) FILTER (WHERE k = 2) AS a2 FROM r GROUP BY id)
+  SELECT vec_id AS id, coalesce(n, 0) AS face_count, coalesce(one_blinks, false) AS any_blink, coalesce(first_blinks, false) AS main_blink, coalesce(smile, 0) AS smile,
+    coalesce(round(a / 1048576::DOUBLE, 4), 0) AS ratio, coalesce(round(a2 / a::DOUBLE, 4), 0) AS second_ratio FROM embeddings LEFT JOIN m ON m.id = vec_id""")
+def q_face_geometry(spark, sf_dir):
+    rows = tables.detections(spark, sf_dir).select("id", faces.metrics(F.col("faces"), F.lit(1024), F.lit(1024)).alias("m"))
+    return rows.select("id", *[F.col("m")[k].alias(k) for k in ("face_count", "any_blink", "main_blink", "smile", "ratio", "second_ratio")])
+
+
+_PROMPT = prompts.TASK.replace("{FLAWS}", " / ".join(prompts.FLAWS)).replace("{CATEGORIES}", " / ".join(prompts.CATEGORIES))
+
+
+@_query(f"""SELECT event_id, md5('{prompts.HEAD}' || CASE WHEN event_id % 3 = 0 THEN replace('{prompts.FACES}', '{{FACES}}', 'faces: ' || event_id) ELSE '{prompts.PLAIN.replace("'", "''")}' END || '{_PROMPT}') AS prompt FROM events""")
+def q_prompt(spark, sf_dir):
+    i = F.col("event_id")
+    summary = F.when(i % 3 == 0, F.concat(F.lit("faces: "), i.cast("string"))).when(i % 3 == 1, prompts.NO_FACE)
+    return table(spark, sf_dir, "events").select("event_id", F.md5(prompts.prompt(summary)).alias("prompt"))
+
+
 @_query(f"WITH {_SCORED} SELECT id, main_blink OR (face_count > 0 AND face_ratio > 0.1 AND clarity < 0.1) AS flagged FROM scored")
 def q_face_hard_flag(spark, sf_dir):
     return tables.scored(spark, sf_dir).select("id", scores.face_flag(F.col("face_count") > 0, F.col("face_ratio"), F.col("clarity"), F.col("main_blink")).alias("flagged"))

@@ -62,3 +62,17 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(whole(', "hard_flaws": ["过曝"], "category": "宠物"'))
     )
     return table(spark, sf_dir, "events").select("event_id", reply.alias("reply"))
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, faces: up to three made-up faces of each embedding."""
+    i = F.col("vec_id")
+
+    def face(j: int):
+        x, y = i * 7 % 50 / 100.0 + j * 0.05, i * 5 % 50 / 100.0
+        far = F.struct((x + 0.1 + i * (j + 3) % 20 / 100.0).alias("x"), (y + 0.2 + i * (j + 1) % 15 / 100.0).alias("y"))
+        shapes = F.create_map(F.lit("eyeBlinkLeft"), i * (j + 11) % 10 / 10.0, F.lit("mouthSmileLeft"), i * (j + 13) % 8 / 8.0)
+        return F.struct(F.array(F.struct(x.alias("x"), y.alias("y")), far).alias("landmarks"), shapes.alias("blendshapes"))
+
+    some = F.slice(F.array(face(0), face(1), face(2)), F.lit(1), F.least(i % 4, F.lit(3)).cast("int"))
+    return table(spark, sf_dir, "embeddings").select(i.alias("id"), some.alias("faces"))
