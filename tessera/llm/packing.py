@@ -42,7 +42,7 @@ _INNER = {b: BLOCK + b for b in range(256)}
 _LAST = [chr(BLOCK + 256 + b) for b in range(256)]
 
 
-class Words(dict):
+class Words:
     """Remembers words (parts between spaces) and the bytes of their ids.
 
     No pre-token spans white space and normalisation doesn't reach across it, so the ids of a text are
@@ -56,6 +56,7 @@ class Words(dict):
         import sentencepiece
         from tokenizers import Tokenizer
 
+        self.known: dict[str, bytes] = {}
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
@@ -79,7 +80,7 @@ class Words(dict):
 
     def learn(self, new: set[str]) -> None:
         """Remember ``new`` words, encoded together."""
-        plain, others, known = {}, [], self.keys()
+        plain, others, known = {}, [], self.known
         for word in new:
             found = _PLAIN.fullmatch(word)
             if found:
@@ -87,25 +88,25 @@ class Words(dict):
             else:
                 others.append(word)
         for word, e in zip(others, self.model.encode_batch_fast(others, add_special_tokens=False)):
-            self[word] = np.array(e.ids, "<u4").tobytes()
+            known[word] = np.array(e.ids, "<u4").tobytes()
         parts = [x for x in {x for pair in plain.values() for x in pair if x} if x not in known]
         mapped = [x.encode().decode("latin-1") for x in parts]
         mapped = [x[:-1].translate(_INNER) + _LAST[ord(x[-1])] for x in mapped]
         encoded = self.pieces.encode(mapped, num_threads=1)
         ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) * 4).tolist()
         flat = self.ids[np.fromiter(chain.from_iterable(encoded), np.int64)].tobytes()
-        self[""] = b""
-        self.update(zip(parts, (flat[a:b] for a, b in zip([0, *ends], ends))))
-        self.update((word, self[letters] + self[signs]) for word, (letters, signs) in plain.items())
+        known[""] = b""
+        known.update(zip(parts, (flat[a:b] for a, b in zip([0, *ends], ends))))
+        known.update((word, known[letters] + known[signs]) for word, (letters, signs) in plain.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self) > _REMEMBERED:
-            self.clear()
-        new = set(chain.from_iterable(split)).difference(self.keys())
+        if len(self.known) > _REMEMBERED:
+            self.known.clear()
+        new = set(chain.from_iterable(split)).difference(self.known)
         if new:
             self.learn(new)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
