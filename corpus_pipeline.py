@@ -27,7 +27,7 @@ def _apply(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataF
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
-    return _apply(docs, lambda d: quality_rules.judge(d).where("kept"))
+    return _apply(docs, quality_rules.passed)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

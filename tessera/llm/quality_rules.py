@@ -122,3 +122,13 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, ratio: list[int] | None
     """
     docs = base_counts(docs).withColumn("llr", mean_ratio(F.col("text"), ratios(docs) if ratio is None else ratio))
     return docs.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+
+
+def passed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that judge() keeps.
+
+    The verdict is exploded, not filtered by: a filter would be moved below the columns that it is made of,
+    and work them out again for each of their uses.
+    """
+    one = F.explode(F.filter(F.array("kept"), lambda k: k)).alias("_kept")
+    return judge(docs).select(*docs.columns, one).drop("_kept")
