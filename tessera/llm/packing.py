@@ -1,20 +1,20 @@
 """Best-fit packing of token sequences.
 
-Documents and gaps are kept in order of size as runs of equal sizes. In a superstep the runs of documents
-sweep over the runs of gaps: each takes its successor, the smallest gap that it fits; where more documents
-than gaps meet, the rank within the run decides; the gaps are updated and the step is repeated. Runs are
-counted by Spark over all pieces; there are never more runs than sizes, so a sweep does not grow with the
-corpus. The matches, intervals of ranks to intervals of sequences, are then joined back to the pieces.
+Documents and gaps are kept as runs of equal sizes, counted over all pieces, and dealt out by ranges of
+size. In a superstep the ranges are swept side by side: every run of documents takes its successor, the
+smallest gap that it fits; where more documents than gaps meet, the longest go first, and within a run the
+rank decides; what found nothing in its range is swept once more across ranges; the gaps are updated and the
+step is repeated. A gap at least halves in every step that uses it, so there are few steps; long documents
+enter before short ones, which fill what those leave. The matches, intervals of ranks to intervals of
+sequences, are then joined back to the pieces.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -31,6 +31,11 @@ MAX_TOKENS, END = 4096, 1
 TOGETHER = 256
 #: Words that a Python worker remembers at most; slices of runs of equal lengths.
 _REMEMBERED, SLICES = 600_000, 10_000
+#: Ranges of sizes swept side by side; what a run is: documents, gaps or a match.
+RANGES = 16
+#: Documents longer than these parts of a sequence enter before shorter ones, which then fill what is left.
+ENTER = (2, 3, 4, 5, 6, 8, 12)
+DOCS, GAPS, MATCH = range(3)
 
 
 #: A word whose ids are those of its lower-cased letters and of the signs after them: normalisation leaves
@@ -153,72 +158,104 @@ def pieces(docs: DataFrame, size: int = MAX_TOKENS, path: str | None = None, wit
     return docs.select("doc_id", F.inline(cut_up(F.col("text"))))
 
 
-def sweep(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
-    """Matches (length, first rank, documents, first sequence, offset) for ``counts`` of pieces by length.
+def sweep(group: pa.Table) -> pa.Table:
+    """One range of runs (kind, size, first, n, seq, seqs, gap): a documents' run takes its successor, the smallest free gap that it fits.
 
-    Document k of a match goes to sequence ``first sequence + k``, at ``offset``. Longest first; each takes
-    the smallest gap that it fits, and opens a sequence where there is none.
+    In order of size each gaps' run takes the longest documents below it that are still free; the others
+    wait for a larger gap. Of one length a sequence takes as many as fit. Where a length is used up, what is
+    left of the gap goes to the next longest; otherwise it is a gap of the next sweep, less than half as
+    large. Matches pass as they are.
     """
-    gaps: dict[int, deque[list[int]]] = {}  # gap -> intervals [first sequence, sequences]
-    order: list[int] = []
-    out, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = deque()
-                insort(order, gap)
-            gaps[gap].append([first, n])
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(order, length)
-            if at == len(order):  # as many sequences as their rest will take up by itself
-                per = size // length
-                n = -(-left // per)
-                first, opened = opened, opened + n
-                gap = size
-            else:
-                gap = order[at]
-                first, n = gaps[gap][0]
-            n = min(n, left)
-            if at < len(order):
-                run = gaps[gap][0]
-                run[0] += n
-                run[1] -= n
-                if not run[1]:
-                    gaps[gap].popleft()
-                    if not gaps[gap]:
-                        del gaps[gap]
-                        order.pop(at)
-            out.append((length, rank, n, first, size - gap))
-            put(gap - length, first, n)
-            rank, left = rank + n, left - n
-    return out
+    rows = sorted(zip(*(group.column(c).to_pylist() for c in group.column_names)), key=lambda r: (r[1], r[0], r[2]))
+    out = [r for r in rows if r[0] == MATCH]
+    waiting: list[list[int]] = []  # [length, first, n], longest last
+    for kind, size, first, n, *_ in rows:
+        if kind == DOCS:
+            waiting.append([size, first, n])
+        free = [(size, first, n)] if kind == GAPS else []
+        while free:
+            size, first, n = free.pop()
+            if not waiting or waiting[-1][0] > size:
+                out.append((GAPS, size, first, n, 0, 0, 0))
+                continue
+            length, rank, left = waiting.pop()
+            layers = min(size // length, left)
+            seqs = min(n, left // layers)
+            out.append((MATCH, length, rank, seqs * layers, first, seqs, size))
+            if left > seqs * layers:
+                waiting.append([length, rank + seqs * layers, left - seqs * layers])
+            if n > seqs:
+                free.append((size, first + seqs, n - seqs))
+            if size > layers * length:
+                free.append((size - layers * length, first, seqs))
+    out += [(DOCS, *run, 0, 0, 0) for run in waiting]
+    return pa.table({f.name: pa.array(c, f.type) for f, c in zip(group.schema, zip(*out))}, schema=group.schema)
+
+
+def match(counts: DataFrame, size: int) -> DataFrame:
+    """(length, first, n, seq, seqs, gap): which ranks of each length go to which sequences, for ``counts`` (length, n).
+
+    Document k of a match goes to sequence ``seq + k % seqs``, ``k div seqs`` documents after the place where the
+    gap began. A superstep is a sweep in every range of sizes, and one over what the ranges left; then the gaps
+    are updated. Where a document is longer than any gap, as many sequences are opened as the lengths that
+    entered, or their numbers in a sequence, need at least.
+    """
+    spark = counts.sparkSession
+    part = F.floor((F.col("size") - 1) / max(1, size // RANGES))
+    runs = counts.select(F.lit(DOCS).alias("kind"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("first"), "n", *[F.lit(0).cast("long").alias(c) for c in ("seq", "seqs", "gap")])
+    kinds, done, opened, above = runs.schema, [], 0, size
+    is_docs, tokens = F.col("kind") == DOCS, F.col("size") * F.col("n")
+    state = runs.limit(0)
+    for least in dict.fromkeys([*(size // k for k in ENTER), 0]):
+        state = state.union(runs.where((F.col("size") > least) & (F.col("size") <= above)))
+        above = least
+        while True:
+            # One row each; the sums of tokens stay whole numbers.
+            room = state.agg(F.max(F.when(is_docs, F.col("size"))).alias("longest"), F.coalesce(F.max(F.when(~is_docs, F.col("size"))), F.lit(0)).alias("gap"), F.sum(F.when(is_docs, tokens).when(F.col("size") > least, -tokens)).alias("over")).first()
+            if room["longest"] is None:
+                break
+            if room["longest"] > room["gap"]:
+                stuck = state.where(is_docs & (F.col("size") > room["gap"]))
+                need = stuck.agg(F.sum(tokens).alias("all"), F.ceil(F.sum(F.when(F.col("size") * ENTER[-1] > size, F.col("n") / F.floor(size / F.col("size"))))).alias("by")).first()
+                new = max(-(-need["all"] // size), -(-room["over"] // size), need["by"] or 0)
+                state = state.union(spark.range(1, numPartitions=1).select(*[F.lit(v).cast(f.dataType) for v, f in zip((GAPS, size, opened, new, 0, 0, 0), kinds)]))
+                opened += new
+            here = state.groupBy(part).applyInArrow(sweep, kinds)
+            out = cut(here.groupBy(F.when(F.col("kind") == MATCH, 1 + part).otherwise(0)).applyInArrow(sweep, kinds))
+            done.append(out.where(F.col("kind") == MATCH))
+            state = out.where(F.col("kind") != MATCH)
+    matches = reduce(DataFrame.union, done) if done else state
+    return matches.select(F.col("size").alias("length"), "first", "n", "seq", "seqs", "gap")
+
+
+def _blocks(matches: DataFrame) -> DataFrame:
+    """``matches`` with a row for each ``block`` of ranks that they touch; in two steps, so that no array is long."""
+    for bits in (26, 16, 6):
+        low, high = F.greatest("first", "block"), F.least(F.col("first") + F.col("n"), F.col("stop")) - 1
+        some = F.sequence(F.shiftright(low, bits), F.shiftright(high, bits))
+        matches = matches.withColumn("b", F.explode(some)).withColumn("block", F.shiftleft("b", bits)).withColumn("stop", F.shiftleft(F.col("b") + 1, bits)).drop("b")
+    return matches.withColumn("block", F.shiftright("block", 6)).drop("stop")
 
 
 def assign(made: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
     """``made`` (pieces, one row each, lengths from 1 to ``size``) with ``sequence_id`` and ``offset``."""
-    spark = made.sparkSession
-    sizes = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``size`` rows at most
+    counts = cut(made.groupBy("length").agg(F.count("*").alias("n")))  # ``size`` rows at most
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # A run of equal lengths may hold any share of the pieces: it is ranked in slices, of which there are
     # SLICES at most besides one for each length.
-    full = max(500, sum(sizes.values()) // SLICES)
-    slices = spark.createDataFrame([(k, -(-n // full)) for k, n in sizes.items()], "length bigint, slices int")
-    made = made.join(F.broadcast(slices), "length")
+    full = max(500, total // SLICES)
+    made = made.join(F.broadcast(counts.select("length", F.ceil(F.col("n") / full).cast("int").alias("slices"))), "length")
     made = made.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("slices")).cast("int")).drop("slices")
     before = made.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = before.select("length", "slice", (F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before"))
     within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = made.withColumn("rank", F.row_number().over(within)).join(F.broadcast(before), ["length", "slice"])
     ranked = ranked.withColumn("rank", F.col("rank") - 1 + F.col("before")).drop("slice", "before")
-    kinds = ["length", "first", "n", "sequence", "offset"]
-    matches = np.array(sweep(sizes, size), np.int64).reshape(-1, 5)
-    matches = spark.createDataFrame(pa.table({k: matches[:, i] for i, k in enumerate(kinds)}))
-    k = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")
-    places = matches.select("length", "first", "sequence", "offset", k).select("length", (F.col("first") + F.col("k")).alias("rank"), (F.col("sequence") + F.col("k")).alias("sequence_id"), "offset")
-    return ranked.join(places, ["length", "rank"]).drop("rank")
+    ranked = ranked.withColumn("block", F.shiftright("rank", 6))
+    matches = match(counts, size).withColumns({"block": F.lit(0).cast("long"), "stop": F.col("first") + F.col("n")})
+    placed = ranked.join(_blocks(matches), ["length", "block"]).withColumn("k", F.col("rank") - F.col("first")).where("k >= 0 AND k < n")
+    place = {"sequence_id": F.expr("seq + k % seqs"), "offset": F.expr(f"{size} - gap + k div seqs * length")}
+    return placed.withColumns(place).drop("block", "first", "n", "seq", "seqs", "gap", "k", "rank")
 
 
 def pack(docs: DataFrame, size: int = MAX_TOKENS, path: str | None = None) -> DataFrame:

@@ -75,18 +75,22 @@ def test_packing(spark, size):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_sweep_is_best_fit(seed):
+def test_sweeps_are_best_fit(spark, seed):
     rng = random.Random(seed)
     lengths = [rng.randrange(1, 100) for _ in range(600)] + [50] * 200 + [100] * 3
     counts = {n: lengths.count(n) for n in set(lengths)}
     placed, room = {n: 0 for n in counts}, {}
-    for length, rank, n, first, offset in packing.sweep(counts, 100):
-        assert rank == placed[length]
+    matches = packing.match(spark.createDataFrame(list(counts.items()), "length bigint, n bigint"), 100).collect()
+    for length, first, n, seq, seqs, gap in sorted(matches):
+        assert first == placed[length]
         placed[length] += n
-        for k in range(first, first + n):
-            assert room.get(k, 0) == offset and offset + length <= 100
-            room[k] = offset + length
-    assert placed == counts and sorted(room) == list(range(len(room)))
+        for k in range(n):
+            room.setdefault(seq + k % seqs, []).append((100 - gap + k // seqs * length, length))
+    assert placed == counts
+    for some in room.values():
+        some.sort()
+        ends = [offset + length for offset, length in some]
+        assert [offset for offset, _ in some] == [0, *ends[:-1]] and ends[-1] <= 100
     gaps = []  # plain best-fit decreasing
     for n in sorted(lengths, reverse=True):
         fit = min((g for g in gaps if g >= n), default=None)
