@@ -29,8 +29,8 @@ from .shared import cut
 MAX_TOKENS, END = 4096, 1
 #: Texts that a Python worker splits together.
 TOGETHER = 256
-#: Words that a Python worker remembers at most; slices of runs of equal lengths.
-_REMEMBERED, SLICES = 600_000, 10_000
+#: Words that a Python worker remembers at most, and as many stems; slices of runs of equal lengths.
+_REMEMBERED, SLICES = 400_000, 10_000
 #: Ranges of sizes swept side by side; what a run is: documents, gaps or a match.
 RANGES = 16
 #: Documents longer than these parts of a sequence enter before shorter ones, which then fill what is left.
@@ -38,9 +38,19 @@ ENTER = (2, 3, 4, 5, 6, 8, 12)
 DOCS, GAPS, MATCH = range(3)
 
 
-#: A word whose ids are those of its lower-cased letters and of the signs after them: normalisation leaves
-#: precomposed Latin letters as they are, and no pre-token holds both letters and signs.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#$%&]*)")
+#: A plain word is letters and signs after them; its ids are those of its lower-cased letters and of its signs:
+#: normalisation leaves precomposed Latin letters as they are, and no pre-token holds both letters and signs.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_SIGNS = ".,;:!?|*#$%&"
+
+
+def _lower(text: str) -> str:
+    """Lower-cased, as the tokenizer does it, where all characters are Latin-1; others are left to the tokenizer."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 _INNER = {b: BLOCK + b for b in range(256)}
@@ -62,6 +72,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes | None] = {}
+        self.signs: dict[str, bytes] = {}
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
@@ -84,30 +96,37 @@ class Words:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes([piece(t) for t in pieces]))
 
     def learn(self, new: set[str]) -> None:
-        """Remember ``new`` words, encoded together."""
-        plain, others, known = {}, [], self.known
-        for word in new:
-            found = _PLAIN.fullmatch(word)
-            if found:
-                plain[word] = (found[1].lower(), found[2])
-            else:
+        """Remember ``new`` words; the letters and the signs of plain ones are encoded once for all words that share them."""
+        known, stems, signs = self.known, self.stems, self.signs
+        split = {word: word.rstrip(_SIGNS) for word in new}
+        fresh = set(split.values()).difference(stems)
+        plain = [x for x in fresh if _LETTERS(x)]
+        stems.update(dict.fromkeys(fresh))  # None: not plain
+        mapped = [x.lower().encode().decode("latin-1") for x in plain]
+        encoded = self.pieces.encode([x[:-1].translate(_INNER) + _LAST[ord(x[-1])] for x in mapped], num_threads=1)
+        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) * 4).tolist()
+        flat = self.ids[np.fromiter(chain.from_iterable(encoded), np.int64)].tobytes()
+        stems.update(zip(plain, (flat[a:b] for a, b in zip([0, *ends], ends))))
+        others = []
+        for word, stem in split.items():
+            ids = stems[stem]
+            if ids is None:
                 others.append(word)
+            elif len(word) == len(stem):
+                known[word] = ids
+            else:
+                after = word[len(stem) :]
+                if after not in signs:
+                    signs[after] = np.array(self.model.encode(after, add_special_tokens=False).ids, "<u4").tobytes()
+                known[word] = ids + signs[after]
         for word, e in zip(others, self.model.encode_batch_fast(others, add_special_tokens=False)):
             known[word] = np.array(e.ids, "<u4").tobytes()
-        parts = [x for x in {x for pair in plain.values() for x in pair if x} if x not in known]
-        mapped = [x.encode().decode("latin-1") for x in parts]
-        mapped = [x[:-1].translate(_INNER) + _LAST[ord(x[-1])] for x in mapped]
-        encoded = self.pieces.encode(mapped, num_threads=1)
-        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) * 4).tolist()
-        flat = self.ids[np.fromiter(chain.from_iterable(encoded), np.int64)].tobytes()
-        known[""] = b""
-        known.update(zip(parts, (flat[a:b] for a, b in zip([0, *ends], ends))))
-        known.update((word, known[letters] + known[signs]) for word, (letters, signs) in plain.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
+        split = [_lower(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        for remembered in (self.known, self.stems, self.signs):
+            if len(remembered) > _REMEMBERED:
+                remembered.clear()
         new = set(chain.from_iterable(split)).difference(self.known)
         if new:
             self.learn(new)
