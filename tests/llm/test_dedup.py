@@ -57,6 +57,37 @@ def test_embeddings_equal_brute_force(spark, monkeypatch, chunk):
     assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (0, None, False)
 
 
+def crowd(n, dim=64, cosine=0.957):
+    """A third of the rows different near copies around one centre."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centre, k = x[-1].copy(), n // 3
+    x[:k] = centre + x[:k] * np.sqrt(1 / cosine - 1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_links_of_a_large_group_are_found(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "RUN", 6)  # as many leads as for a larger table
+    x = crowd(3000).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<float>")
+    got = sum(r["n_links"] for r in embedding_dedup.near_duplicates(df).collect())
+    assert want.sum() > 500_000 and want.sum() * 0.9999 <= got <= want.sum()
+
+
+def test_leads_hold_their_recall_at_a_hundred_thousand():
+    x = crowd(100_000)
+    rng = np.random.default_rng(4)
+    fit = embedding_dedup.calibrate(x[rng.choice(len(x), 1000, replace=False)], len(x), 0.95, 0.9999, 7)
+    codes = embedding_dedup.lead_codes(x[:2000], fit)
+    p, q = rng.integers(2000, size=(2, 200_000))
+    near = (p != q) & ((x[p] * x[q]).sum(1) >= 0.95)
+    met = (codes[p[near]] == codes[q[near]]).any(1)
+    assert near.sum() > 100_000 and met.mean() >= 0.9999
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_few_embeddings(spark, n):
     df = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(n)], "vec_id bigint, embedding array<float>")
