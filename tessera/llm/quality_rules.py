@@ -1,7 +1,7 @@
 """Quality rules with a hashed n-gram log-likelihood ratio, by DataFrame functions only.
 
-Documents that pass strict structural rules are the trusted target. Letters, digits and symbols are split
-into tokens, unigrams and bigrams hashed into buckets, and the buckets counted over the whole corpus and
+Documents that pass strict structural rules are the trusted target. Letters (with their combining marks),
+digits and symbols are split into tokens, unigrams and bigrams hashed into buckets, and the buckets counted over the whole corpus and
 over the target. A document's score is the mean log-likelihood ratio of its n-grams, target against corpus;
 a document passes if it fails no base rule and its score is at least a fixed threshold.
 """
@@ -20,7 +20,7 @@ BUCKETS = 8192
 THRESHOLD = -0.1
 #: Ratios are kept as whole numbers of 1 / SCALE, so that sums don't depend on an order.
 SCALE = 1000
-#: Share of characters besides letters and white space that a trusted document has at most.
+#: Share of characters besides letters, combining marks and white space that a trusted document has at most.
 TRUSTED_OTHER = 0.06
 _BLANKS = " \t\n\u000b\f\r"
 
@@ -74,7 +74,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]+"), 0)
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\s]+"), 0)
 
 
 def _bucket(*tokens: Column) -> Column:
@@ -100,7 +100,7 @@ def ratios(docs: DataFrame) -> list[int]:
     Counted over all documents; what comes to the driver are BUCKETS rows at most.
     """
     text = F.coalesce("text", F.lit(""))
-    other = F.length(F.regexp_replace(text, r"[\p{L}\s]+", ""))
+    other = F.length(F.regexp_replace(text, r"[\p{L}\p{M}\s]+", ""))
     words = F.regexp_count(text, F.lit(f"{NOT_SPACE}+"))
     trusted = (words >= 50) & (other <= TRUSTED_OTHER * F.length(text))
     grams = docs.select(trusted.alias("trusted"), buckets(F.col("text")).alias("all")).select("trusted", F.explode("all").alias("bucket"))

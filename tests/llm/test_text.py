@@ -107,6 +107,16 @@ def test_ratio_keeps_clean_and_drops_junk(spark):
     assert kept == set(range(len(good)))
 
 
+def test_clean_documents_of_a_language_with_combining_marks_are_kept(spark):
+    good, bad = corpus()
+    words = "यह एक साधारण हिन्दी वाक्य है जिसमें कोई विशेष चिह्न नहीं और लोग इसे पढ़ते हैं क्योंकि किताबें बहुत अच्छी लगती थीं दुनिया में".split()
+    rng = random.Random(11)
+    hindi = [" ".join(rng.choices(words, k=120)) for _ in range(4)]  # 4 percent of the corpus
+    df = spark.createDataFrame(list(enumerate(good + hindi + bad)), "doc_id bigint, text string").repartition(3)
+    kept = {r["doc_id"] for r in quality_rules.judge(df).where("kept").collect()}
+    assert kept == set(range(len(good) + len(hindi)))
+
+
 def test_ratio_equals_plain_sum(spark):
     ratio = [(k * 37) % 401 - 200 for k in range(quality_rules.BUCKETS)]
     df = spark.createDataFrame([("Ab c1, d!! ab",), ("",), (None,)], "text string")
