@@ -1,6 +1,6 @@
 """Shards cut from a Hilbert curve through several metadata dimensions.
 
-Each dimension is quantised by its own percentiles, the cells are ordered along the curve, and the order is
+Each dimension is quantised by its own percentiles (strings by the order of their whole values), the cells are ordered along the curve, and the order is
 cut into runs of equally many rows: rows near in all dimensions share a shard, so that a reader's bounds on
 any of them prune files. Cells are few (bounded by the levels); rows are ranked in slices of cells, so that
 a cell with any share of all rows is no task's burden.
@@ -8,7 +8,7 @@ a cell with any share of all rows is no task's burden.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,10 +17,21 @@ from .shared import constants, cut
 BITS, SLICES = 4, 10_000
 
 
-def ordinal(text: Column) -> Column:
-    """A number in the order of the first six bytes of a string (null: before all others)."""
-    head = F.rpad(F.hex(F.substring(F.encode(text, "utf-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+def firsts(rows: DataFrame, column: str, levels: int) -> list[str]:
+    """The first string of each level after the lowest, by the order of whole strings; null comes before all others.
+
+    A string's level is that share of ``levels`` by which rows lie before it. Distinct strings are range-sorted
+    partitions, each counted after those before it; what comes to the driver are ``levels`` strings at most.
+    """
+    values = rows.groupBy(column).agg(F.count("*").alias("n")).repartitionByRange(F.col(column).asc_nulls_first())
+    parts = cut(values.withColumn("part", F.spark_partition_id()))
+    before = parts.groupBy("part").agg(F.sum("n").alias("all"))
+    before = before.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))  # a row a partition
+    within = F.sum("n").over(Window.partitionBy("part").orderBy(F.col(column).asc_nulls_first())) - F.col("n")
+    placed = parts.withColumn("within", within).join(F.broadcast(before), "part").withColumn("at", F.col("before") + F.col("within"))
+    n = rows.count()
+    found = placed.agg(*[F.min(F.when(F.col("at") * levels >= k * n, F.col(column))) for k in range(1, levels)]).first()
+    return [f for f in found if f is not None]
 
 
 def hilbert(axes: int, bits: int) -> list[int]:
@@ -52,16 +63,18 @@ def layout(docs: DataFrame, shards: int = 40, bits: int = BITS) -> DataFrame:
     bytes and no length, null strings come before all others; equal rows get slots of their own in any order;
     an empty table gives an empty result.
     """
-    dims = [ordinal(F.col(c)) for c in ("source", "lang") if c in docs.columns]
+    dims = [F.col(c).cast("string") for c in ("source", "lang") if c in docs.columns]
     dims.append(F.coalesce(F.length("text"), F.lit(-1)).cast("double"))
     axes = [f"x{i}" for i in range(len(dims))]
     text = F.coalesce("text", F.lit(""))
     rows = cut(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), *[d.alias(a) for d, a in zip(dims, axes)]))
     levels = 1 << bits
     shares = [k / levels for k in range(1, levels)]
-    bounds = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(a, shares, 10_000).alias(a) for a in axes]).first()
+    bounds = rows.agg(F.count("*").alias("n"), F.percentile_approx(axes[-1], shares, 10_000).alias("length")).first()
     n = max(1, bounds["n"])
-    level = lambda a: sum(((F.col(a) > b).cast("long") for b in sorted(set(bounds[a] or []))), F.lit(0).cast("long"))
+    over = {a: [F.col(a) >= f for f in firsts(rows, a, levels)] for a in axes[:-1]}
+    over[axes[-1]] = [F.col(axes[-1]) > b for b in sorted(set(bounds["length"] or []))]
+    level = lambda a: sum((F.coalesce(x.cast("long"), F.lit(0)) for x in over[a]), F.lit(0).cast("long"))
     cell = sum((level(a) * levels**i for i, a in enumerate(axes)), F.lit(0).cast("long"))
     rows = rows.withColumn("cell", cell).drop(*axes)
     # Both tables are bounded by the number of cells, and by SLICES more.

@@ -189,6 +189,24 @@ def test_shards(spark, n):
     assert order == sorted(order)
 
 
+def test_sources_that_share_their_beginning(spark):
+    rows = [(k, "same text", "en", f"https://site{k % 10}.example/") for k in range(4000)] + [(k, "same text", "en", None) for k in range(4000, 4400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    got = sharding.layout(df, 40).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.countDistinct("shard").alias("n"), F.countDistinct("hilbert").alias("cells")).collect()
+    assert len(got) == 11 and all(r["n"] <= 6 and r["cells"] == 1 for r in got)
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_levels_are_in_the_order_of_whole_strings(spark, bits):
+    rng = random.Random(12)
+    values = [rng.choice([None, "", "https://a", "https://b/" + "x" * rng.randrange(40), "https://é", "z"]) for _ in range(700)]
+    firsts = sharding.firsts(spark.createDataFrame([(v,) for v in values], "s string"), "s", 1 << bits)
+    given, key = [v for v in values if v is not None], lambda v: v.encode()
+    below = lambda v: values.count(None) + sum(key(x) < key(v) for x in given)
+    for v in set(given):
+        assert sum(key(v) >= key(f) for f in firsts) == below(v) * (1 << bits) // len(values)
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.createDataFrame([(k, "t" * k, "en", "s") for k in range(100)], "doc_id bigint, text string, lang string, source string")
     sharding.write(docs, sharding.layout(docs, 4), str(tmp_path / "out"))
