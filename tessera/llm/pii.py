@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, by DataFrame functions only.
 
-Seeds are the entities that four fixed expressions find. Their contexts, the words beside them with the
-shape of what stands between, are lexical patterns; other tokens with an identifier's shape are candidates.
+Seeds are the entities that four fixed expressions find. Their contexts, the words beside them (for a single
+word, with the class of what stands there: with letters or without), are lexical patterns; other tokens that
+could be identifiers of any kind are candidates.
 Patterns and instances form a graph that is scored in rounds: a pattern by the mean score of its instances,
 a candidate by its best pattern. Candidates in patterns of high confidence are identifiers too.
 """
@@ -25,9 +26,15 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: A candidate: eight letters, digits and hyphens at least, a digit among the first ones, four digits in all.
-CANDIDATE = r"(?<![0-9A-Za-z-])(?=[A-Za-z-]{0,32}[0-9])[0-9A-Za-z-]{8,}+"
-CANDIDATE_NEEDS = r"[0-9]"
+#: A candidate, in this order: names around an @ (domains without a dot too); groups of digits with a + or a
+#: parenthesis before and dots, hyphens, slashes, a space or a parenthesis between; eight letters, digits and
+#: hyphens at least, a digit among the first ones. Four digits in all, or an @.
+CANDIDATE = (
+    r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+    r"|(?<![0-9A-Za-z.+-])\+?\(?[0-9]++(?:[)]?[\x20./-]?[(]?[0-9]++){1,12}+(?![A-Za-z0-9-])"
+    r"|(?<![0-9A-Za-z-])(?=[A-Za-z-]{0,32}[0-9])[0-9A-Za-z-]{8,}+"
+)
+CANDIDATE_NEEDS = r"[0-9@]"
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.7, 3.0
 _MATCH = "array<struct<start:int,end:int,m:string,left:string,right:string>>"
 
@@ -71,12 +78,12 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
 
 
 def _patterns(x: Column) -> Column:
-    """Contexts of a match: the word before, the two before, the word after, each with the match's shape."""
+    """Contexts of a match: the two words before by themselves; the word before and the word after, each with the match's class."""
     words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}=:]+", " ")), " "), lambda w: w != "")
-    shape = F.substring(F.regexp_replace(F.regexp_replace(x["m"], "[0-9]", "9"), "[A-Za-z]", "a"), 1, 40)
+    kind = F.when(x["m"].rlike("[A-Za-z]"), "a").otherwise("9")
     before, after = words(x["left"]), words(x["right"])
     one, two = F.try_element_at(before, F.lit(-1)), F.try_element_at(before, F.lit(-2))
-    return F.filter(F.array(F.concat(one, F.lit(" _ "), shape), F.concat(two, F.lit(" "), one, F.lit(" _ "), shape), F.concat(F.lit("_ "), F.get(after, 0), F.lit(" "), shape)), lambda p: p.isNotNull())
+    return F.filter(F.array(F.concat(one, F.lit(" _ "), kind), F.concat(two, F.lit(" "), one, F.lit(" _")), F.concat(F.lit("_ "), F.get(after, 0), F.lit(" "), kind)), lambda p: p.isNotNull())
 
 
 def base(docs: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def base(docs: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_cands``: tokens with an identifier's shape, and ``k``, their number among such tokens."""
     all_ = F.transform(_matches(F.coalesce("text", F.lit("")), CANDIDATE, CANDIDATE_NEEDS), lambda x, k: F.struct(x["start"].alias("start"), k.alias("k"), x["end"].alias("end"), x["m"].alias("m"), x["left"].alias("left"), x["right"].alias("right")))
-    some = F.filter(all_, lambda x: F.length(_digits(x["m"])) >= 4)
+    some = F.filter(all_, lambda x: (F.length(_digits(x["m"])) >= 4) | F.contains(x["m"], F.lit("@")))
     free = F.filter("_some", lambda x: ~F.exists("_seeds", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
     return docs.withColumn("_some", some).withColumn("_cands", free).drop("_some")
 

@@ -64,6 +64,27 @@ def test_patterns_of_seeds_discover_others(spark):
     assert pii.spans(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+UNSEEN = {
+    "email": (lambda k: f"please write to {chr(97 + k)}x@mail{k}.org soon", "please write to anna.b@localhost soon", "anna.b@localhost"),
+    "ip": (lambda k: f"logged in from 10.1.{k}.7 at noon", "logged in from 10.1.300.7 at noon", "10.1.300.7"),
+    "card": (lambda k: f"paid with card {card(k)} yesterday", "paid with card 4000 0000 0000 0001 yesterday", "4000 0000 0000 0001"),
+    "phone": (lambda k: f"reach me on +1 (826) 555-40{10 + k} tonight", "reach me on (826) 555-4099 tonight", "(826) 555-4099"),
+}
+
+
+@pytest.mark.parametrize("kind", UNSEEN)
+def test_each_kind_of_seed_discovers(spark, kind):
+    make, text, hidden = UNSEEN[kind]
+    rows = [(k, make(k)) for k in range(8)] + [(100, text), (101, "see release 2024-01-15-0001 of 12.04.2024 1234 notes")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.spans(df).collect()}
+    start = text.index(hidden)
+    assert got[100]["spans"] == f"identifier:{start}:{start + len(hidden)}" and got[101]["spans"] == ""
+    assert all(got[k][f"n_{kind}"] == 1 and got[k]["n_found"] == 0 for k in range(8))
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
+    assert masked[100] == text.replace(hidden, "[IDENTIFIER]") and masked[101] == rows[-1][1]
+
+
 def test_mask(spark):
     rows = [*contexts(8), (5, "a@b.cd or 10.0.0.1 or +1 (017) 555-7713"), (5, "a@b.cd or 10.0.0.1 or +1 (017) 555-7713")]
     got = sorted((r["doc_id"], r["text"]) for r in pii.mask(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r["text"])
