@@ -3,8 +3,9 @@
 Seeds are the entities that four fixed expressions find. Their contexts, the words beside them (for a single
 word, with the class of what stands there: with letters or without), are lexical patterns; other tokens that
 could be identifiers of any kind are candidates.
-Patterns and instances form a graph that is scored in rounds: a pattern by the mean score of its instances,
-a candidate by its best pattern. Candidates in patterns of high confidence are identifiers too.
+Patterns and instances form a graph that is scored in rounds, up to a fixed point: a pattern by the mean score
+of its instances, an instance by the best pattern that discovers it. Instances that a round discovers count for
+other patterns in the next one, and are identifiers wherever they stand.
 """
 
 from __future__ import annotations
@@ -35,10 +36,36 @@ CANDIDATE = (
     r"|(?<![0-9A-Za-z-])(?=[A-Za-z-]{0,32}[0-9])[0-9A-Za-z-]{8,}+"
 )
 CANDIDATE_NEEDS = r"[0-9@]"
-ROUNDS, CONFIDENCE, SUPPORT = 3, 0.7, 3.0
+CONFIDENCE, SUPPORT = 0.7, 3
+#: Characters before and after a match that its context may reach; a longer word counts with the part in reach.
+BEFORE, AFTER = 80, 40
 _MATCH = "array<struct<start:int,end:int,m:string,left:string,right:string>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(values: Column, join, none: int) -> Column:
+    """Of whole numbers, ``join`` over each and all before it (``none``: its neutral number), by doubled steps: n log n work."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    back = lambda acc, i, k: F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(none))
+    return F.aggregate(steps, values, lambda acc, k: F.transform(acc, lambda x, i: join(x, back(acc, i, k))))
+
+
+def _below(ordered: Column, value: Column) -> Column:
+    """How many of the ordered numbers are less than ``value``, by bisection."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["low"] + s["high"], 1)
+        less = F.coalesce(F.get(ordered, mid) < value, F.lit(False)) & (s["low"] < s["high"])
+        return F.struct(F.when(less, mid + 1).otherwise(s["low"]).alias("low"), F.when(less, s["high"]).otherwise(mid).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high")), step, lambda s: s["low"])
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]+", "")
 
@@ -63,17 +90,17 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
 
     The gaps between matches and the matches themselves add up to the places.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    rows = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    rows = F.zip_with(rows, F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))), lambda r, n: F.struct(F.length(r["g"]).alias("n"), r["m"].alias("m"), F.right(r["g"], F.lit(80)).alias("left"), F.left(n, F.lit(40)).alias("right")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCH).alias("all"))
 
-    def step(acc: Column, r: Column) -> Column:
-        s = acc["at"] + r["n"]
-        e = s + F.length(r["m"])
-        return F.struct(e.alias("at"), F.concat(acc["all"], F.array(F.struct(s.alias("start"), e.alias("end"), r["m"].alias("m"), r["left"].alias("left"), r["right"].alias("right")))).alias("all"))
+    def rows(gaps: Column) -> Column:
+        some = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), 0), lambda g, m: F.struct(g.alias("g"), m.alias("m"), F.length(m).alias("w")))
+        some = F.zip_with(some, F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))), lambda r, n: F.struct((F.length(r["g"]) + r["w"]).alias("n"), r["w"].alias("w"), r["m"].alias("m"), F.right(r["g"], F.lit(BEFORE)).alias("left"), F.left(n, F.lit(AFTER)).alias("right")))
+        return F.filter(some, lambda r: r["m"].isNotNull())
+
+    def placed(some: Column) -> Column:
+        ends = _running(F.transform(some, lambda r: r["n"]), lambda a, b: a + b, 0)
+        return F.zip_with(some, ends, lambda r, e: F.struct((e - r["w"]).alias("start"), e.alias("end"), r["m"].alias("m"), r["left"].alias("left"), r["right"].alias("right")))
 
-    places = F.aggregate(F.filter(rows, lambda r: r["m"].isNotNull()), start, step, lambda acc: acc["all"])
+    places = _bound(F.split(text, pattern, -1), lambda gaps: _bound(rows(gaps), placed))
     return F.when(text.rlike(needs), places).otherwise(F.array().cast(_MATCH))
 
 
@@ -99,29 +126,46 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_cands``: tokens with an identifier's shape, and ``k``, their number among such tokens."""
+    """``docs`` with ``_cands``: tokens with an identifier's shape that touch no seed, and ``k``, their number among all such tokens."""
     all_ = F.transform(_matches(F.coalesce("text", F.lit("")), CANDIDATE, CANDIDATE_NEEDS), lambda x, k: F.struct(x["start"].alias("start"), k.alias("k"), x["end"].alias("end"), x["m"].alias("m"), x["left"].alias("left"), x["right"].alias("right")))
     some = F.filter(all_, lambda x: (F.length(_digits(x["m"])) >= 4) | F.contains(x["m"], F.lit("@")))
-    free = F.filter("_some", lambda x: ~F.exists("_seeds", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    return docs.withColumn("_some", some).withColumn("_cands", free).drop("_some")
+
+    def free(starts: Column, ends: Column) -> Column:
+        # Of the seeds that start before a candidate's end the last end lies at or before its start.
+        return F.filter("_some", lambda x: F.coalesce(F.get(ends, _below(starts, x["end"]) - 1) <= x["start"], F.lit(True)))
+
+    reach = F.transform("_seeds", lambda s: s["start"]), _running(F.transform("_seeds", lambda s: s["end"]), F.greatest, 0)
+    free_ = _bound(reach[0], lambda starts: _bound(reach[1], lambda ends: free(starts, ends)))
+    alone = (F.size("_seeds") == 0) | (F.size("_some") == 0)
+    return docs.withColumn("_some", some).withColumn("_cands", F.when(alone, F.col("_some")).otherwise(free_)).drop("_some")
 
 
-def discover(found: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: float = SUPPORT) -> DataFrame:
-    """(pattern) of high confidence: ``confidence`` at least, with ``support`` seeds at least.
+def discover(found: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """(instance, score): the seeds, with 1, and what the patterns of high confidence discover.
 
-    found: _seeds and _cands of all documents. Only counts are gathered: edges are pairs of different
-    instances and patterns, and patterns and instances are summed before they are shuffled.
+    found: _seeds and _cands of all documents. A pattern is one of high confidence where ``support`` accepted
+    instances or more stand in it and the mean score of all its instances (0: not accepted) is ``confidence``
+    at least. Instances that stand in one are accepted, with the best mean as their score for good; then the
+    patterns are scored anew, until a round accepts nothing. Scores fall from hop to hop, since a mean is 1 at
+    most. Edges are pairs of different instances and patterns; sums are pre-aggregated, and a pattern or an
+    instance with a large share of all edges is split by the engine's skew handling, for nothing is gathered.
     """
     seeds = found.select(F.explode("_seeds").alias("x")).select(F.col("x.m").alias("instance"), _patterns(F.col("x")).alias("p"), F.lit(True).alias("seed"))
     cands = found.select(F.explode("_cands").alias("x")).select(F.col("x.m").alias("instance"), _patterns(F.col("x")).alias("p"), F.lit(False).alias("seed"))
-    edges = cut(seeds.union(cands).select("instance", "seed", F.explode("p").alias("pattern")).groupBy("instance", "pattern").agg(F.max("seed").alias("seed")))
-    score = edges.withColumn("score", F.col("seed").cast("double"))
-    for _ in range(rounds):
-        patterns = score.groupBy("pattern").agg(F.avg("score").alias("conf"), F.sum(F.col("seed").cast("double")).alias("support"))
-        best = edges.where("not seed").join(patterns.where(F.col("support") >= support), "pattern").groupBy("instance").agg(F.max("conf").alias("best"))
-        score = cut(edges.join(best, "instance", "left").select("instance", "pattern", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")))
-    patterns = score.groupBy("pattern").agg(F.avg("score").alias("conf"), F.sum(F.col("seed").cast("double")).alias("support"))
-    return patterns.where((F.col("conf") >= confidence) & (F.col("support") >= support)).select("pattern")
+    edges = seeds.union(cands).select("instance", "seed", F.explode_outer("p").alias("pattern")).groupBy("instance", "pattern").agg(F.max("seed").alias("seed"))
+    edges = cut(edges)
+    accepted = cut(edges.where("seed").select("instance", F.lit(1.0).alias("score")).distinct())
+    # A pattern with fewer instances than ``support`` never counts.
+    often = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("pattern")
+    edges = cut(edges.select("instance", "pattern").join(often, "pattern"))
+    rounds = [accepted]
+    while not rounds[-1].isEmpty():
+        scored = edges.join(accepted, "instance", "left")
+        sure = scored.groupBy("pattern").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"), F.count("score").alias("n")).where((F.col("mean") >= confidence) & (F.col("n") >= support))
+        new = edges.join(sure, "pattern").groupBy("instance").agg(F.max("mean").alias("score")).join(accepted, "instance", "left_anti")
+        rounds.append(cut(new))
+        accepted = accepted.union(rounds[-1])
+    return accepted
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -129,15 +173,16 @@ def extract(docs: DataFrame) -> DataFrame:
 
     _seeds: base entities; _new: discovered ones (start, k, end, m; null if none), never over a base entity.
     Null texts are empty. Rows that share doc_id and text (repeated rows) get the same; doc_id may be null.
-    With no seeds nothing is discovered; an empty table gives an empty result.
+    With no seeds nothing is discovered; an empty table gives an empty result. Contexts reach BEFORE and
+    AFTER characters; candidates have an @ or four digits at least (see CANDIDATE). Work grows with n log n in
+    the matches of a text.
     """
     found = cut(candidates(base(docs.select("doc_id", "text").withColumn("_text_hash", F.xxhash64("text")))).drop("text"))
-    good = discover(found)
     at = found.where(F.size("_cands") > 0).select("doc_id", "_text_hash", F.explode("_cands").alias("x"))
-    at = at.select("doc_id", "_text_hash", F.struct("x.start", "x.k", "x.end", "x.m").alias("x"), F.explode(_patterns(F.col("x"))).alias("pattern"))
-    new = at.join(good, "pattern").groupBy("doc_id", "_text_hash").agg(F.sort_array(F.collect_set("x")).alias("_new"))
+    at = at.select("doc_id", "_text_hash", F.struct("x.start", "x.k", "x.end", "x.m").alias("x"), F.col("x.m").alias("instance"))
+    new = at.join(discover(found), "instance").groupBy("doc_id", "_text_hash").agg(F.sort_array(F.collect_set("x")).alias("_new"))
     new = new.withColumnRenamed("doc_id", "_id").withColumnRenamed("_text_hash", "_hash")
-    return found.drop("_cands").join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
+    return found.drop("_cands").join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text_hash").eqNullSafe(F.col("_hash")), "left").drop("_id", "_hash")
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -154,9 +199,12 @@ def spans(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with entities in ``text`` replaced by [EMAIL], [IP], [CARD], [PHONE] and [IDENTIFIER].
 
-    Discovered tokens are replaced first, then kind after kind by the kind's expression.
+    Discovered tokens are replaced first, then kind after kind by the kind's expression, each on what the one
+    before left; a name in brackets holds no digit and no @, so that it neither makes nor lengthens a match.
+    Null texts stay null, texts without entities and all other columns as they are; rows that repeat are
+    treated alike.
     """
-    new = extract(docs).where("_new is not null").select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), F.transform("_new", lambda x: x["k"]).alias("_at")).dropDuplicates(["_id", "_hash"])
+    new = extract(docs).where("_new is not null").select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), F.array_sort(F.transform("_new", lambda x: x["k"])).alias("_at")).dropDuplicates(["_id", "_hash"])
     joined = docs.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
 
     def replaced(text: Column, pattern: str, needs: str, by: str, ok) -> Column:
@@ -164,8 +212,9 @@ def mask(docs: DataFrame) -> DataFrame:
         parts = F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
         return F.when(text.rlike(needs), F.array_join(parts, "")).otherwise(text)
 
-    text = replaced(F.col("text"), CANDIDATE, CANDIDATE_NEEDS, "identifier", lambda m, i: F.array_contains("_at", i))
-    joined = joined.withColumn("text", F.when(F.col("_at").isNull(), F.col("text")).otherwise(text))
+    at = F.col("_at")
+    text = replaced(F.col("text"), CANDIDATE, CANDIDATE_NEEDS, "identifier", lambda m, i: F.get(at, _below(at, i)) == i)
+    joined = joined.withColumn("text", F.when(at.isNull(), F.col("text")).otherwise(text))
     for kind, pattern in KINDS.items():
         joined = joined.withColumn("text", replaced(F.col("text"), pattern, NEEDS[kind], kind, lambda m, _, k=kind: _valid(k, m)))
     return joined.drop("_id", "_hash", "_at")
