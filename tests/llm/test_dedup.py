@@ -41,6 +41,9 @@ BAD = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0]
 @pytest.mark.parametrize("chunk", [1024, 16])
 def test_embeddings_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", chunk)
+    monkeypatch.setattr(embedding_dedup, "SMALL", 64 if chunk == 1024 else 6)
+    monkeypatch.setattr(embedding_dedup, "SENT", 64 if chunk == 1024 else 2)
     rows = vectors() + [vectors()[0][:8]]
     x = [np.array(r, float) for r in rows]
     near = [(a, b) for a in range(len(x)) for b in range(a) if len(x[a]) == len(x[b]) and x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= 0.95]
@@ -68,7 +71,7 @@ def crowd(n, dim=64, cosine=0.957):
 
 
 def test_links_of_a_large_group_are_found(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "RUN", 6)  # as many leads as for a larger table
+    monkeypatch.setattr(embedding_dedup, "SENT", 6)  # leads as for a larger table
     x = crowd(3000).astype(np.float32)
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     want = (unit @ unit.T >= 0.95).sum(1) - 1
@@ -81,7 +84,8 @@ def test_leads_hold_their_recall_at_a_hundred_thousand():
     x = crowd(100_000)
     rng = np.random.default_rng(4)
     fit = embedding_dedup.calibrate(x[rng.choice(len(x), 1000, replace=False)], len(x), 0.95, 0.9999, 7)
-    codes = embedding_dedup.lead_codes(x[:2000], fit)
+    assert fit["leads"] > 2 and fit["tables"] > 4
+    codes = embedding_dedup.lead_codes(x[:2000], np.full(2000, 64), fit, fit["tables"])
     p, q = rng.integers(2000, size=(2, 200_000))
     near = (p != q) & ((x[p] * x[q]).sum(1) >= 0.95)
     met = (codes[p[near]] == codes[q[near]]).any(1)
@@ -96,8 +100,8 @@ def test_few_embeddings(spark, n):
 
 def test_collisions_are_counted_by_windows():
     rng = np.random.default_rng(0)
-    a, b = rng.standard_normal((9, 5)), rng.standard_normal((13, 5))
-    assert (embedding_dedup.collisions(a, b, 0.4) == (np.abs(a[:, None] - b[None]) <= 0.4).sum(2)).all()
+    a, b = rng.integers(-3000, 3000, (9, 5), np.int16), rng.integers(-3000, 3000, (13, 5), np.int16)
+    assert (embedding_dedup.collisions(a, b) == (np.abs(a[:, None].astype(int) - b[None]) <= embedding_dedup.WIDE).sum(2)).all()
 
 
 def plain_fingerprint(text):
