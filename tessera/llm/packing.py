@@ -1,16 +1,23 @@
 """Best-fit packing of token sequences.
 
 Documents and gaps are kept as runs of equal sizes, counted over all pieces, and dealt out by ranges of
-size. In a superstep the ranges are swept side by side: every run of documents takes its successor, the
-smallest gap that it fits; where more documents than gaps meet, the longest go first, and within a run the
-rank decides; what found nothing in its range is swept once more across ranges; the gaps are updated and the
-step is repeated. A gap at least halves in every step that uses it, so there are few steps; long documents
-enter before short ones, which fill what those leave. The matches, intervals of ranks to intervals of
-sequences, are then joined back to the pieces.
+size. In a superstep every range of documents is dealt gaps, of its own range and of larger ones, by counts
+of each range alone: the smallest gaps first, the longest documents first. The ranges are then swept side by
+side: every run of documents takes its successor, the smallest gap that it fits; where more documents than gaps
+meet, the longest go first, and within a run the rank decides. The gaps are updated and the step is repeated.
+A gap at least halves in every step that uses it, so there are few steps; long documents enter before short
+ones, which fill what those leave. The matches, intervals of ranks to intervals of sequences, are then joined
+back to the pieces.
+
+Runs don't grow with the input. There are ``size`` runs of documents at most, and a match uses up a run of
+documents or one of gaps. A match that uses up gaps leaves one run of gaps, smaller than half; one that uses
+up documents leaves two, and there are ``size`` of those in all. Dealing cuts a run at RANGES places a range
+and step at most. So there are O(size + RANGES² x steps) runs, whatever the number of pieces.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -178,15 +185,16 @@ def pieces(docs: DataFrame, size: int = MAX_TOKENS, path: str | None = None, wit
 
 
 def sweep(group: pa.Table) -> pa.Table:
-    """One range of runs (kind, size, first, n, seq, seqs, gap): a documents' run takes its successor, the smallest free gap that it fits.
+    """One range's documents and the gaps dealt to it (kind, size, first, n, seq, seqs, gap, part): a run of documents takes its successor, the smallest free gap that it fits.
 
     In order of size each gaps' run takes the longest documents below it that are still free; the others
     wait for a larger gap. Of one length a sequence takes as many as fit. Where a length is used up, what is
     left of the gap goes to the next longest; otherwise it is a gap of the next sweep, less than half as
-    large. Matches pass as they are.
+    large.
     """
+    group = group.drop_columns(["part"])
     rows = sorted(zip(*(group.column(c).to_pylist() for c in group.column_names)), key=lambda r: (r[1], r[0], r[2]))
-    out = [r for r in rows if r[0] == MATCH]
+    out: list[tuple] = []
     waiting: list[list[int]] = []  # [length, first, n], longest last
     for kind, size, first, n, *_ in rows:
         if kind == DOCS:
@@ -211,36 +219,79 @@ def sweep(group: pa.Table) -> pa.Table:
     return pa.table({f.name: pa.array(c, f.type) for f, c in zip(group.schema, zip(*out))}, schema=group.schema)
 
 
+def deals(docs: dict[int, tuple], gaps: dict[int, tuple]) -> list[dict]:
+    """Which gaps go to the documents of which range, for (n, tokens, shortest, longest) of each range of documents and of gaps.
+
+    Of the gaps of range ``c``, numbered from the largest, those from ``low`` to before ``high`` go to the
+    documents of range ``b`` (-1: they wait). Documents of a lower range fit all gaps of a range, those of its own
+    only some of them.
+    """
+    out, want = [], {b: n for b, (n, *_) in docs.items()}
+    for c in sorted(gaps):
+        free, tokens, _, largest = gaps[c]
+        mean, at = tokens / free, 0
+        for b in sorted((b for b in want if b <= c), reverse=True):
+            n, length, shortest, _ = docs[b]
+            if b == c and shortest > largest:
+                continue
+            each = max(1, int(mean * n // length))
+            k = min(free - at, -(-want[b] // each))
+            if b < c:  # how many fit those of their own range isn't known: larger gaps are kept for them
+                want[b] -= k * each
+            if want[b] <= 0:
+                del want[b]
+            out.append({"c": c, "b": b, "low": at, "high": at + k})
+            at += k
+        out.append({"c": c, "b": -1, "low": at, "high": free})
+    return [d for d in out if d["high"] > d["low"]]
+
+
 def match(counts: DataFrame, size: int) -> DataFrame:
     """(length, first, n, seq, seqs, gap): which ranks of each length go to which sequences, for ``counts`` (length, n).
 
     Document k of a match goes to sequence ``seq + k % seqs``, ``k div seqs`` documents after the place where the
-    gap began. A superstep is a sweep in every range of sizes, and one over what the ranges left; then the gaps
-    are updated. Where a document is longer than any gap, as many sequences are opened as the lengths that
-    entered, or their numbers in a sequence, need at least.
+    gap began. A superstep deals gaps to ranges of documents and sweeps every range; what comes to the driver
+    are sums for each range. Where a document is longer than any gap, as many sequences are opened as the
+    lengths that entered, or their numbers in a sequence, need at least.
     """
-    spark = counts.sparkSession
-    part = F.floor((F.col("size") - 1) / max(1, size // RANGES))
+    spark, width = counts.sparkSession, max(1, size // RANGES)
+    is_docs, tokens = F.col("kind") == DOCS, F.col("size") * F.col("n")
+    # A gap's range is that below which all documents fit.
+    span = F.floor(F.when(is_docs, F.col("size") - 1).otherwise(F.col("size")) / width).cast("int")
     runs = counts.select(F.lit(DOCS).alias("kind"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("first"), "n", *[F.lit(0).cast("long").alias(c) for c in ("seq", "seqs", "gap")])
     kinds, done, opened, above = runs.schema, [], 0, size
-    is_docs, tokens = F.col("kind") == DOCS, F.col("size") * F.col("n")
     state = runs.limit(0)
     for least in dict.fromkeys([*(size // k for k in ENTER), 0]):
         state = state.union(runs.where((F.col("size") > least) & (F.col("size") <= above)))
         above = least
         while True:
-            # One row each; the sums of tokens stay whole numbers.
-            room = state.agg(F.max(F.when(is_docs, F.col("size"))).alias("longest"), F.coalesce(F.max(F.when(~is_docs, F.col("size"))), F.lit(0)).alias("gap"), F.sum(F.when(is_docs, tokens).when(F.col("size") > least, -tokens)).alias("over")).first()
-            if room["longest"] is None:
+            room = {DOCS: {}, GAPS: {}}
+            over = 0
+            sums = state.groupBy("kind", span.alias("span")).agg(F.sum("n"), F.sum(tokens), F.min("size"), F.max("size"), F.sum(F.when(is_docs | (F.col("size") > least), tokens).otherwise(0)))
+            for kind, at, *found, counted in sums.collect():  # two rows a range
+                room[kind][at] = tuple(found)
+                over += counted if kind == DOCS else -counted
+            docs, gaps = room[DOCS], room[GAPS]
+            if not docs:
                 break
-            if room["longest"] > room["gap"]:
-                stuck = state.where(is_docs & (F.col("size") > room["gap"]))
+            largest = max((g[3] for g in gaps.values()), default=0)
+            if max(d[3] for d in docs.values()) > largest:
+                stuck = state.where(is_docs & (F.col("size") > largest))
                 need = stuck.agg(F.sum(tokens).alias("all"), F.ceil(F.sum(F.when(F.col("size") * ENTER[-1] > size, F.col("n") / F.floor(size / F.col("size"))))).alias("by")).first()
-                new = max(-(-need["all"] // size), -(-room["over"] // size), need["by"] or 0)
+                new = max(-(-need["all"] // size), -(-over // size), need["by"] or 0)
                 state = state.union(spark.range(1, numPartitions=1).select(*[F.lit(v).cast(f.dataType) for v, f in zip((GAPS, size, opened, new, 0, 0, 0), kinds)]))
                 opened += new
-            here = state.groupBy(part).applyInArrow(sweep, kinds)
-            out = cut(here.groupBy(F.when(F.col("kind") == MATCH, 1 + part).otherwise(0)).applyInArrow(sweep, kinds))
+                n, held, *ends = gaps.get(size // width, (0, 0, size, size))
+                gaps[size // width] = (n + new, held + new * size, min(ends[0], size), size)
+            dealt = F.from_json(F.lit(json.dumps(deals(docs, gaps))), "array<struct<c:int,b:int,low:bigint,high:bigint>>")
+            free = state.where(~is_docs).withColumn("span", span)
+            upto = F.sum("n").over(Window.partitionBy("span").orderBy(F.col("size").desc(), "first"))  # runs of a range are few
+            free = free.withColumn("to", upto).withColumn("from", F.col("to") - F.col("n"))
+            mine = F.filter(dealt, lambda d: (d["c"] == F.col("span")) & (d["low"] < F.col("to")) & (d["high"] > F.col("from")))
+            free = free.withColumn("d", F.explode(mine)).withColumn("lo", F.greatest("d.low", "from"))
+            free = free.select("kind", "size", (F.col("first") + F.col("lo") - F.col("from")).alias("first"), (F.least("d.high", "to") - F.col("lo")).alias("n"), "seq", "seqs", "gap", F.col("d.b").alias("part"))
+            ready = state.where(is_docs).withColumn("part", span).union(free)
+            out = cut(ready.where("part >= 0").groupBy("part").applyInArrow(sweep, kinds).union(ready.where("part < 0").drop("part")))
             done.append(out.where(F.col("kind") == MATCH))
             state = out.where(F.col("kind") != MATCH)
     matches = reduce(DataFrame.union, done) if done else state
@@ -248,7 +299,7 @@ def match(counts: DataFrame, size: int) -> DataFrame:
 
 
 def _blocks(matches: DataFrame) -> DataFrame:
-    """``matches`` with a row for each ``block`` of ranks that they touch; in two steps, so that no array is long."""
+    """``matches`` with a row for each ``block`` of ranks that they touch; in three steps, so that no array is long."""
     for bits in (26, 16, 6):
         low, high = F.greatest("first", "block"), F.least(F.col("first") + F.col("n"), F.col("stop")) - 1
         some = F.sequence(F.shiftright(low, bits), F.shiftright(high, bits))
