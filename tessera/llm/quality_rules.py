@@ -22,6 +22,8 @@ THRESHOLD = -0.1
 SCALE = 1000
 #: Share of characters besides letters, combining marks and white space that a trusted document has at most.
 TRUSTED_OTHER = 0.06
+#: Repeated hashes of a text that are looked up one by one (more are sorted; the count is the same).
+FEW = 16
 _BLANKS = " \t\n\u000b\f\r"
 
 
@@ -36,18 +38,26 @@ def _triples(words: Column) -> Column:
 
 
 def _covered(hashes: Column) -> Column:
-    """Places covered by windows of three whose hash occurs twice or more."""
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-    def repeats(s: Column) -> Column:
-        after = F.slice(s, 2, F.size(s))
-        first = F.filter(F.zip_with(s, after, lambda x, y: F.when(x["h"] == y["h"], x["i"])), lambda x: x.isNotNull())
-        second = F.filter(F.zip_with(s, after, lambda x, y: F.when(x["h"] == y["h"], y["i"])), lambda x: x.isNotNull())
-        return F.array_sort(F.array_union(first, second))
+    """Places covered by windows of three whose hash occurs twice or more.
 
+    The repeated hashes are found by a sort of whole numbers. Up to FEW of them are looked up place by place;
+    more are sorted together with their places.
+    """
     walk = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     step = lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last"))
-    return F.aggregate(_bound(placed, repeats), walk, step, lambda acc: acc["n"])
+    covered = lambda at: F.aggregate(at, walk, step, lambda acc: acc["n"])
+    given = lambda x: F.filter(x, lambda v: v.isNotNull())
+    repeated = lambda s: F.array_distinct(given(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x == y, x))))
+
+    def sorted_places(s: Column) -> Column:
+        after = F.slice(s, 2, F.size(s))
+        first = given(F.zip_with(s, after, lambda x, y: F.when(x["h"] == y["h"], x["i"])))
+        second = given(F.zip_with(s, after, lambda x, y: F.when(x["h"] == y["h"], y["i"])))
+        return F.sort_array(F.array_union(first, second))
+
+    few = lambda d: given(F.transform(hashes, lambda h, i: F.when(F.array_contains(d, h), i)))
+    many = _bound(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), sorted_places)
+    return _bound(_bound(F.sort_array(hashes), repeated), lambda d: covered(F.when(F.size(d) <= FEW, few(d)).otherwise(many)))
 
 
 def repeat_words(words: Column) -> Column:
@@ -102,7 +112,7 @@ def ratios(docs: DataFrame) -> list[int]:
     text = F.coalesce("text", F.lit(""))
     other = F.length(F.regexp_replace(text, r"[\p{L}\p{M}\s]+", ""))
     words = F.regexp_count(text, F.lit(f"{NOT_SPACE}+"))
-    trusted = (words >= 50) & (other <= TRUSTED_OTHER * F.length(text))
+    trusted = (other <= TRUSTED_OTHER * F.length(text)) & (words >= 50)
     grams = docs.select(trusted.alias("trusted"), buckets(F.col("text")).alias("all")).select("trusted", F.explode("all").alias("bucket"))
     counts = {r["bucket"]: (r["n"], r["t"]) for r in grams.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("trusted").alias("t")).collect()}
     n, t = (sum(c[k] for c in counts.values()) for k in (0, 1))
@@ -118,7 +128,7 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, ratio: list[int] | None
     ratio: as from ratios(), else counted over ``docs``. Null and wordless texts have no words and an llr of
     0, and fail the base rules. Judged row by row: repeated rows and null or tied ids are no matter. With no
     trusted document all ratios are 0. An empty table gives an empty result. Columns named like the new ones
-    are replaced.
+    are replaced. Without ``ratio`` a job counts when this is called.
     """
     docs = base_counts(docs).withColumn("llr", mean_ratio(F.col("text"), ratios(docs) if ratio is None else ratio))
     return docs.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
