@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import share01
 
@@ -27,8 +28,10 @@ FAMILIES = {
     "turkic": "tr az kk uz",
 }
 FAMILY_OF = {language: family for family, languages in FAMILIES.items() for language in languages.split()}
-#: Hashed features; sampled rows of each language for the fit (about; chosen by a hash of doc_id).
-WIDTH, SAMPLE = 4096, 600
+#: Hashed features; texts whose features a task holds at once.
+WIDTH, TOGETHER = 4096, 512
+#: The fit is bounded: rows of each language, of all languages, and languages (those with most rows) at most.
+SAMPLE, ROWS, LANGUAGES = 600, 20_000, 256
 UNKNOWN = "und"
 
 
@@ -83,62 +86,91 @@ class Model:
                 some = (languages == a) | (languages == b)
                 self.pairs[a, b] = machine(x[some], sign(languages[some] == a))
 
-    def predict(self, x: np.ndarray) -> tuple[str, float]:
-        family, sure = self.families[0], 1.0
-        if self.family is not None:
-            margins = 3 * (self.family[:, :-1] @ x + self.family[:, -1])
-            odds = np.exp(margins - margins.max())
-            family, sure = self.families[int(odds.argmax())], float(odds.max() / odds.sum())
-        members = self.members[family]
-        votes = dict.fromkeys(members, 0.0)
-        for a, b in combinations(members, 2):
-            w = self.pairs[a, b]
-            p = 1 / (1 + np.exp(-3 * float(w[:-1] @ x + w[-1])))
-            votes[a] += p
-            votes[b] += 1 - p
-        best = max(members, key=lambda c: (votes[c], c))
-        return best, sure * (votes[best] / (len(members) - 1) if len(members) > 1 else 1.0)
-
-
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of the rows with a lang whose crc32(doc_id as text) mod 4 is not 2: about ``sample`` a language."""
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    usable = docs.where(F.col("lang").isNotNull() & (fold != 2)).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not sizes:
-        return None
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in sizes.items()], "lang string, share double")
-    usable = usable.join(F.broadcast(shares), "lang").where(share01(F.col("doc_id")) < F.col("share"))
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(languages, scores) for rows of features."""
+        if self.family is None:
+            family, sure = np.zeros(len(x), np.int64), np.ones(len(x))
+        else:
+            margins = 3 * (x @ self.family[:, :-1].T + self.family[:, -1])
+            odds = np.exp(margins - margins.max(1, keepdims=True))
+            family, sure = odds.argmax(1), odds.max(1) / odds.sum(1)
+        names, scores = np.empty(len(x), object), np.zeros(len(x))
+        for f in np.unique(family):
+            rows, members = np.flatnonzero(family == f), self.members[self.families[f]][::-1]  # of equal votes the last name wins
+            votes = np.zeros((len(rows), len(members)))
+            for b, a in combinations(range(len(members)), 2):
+                w = self.pairs[members[a], members[b]]
+                p = 1 / (1 + np.exp(-3 * (x[rows] @ w[:-1] + w[-1])))
+                votes[:, a] += p
+                votes[:, b] += 1 - p
+            best = votes.argmax(1)
+            names[rows] = np.array(members, object)[best]
+            scores[rows] = sure[rows] * (votes.max(1) / (len(members) - 1) if len(members) > 1 else 1.0)
+        return names, scores
+
+
+def _arrow(apply, kind: str):
+    """A column of ``kind`` from ``apply`` on Arrow arrays of texts."""
 
     def some(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = (features(x.as_py()) for x in batch)
-            yield pa.array([None if r is None else r.tobytes() for r in rows], pa.binary())
+        return map(apply, batches)
 
     some.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    rows = usable.select("doc_id", "lang", F.arrow_udf(some, "binary")("text").alias("x")).where("x is not null").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    if not len(rows):
+    return F.arrow_udf(some, kind)
+
+
+def _sparse(texts: pa.Array) -> pa.Array:
+    rows = [features(t.as_py()) for t in texts]
+    at = [None if x is None else np.flatnonzero(x).astype(np.int16) for x in rows]
+    values = [None if x is None else x[i] for x, i in zip(rows, at)]
+    return pa.StructArray.from_arrays([pa.array(at, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.float32()))], ["at", "value"])
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS, languages: int = LANGUAGES) -> Model | None:
+    """A model of rows with a lang whose crc32(doc_id as text) mod 4 is not 2.
+
+    The ``languages`` with most rows, ``sample`` rows of each at most (the first by a hash of doc_id; rows that repeat
+    an id count each) and ``rows`` in all are learned from: what comes to the driver is bounded. Features are
+    computed of the sampled rows alone, and sent as their places and values.
+    """
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    usable = docs.where(F.col("lang").isNotNull() & (fold != 2)).select("doc_id", "text", "lang")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
+    if not sizes:
+        return None
+    each = max(2, min(sample, rows // len(sizes)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.3 * each / max(1, r["ids"]))) for r in sizes], "lang string, share double")
+    order = Window.partitionBy("lang").orderBy(share01(F.col("doc_id")), "doc_id", F.xxhash64("text"))
+    some = usable.join(F.broadcast(shares), "lang").where(share01(F.col("doc_id")) <= F.col("share"))
+    some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
+    found = some.select("lang", "k", _arrow(_sparse, "struct<at:array<smallint>,value:array<float>>")("text").alias("x")).select("lang", "k", "x.at", "x.value").toArrow()
+    found = found.filter(found.column("at").is_valid()).sort_by([("k", "ascending"), ("lang", "ascending")])
+    if not len(found):
         return None
-    return Model(np.stack([np.frombuffer(x, np.float32) for x in rows.column("x").to_pylist()]), rows.column("lang").to_pylist())
+    x = np.zeros((len(found), WIDTH), np.float32)
+    for row, at, value in zip(x, found.column("at").to_pylist(), found.column("value").to_pylist()):
+        row[at] = value
+    return Model(x, found.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs`` (doc_id, text, lang, ...).
 
-    lang serves learning only. Null texts and texts without a letter are ``und`` with a score of 0, and so is
+    lang serves learning only; jobs for it run when this is called. Null texts and texts without a letter are ``und`` with a score of 0, and so is
     every text where there was nothing to learn from. A null doc_id is not held out and not learned from;
     repeated rows are predicted each; other columns are ignored; an empty table gives an empty result.
     """
     model = model or learn(docs)
 
-    def some(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = (features(x.as_py()) for x in batch)
-            found = [(UNKNOWN, 0.0) if x is None or model is None else model.predict(x) for x in rows]
-            names, scores = zip(*found) if found else ((), ())
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+    def named(texts: pa.Array) -> pa.Array:
+        names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        for s in range(0, len(texts), TOGETHER):
+            rows = [features(t.as_py()) for t in texts[s : s + TOGETHER]]
+            at = [s + k for k, x in enumerate(rows) if x is not None and model is not None]
+            if at:
+                names[at], scores[at] = model.predict(np.stack([rows[k - s] for k in at]))
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    some.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    found = docs.select("doc_id", F.arrow_udf(some, "struct<lang_pred:string,score:double>")("text").alias("found"))
+    found = docs.select("doc_id", _arrow(named, "struct<lang_pred:string,score:double>")("text").alias("found"))
     return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "found.lang_pred", "found.score")
