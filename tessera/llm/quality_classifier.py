@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .quality_rules import base_counts
 from .shared import cut, share01
 
-#: Labelled rows used for the fit (about; chosen by a hash of doc_id).
+#: Labelled rows used for the fit at most (the first by a hash of doc_id).
 SAMPLE = 20_000
 TREES, DEPTH, BINS, L1 = 24, 3, 32, 2e-3
 FEATURES = ["log_words", "word_chars", "symbols", "upper", "other", "digits", "dup_lines", "repeats", "distinct", "line_chars"]
@@ -34,7 +34,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     n = F.greatest("n_words", F.lit(1))
     made = [
         F.log1p("n_words"), F.col("word_chars") / n, F.col("n_symbols") / chars, count(r"\P{Lu}+") / chars, count(r"[\p{L}\s]+") / chars,
-        count(r"[^0-9]+") / chars, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / n, F.size(F.array_distinct(words)) / n, F.least(chars / lines, F.lit(5000)),
+        count(r"[^0-9]+") / chars, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / n, F.size(F.array_distinct(words)) / n, chars / lines,
     ]
     return docs.withColumns({k: v.cast("double") for k, v in zip(FEATURES, made)})
 
@@ -120,7 +120,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text, ...).
 
     labels: (doc_id, quality). The fit uses rows with a quality of 0 or 1 whose crc32(doc_id as text) mod 3
-    is not 1, about ``sample`` of them; only FEATURES enter a score. Null and empty texts are scored like any
+    is not 1, ``sample`` of them at most (a row of ``docs`` or ``labels`` that is repeated counts each time); only
+    FEATURES enter a score. Jobs of the fit run when this is called. Null and empty texts are scored like any
     other; a null doc_id is not held out and never learned from; repeated rows are scored each. Without
     labels every score is 0.5, with one label only its smoothed share. Other columns are ignored.
     """
@@ -128,8 +129,9 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     stats = cut(statistics(docs.select("doc_id", "text")).select("doc_id", *FEATURES))
     usable = labels.where(F.col("quality").isin(0, 1) & (fold != 1)).select("doc_id", "quality")
     n = usable.count()
-    usable = usable.where(share01(F.col("doc_id")) < min(1.0, sample / max(1, n)))
-    rows = usable.join(stats, "doc_id").orderBy("doc_id", "quality").select("quality", *FEATURES).toArrow()
+    usable = usable.where(share01(F.col("doc_id")) <= min(1.0, 1.5 * sample / max(1, n)))
+    first = usable.join(stats, "doc_id").orderBy(share01(F.col("doc_id")), "doc_id", "quality", *FEATURES).limit(sample)
+    rows = first.select("quality", *FEATURES).toArrow()
     x = np.stack([rows.column(c).to_numpy() for c in FEATURES], axis=1)
     intercept, rules = fit(x, rows.column("quality").to_numpy())
     out = stats.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), compiled(intercept, rules).alias("score"))
