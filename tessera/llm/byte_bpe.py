@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: First of the 256 characters that stand for bytes, in a private-use block.
 BLOCK = 0xE000
-#: Pre-tokens that a Python worker remembers at most.
-_REMEMBERED = 400_000
+#: Bytes that a Python worker uses to remember chunks, and those of an entry besides its text and ids.
+_REMEMBERED, _ENTRY = 64 << 20, 240
 #: A space within white space, where a text can't be cut by spaces alone.
 _RUN = re.compile(r"\s (?:\s|\Z)|[\x1c-\x1f]")
 
@@ -71,6 +71,7 @@ class Codec(dict):
         import regex
         import sentencepiece
 
+        self.held = 0
         self.tokens = read_ranks(path)
         self.rank = {t: k for k, t in enumerate(self.tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes([as_chars(t) for t in self.tokens]))
@@ -78,10 +79,12 @@ class Codec(dict):
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= _REMEMBERED:
-            self.clear()
         ids = self.ids(chunk)
         if len(chunk) < 64:
+            self.held += _ENTRY + 4 * len(chunk) + len(ids)
+            if self.held > _REMEMBERED:
+                self.clear()
+                self.held = 0
             self[chunk] = ids
         return ids
 
