@@ -118,8 +118,9 @@ def close_links(prints: DataFrame, radius: int = 3, tile: int = TILE, segments:
 
 
 def _groups(docs: DataFrame, radius: int, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fingerprint) of every row, and (fingerprint, component_id)."""
-    ids = cut(with_fingerprint(docs.select("doc_id", "text"), words_per_shingle=words_per_shingle).select("doc_id", "fingerprint"))
+    """(doc_id, text_hash, fingerprint) of every row, and (fingerprint, component_id)."""
+    ids = with_fingerprint(docs.select("doc_id", "text"), words_per_shingle=words_per_shingle)
+    ids = cut(ids.select("doc_id", F.xxhash64("text").alias("text_hash"), "fingerprint"))
     prints = cut(ids.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     found = components(close_links(prints, radius), "a", "b")
     named = prints.join(found, prints.rep == found.id, "left").select("fingerprint", F.coalesce("component_id", "rep").alias("component_id"))
@@ -132,7 +133,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3
     component_id: the smallest doc_id reachable over links of ``radius`` bits or fewer. Null and wordless
     texts have fingerprint 0 and link like any other; rows with a null doc_id take part and get the
     component of their fingerprint (null if nothing in it has an id). Repeated rows stay, each with the
-    same component. An empty table gives an empty result; other columns are ignored.
+    same component. An empty table gives an empty result; other columns are ignored. Jobs for the links run
+    when this is called.
     """
     ids, named = _groups(docs, radius, words_per_shingle)
     return ids.join(named, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
@@ -142,12 +144,15 @@ def keep_one(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) -> Da
     """``docs`` (doc_id, text, ...) with one row of each group of near duplicates: that of the smallest doc_id.
 
     Of rows that repeat it, one stays; so does one row of each fingerprint that only rows without an id have.
+    Every text is hashed once: what stays is told by doc_id and the text's hash.
     """
     ids, named = _groups(docs, radius, words_per_shingle)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    again = ids.join(named, "fingerprint", "left").where(first).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).count().where("count > 1")
-    out = with_fingerprint(docs, out="_print", words_per_shingle=words_per_shingle)
-    out = out.join(named.select(F.col("fingerprint").alias("_print"), F.col("component_id").alias("_first")), "_print", "left").where(F.col("doc_id").eqNullSafe(F.col("_first")))
-    if not again.isEmpty():
-        out = out.withColumn("_print", F.when(F.col("_first").isNull(), F.col("_print"))).dropDuplicates(["_first", "_print"])
-    return out.drop("_print", "_first")
+    first = ids.join(named, "fingerprint", "left").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")]
+    first = cut(first.groupBy(*group).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("n")))
+    stay = first.select(F.col("component_id").alias("_id"), "_hash", "n")
+    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    if not first.where("n > 1").isEmpty():
+        again = F.when(F.col("n") > 1, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+        out = out.withColumn("_again", again).dropDuplicates(["_id", "_hash", "_again"]).drop("_again")
+    return out.select(*[docs[c] for c in docs.columns])
