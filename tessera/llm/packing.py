@@ -308,14 +308,14 @@ def _blocks(matches: DataFrame) -> DataFrame:
 
 
 def assign(made: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
-    """``made`` (pieces, one row each, lengths from 1 to ``size``) with ``sequence_id`` and ``offset``."""
+    """``made`` (pieces, one row each, lengths from 1 to ``size``, ``at`` unlike for all rows) with ``sequence_id`` and ``offset``."""
     counts = cut(made.groupBy("length").agg(F.count("*").alias("n")))  # ``size`` rows at most
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # A run of equal lengths may hold any share of the pieces: it is ranked in slices, of which there are
     # SLICES at most besides one for each length.
     full = max(500, total // SLICES)
     made = made.join(F.broadcast(counts.select("length", F.ceil(F.col("n") / full).cast("int").alias("slices"))), "length")
-    made = made.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("slices")).cast("int")).drop("slices")
+    made = made.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "at"), F.col("slices")).cast("int")).drop("slices")
     before = made.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = before.select("length", "slice", (F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before"))
     within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32")
@@ -334,7 +334,7 @@ def pack(docs: DataFrame, size: int = MAX_TOKENS, path: str | None = None) -> Da
     Sequences hold at most ``size`` tokens, their pieces lie without gaps from offset 0, and only documents
     longer than ``size`` are cut. Null and empty texts are one piece of one token; rows are packed each by
     itself, so repeated rows and null or tied doc_ids are no matter; other columns are ignored; an empty
-    table gives an empty result.
+    table gives an empty result. The supersteps run when this is called.
     """
-    made = cut(pieces(docs, size, path))
+    made = cut(pieces(docs, size, path).withColumn("at", F.monotonically_increasing_id()))
     return assign(made, size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -55,19 +55,20 @@ def hilbert(axes: int, bits: int) -> list[int]:
     return places
 
 
-def layout(docs: DataFrame, shards: int = 40, bits: int = BITS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert) for every row of ``docs``.
+def layout(docs: DataFrame, shards: int = 40, bits: int = BITS, keep: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert[, row]) for every row of ``docs``.
 
     docs: doc_id, text, and the dimensions source and lang where present; the third is the text's length.
     Law ``rows``: row counts of shards are at most one apart; slots are gapless from 0. Null texts have no
     bytes and no length, null strings come before all others; equal rows get slots of their own in any order;
-    an empty table gives an empty result.
+    an empty table gives an empty result. keep: with a struct of the row's own columns. Jobs for the bounds run
+    when this is called.
     """
     dims = [F.col(c).cast("string") for c in ("source", "lang") if c in docs.columns]
     dims.append(F.coalesce(F.length("text"), F.lit(-1)).cast("double"))
     axes = [f"x{i}" for i in range(len(dims))]
     text = F.coalesce("text", F.lit(""))
-    rows = cut(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), *[d.alias(a) for d, a in zip(dims, axes)]))
+    rows = cut(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), *[d.alias(a) for d, a in zip(dims, axes)], *[F.struct(*docs.columns).alias("row")] * keep, F.monotonically_increasing_id().alias("_at")))
     levels = 1 << bits
     shares = [k / levels for k in range(1, levels)]
     bounds = rows.agg(F.count("*").alias("n"), F.percentile_approx(axes[-1], shares, 10_000).alias("length")).first()
@@ -82,18 +83,23 @@ def layout(docs: DataFrame, shards: int = 40, bits: int = BITS) -> DataFrame:
     curve = constants(hilbert(len(axes), bits))
     rows = rows.withColumn("hilbert", F.get(curve, F.col("cell").cast("int"))).drop("cell")
     cells = rows.groupBy("hilbert").agg(F.ceil(F.count("*") / full).cast("int").alias("slices"))
-    rows = rows.join(F.broadcast(cells), "hilbert").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), "slices").cast("int"))
+    rows = rows.join(F.broadcast(cells), "hilbert").withColumn("slice", F.pmod(F.xxhash64("doc_id", "_at"), "slices").cast("int"))
     before = rows.groupBy("hilbert", "slice").agg(F.count("*").alias("n"))
     before = before.select("hilbert", "slice", (F.sum("n").over(Window.orderBy("hilbert", "slice")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("hilbert", "slice").orderBy("doc_id", "text_crc32", "size"))
-    rows = rows.withColumn("row", within).join(F.broadcast(before), ["hilbert", "slice"]).withColumn("rank", F.col("before") + F.col("row") - 1)
+    rows = rows.withColumn("_in", within).join(F.broadcast(before), ["hilbert", "slice"]).withColumn("rank", F.col("before") + F.col("_in") - 1)
     shard = F.expr(f"(rank * {shards}) div {n}").cast("int")
     start = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
     out = rows.withColumn("shard", shard).withColumn("slot", F.col("rank") - start)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert", *["row"] * keep)
 
 
-def write(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write ``docs``, whose doc_ids are unique, as one folder of Parquet files a shard, in the order of slots."""
-    full = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
+def write(docs: DataFrame, path: str, shards: int = 40) -> None:
+    """Write every row of ``docs`` into one folder of Parquet files a shard, in the order of slots.
+
+    Rows with null or repeated ids are written each. Columns of ``docs`` named shard or slot are written as the
+    new ones.
+    """
+    placed = layout(docs, shards, keep=True)
+    full = placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
     full.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
