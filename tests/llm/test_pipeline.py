@@ -43,6 +43,61 @@ def test_stages(spark, sf, stages):
     assert sorted(map(key, pieces)) == sorted(map(key, want))
 
 
+def plain_run(rows):
+    """The pieces that five stages leave, by the plain versions of the other tests: one document after the other."""
+    import re
+    import zlib
+
+    import numpy as np
+    import test_dedup as dedup
+    import test_text as text
+    from tokenizers import Tokenizer
+
+    from tessera.llm import pii, quality_rules
+
+    _, means = text.plain_llr([t for _, t in rows])
+    docs = {}
+    for (doc, t), mean in zip(rows, means):
+        words, _, _, _, repeats = text.plain_base(t)
+        if words >= 50 and 100 * repeats <= 50 * words and mean >= quality_rules.THRESHOLD:
+            docs[doc] = t
+    docs = {doc: t for doc, (t, _) in dedup.plain_lines(docs).items()}
+    prints = {doc: dedup.plain_fingerprint(t) for doc, t in docs.items()}
+    order = sorted(docs)
+    near = [(i, j) for i, a in enumerate(order) for j, b in enumerate(order[:i]) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    docs = {order[k]: docs[order[k]] for k in sorted(set(dedup.roots(len(order), near)))}
+    found, _ = text.plain_extraction(docs)
+    for doc, t in docs.items():
+        spans = [s.split(":") for s in found[doc].split(",") if s.startswith("identifier")]
+        for _, a, b in reversed(spans):
+            t = t[: int(a)] + "[IDENTIFIER]" + t[int(b) :]
+        for rank, (kind, pattern) in enumerate(text.KINDS.items()):
+            good = {(s, e) for s, r, e, _ in text.plain_spans(t) if r == rank}
+            t = re.sub(pattern, lambda m: f"[{kind.upper()}]" if m.span() in good else m[0], t)
+        docs[doc] = t
+    plain = Tokenizer.from_file(packing._path())
+    plain.encode_special_tokens = True
+    out = []
+    for doc, t in docs.items():
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        out += [(doc, s // 4096, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for s in range(0, len(ids), 4096)]
+    return sorted(out)
+
+
+def test_run_equals_a_plain_version(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    key = lambda r: (r["doc_id"], r["piece"], r["length"], r["ids_crc32"])
+    got = corpus_pipeline.run(spark, sf).collect()
+    want = plain_run(rows)
+    assert sorted(map(key, got)) == want and len(want) > 50
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for some in by.values():
+        ends = [a + n for a, n in sorted(some)]
+        assert [a for a, _ in sorted(some)] == [0, *ends[:-1]] and ends[-1] <= 4096
+
+
 def test_run_equals_the_stages_in_turn(spark, sf, stages):
     key = lambda r: (r["doc_id"], r["piece"], r["length"], r["ids_crc32"])
     got = corpus_pipeline.run(spark, sf).collect()

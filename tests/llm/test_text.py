@@ -200,6 +200,8 @@ def plain_base(text):
 def test_base_counts_equal_brute_force(spark):
     rng = random.Random(6)
     texts = [None, "", "\n \n", "\xa0", "\x1c", *("".join(rng.choices(["a ", "b ", "é|", "\n", "\t", "a b a b\n", "🙂 "], k=rng.randrange(0, 80))) for _ in range(250))]
+    many = [str(k) for k in range(60)]
+    texts += [" ".join(many + ["x"] + many[10:50]), " ".join(many[:5] * 3 + many), "a a a a b a a a"]  # more and fewer repeated windows than FEW
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, kept int").repartition(3)
     rows = quality_rules.judge(df)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -326,7 +328,128 @@ def test_levels_are_in_the_order_of_whole_strings(spark, bits):
 
 
 def test_written_shards(spark, tmp_path):
-    docs = spark.createDataFrame([(k, "t" * k, "en", "s") for k in range(100)], "doc_id bigint, text string, lang string, source string")
-    sharding.write(docs, sharding.layout(docs, 4), str(tmp_path / "out"))
+    rng = random.Random(13)
+    rows = [(k if k % 7 else None, "t" * rng.randrange(300), rng.choice(["en", "de", None]), f"https://site{k % 12}.example/", 9) for k in range(1000)]
+    rows += [(5, "same", "en", "s", 9)] * 200  # repeated rows
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, slot int")
+    sharding.write(docs, str(tmp_path / "out"), 24)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [25] * 4
+    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [50] * 24
+    assert sorted(map(str, [tuple(r) for r in back.select("doc_id", "text", "lang", "source").collect()])) == sorted(str(r[:4]) for r in rows)
+    bounds = back.groupBy("shard").agg(F.min("source").alias("low"), F.max("source").alias("high")).collect()
+    opened = [sum(b["low"] <= s <= b["high"] for b in bounds) for s in {r[3] for r in rows}]
+    assert np.mean(opened) <= 12, opened  # the reader of one source opens half of the shards or fewer
+
+
+def plain_llr(texts):
+    """Ratios of all buckets and the mean ratio of each text, one n-gram after the other."""
+    import math
+
+    import regex
+    import xxhash
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def bucket(*tokens):
+        h = 42
+        for t in tokens:
+            h = xxhash.xxh64_intdigest(t.encode(), h)
+        return signed(h) & quality_rules.BUCKETS - 1
+
+    grams, counts, target = [], [0] * quality_rules.BUCKETS, [0] * quality_rules.BUCKETS
+    for text in texts:
+        text = text or ""
+        tokens = regex.findall(r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\s]+", text)
+        own = [bucket(t) for t in tokens] + [bucket(a, b) for a, b in zip(tokens, tokens[1:])] + [bucket(t) for t in tokens[-1:]]
+        grams.append(own)
+        trusted = len(re.findall("[^\x20\x09-\x0d]+", text)) >= 50 and len(regex.sub(r"[\p{L}\p{M}\s]+", "", text)) <= quality_rules.TRUSTED_OTHER * len(text)
+        for b in own:
+            counts[b] += 1
+            target[b] += trusted
+    n, t = sum(counts), sum(target)
+    share = lambda x, of: math.log((x + 1) / (of + quality_rules.BUCKETS))
+    ratio = [round(quality_rules.SCALE * (share(b, t) - share(a, n))) if t else 0 for a, b in zip(counts, target)]
+    return ratio, [sum(ratio[b] for b in own) / len(own) / quality_rules.SCALE if own else 0.0 for own in grams]
+
+
+def test_ratios_equal_brute_force(spark):
+    good, bad = corpus()
+    texts = [None, "", "# 1!", *good, *bad, *good[:3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want, means = plain_llr(texts)
+    assert quality_rules.ratios(df) == want and len(set(want)) > 50
+    rows = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert [rows[k]["llr"] for k in range(len(texts))] == pytest.approx(means)
+    assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= quality_rules.THRESHOLD) for r in rows.values())
+
+
+def plain_statistics(text):
+    import math
+
+    import regex
+
+    t = text or ""
+    n_words, word_chars, n_symbols, n_dup, n_rep = plain_base(t)
+    n, chars, lines = max(1, n_words), max(1, len(t)), len(t.split("\n"))
+    share = lambda p: len(regex.findall(p, t)) / chars
+    distinct = len(set(re.split("[\x20\x09-\x0d]+", t.lower())))
+    return [math.log1p(n_words), word_chars / n, n_symbols / chars, share(r"\p{Lu}"), share(r"[^\p{L}\s]"), share("[0-9]"), n_dup / lines, n_rep / n, distinct / n, chars / lines]
+
+
+def test_statistics_equal_brute_force(spark):
+    rng = random.Random(14)
+    texts = [None, "", " ", "\n\n", *("".join(rng.choices(["a ", "B", "é|", "\n", "\t", "12 ", "a b c\n", "#"], k=rng.randrange(0, 80))) for _ in range(120))]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id bigint, text string, symbols string").repartition(3)
+    for r in quality_classifier.statistics(df).collect():
+        assert [r[f] for f in quality_classifier.FEATURES] == pytest.approx(plain_statistics(r["text"])), r["text"]
+
+
+def test_scores_of_repeated_rows_and_empty_tables(spark):
+    good, bad = corpus()
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad)] + [(0, good[0])] * 50, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k < len(good))) for k in range(len(good) + len(bad))] + [(0, 1)] * 40, "doc_id bigint, quality int")
+    rows = quality_classifier.score(docs, labels, sample=300).collect()
+    assert len(rows) == len(good) + len(bad) + 50 and len({r["score"] for r in rows if r["doc_id"] == 0}) == 1
+    assert quality_classifier.score(docs.limit(0), labels).count() == 0
+
+
+def test_features_and_votes_equal_plain_ones(spark):
+    rng = np.random.default_rng(15)
+    letters = "aé ßb1"
+    for text in ["", "1 2", *("".join(rng.choice(list(letters), 30)) for _ in range(30))]:
+        chars = [0, 0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0, 0]
+        mask, counts = (1 << 32) - 1, np.zeros(langid.WIDTH)
+        for i in range(len(chars) - 1):
+            pair = (chars[i] * 0x9E3779B1 ^ chars[i + 1] * 0x85EBCA77) & mask
+            if chars[i] or chars[i + 1]:
+                counts[(pair * 0x27D4EB2F & mask) >> 20] += 1
+            if i + 2 < len(chars) and chars[i + 1] and (chars[i] or chars[i + 2]):
+                counts[(((pair * 3 ^ chars[i + 2] * 0xC2B2AE3D) & mask) * 0x27D4EB2F & mask) >> 20] += 1
+        got = langid.features(text)
+        assert (got is None) == (not counts.any())
+        if got is not None:
+            assert got == pytest.approx(np.sqrt(counts) / np.linalg.norm(np.sqrt(counts)), abs=1e-6)
+    x = rng.random((60, langid.WIDTH)).astype(np.float32) / 30
+    model = langid.Model(x, [["en", "de", "nl", "fr", "es", "fi"][k % 6] for k in range(60)])
+    names, scores = model.predict(x)
+    for row, name, score in zip(x, names, scores):
+        margins = [3 * (f[:-1] @ row + f[-1]) for f in model.family]
+        odds = np.exp(np.array(margins) - max(margins))
+        members = model.members[model.families[int(odds.argmax())]]
+        votes = dict.fromkeys(members, 0.0)
+        for a in members:
+            for b in members:
+                if a < b:
+                    p = 1 / (1 + np.exp(-3 * float(model.pairs[a, b][:-1] @ row + model.pairs[a, b][-1])))
+                    votes[a], votes[b] = votes[a] + p, votes[b] + 1 - p
+        best = max(members, key=lambda c: (votes[c], c))
+        assert name == best and score == pytest.approx(odds.max() / odds.sum() * (votes[best] / (len(members) - 1) if len(members) > 1 else 1), abs=1e-5)
+
+
+def test_languages_of_repeated_rows_and_empty_tables(spark):
+    rows = [(1, "der und nicht", "de")] * 3000 + [(k, "the of and", "en") for k in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("found", F.lit(1))
+    got = langid.identify(df)
+    assert got.count() == len(rows) and {r["lang_pred"] for r in got.where("doc_id = 1").collect()} == {"de"}
+    assert langid.identify(df.limit(0)).count() == 0
