@@ -10,8 +10,18 @@ EXPOSURE_BAND = (70.0, 180.0)
 CLUSTER_BITS = 16
 DIVERSITY_BITS, DIVERSITY_PENALTY = 10, 0.15
 
+# White space that is stripped from replies: that of Unicode and the four separators (fixed values).
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+# Uploads: types of files and of content, bytes at most.
+PICTURE_TYPES = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "heic", "heif")
+VIDEO_TYPES = ("mp4", "mov", "avi", "mkv", "webm", "m4v")
+ANY_CONTENT = "application/octet-stream"
+PICTURE_BYTES, VIDEO_BYTES = 50 * 1024 * 1024, 200 * 1024 * 1024
+
 # Boards.
 TOP_N, VIDEO_SLOTS = 100, 20
+FRAME_INTERVAL, FRAMES_MOST = 1.0, 200
 FRAME_SHARPNESS_MIN, FRAME_BLUR_SHARE, FRAME_BATCH = 3.0, 0.3, 20
 
 # Weights of the fused score, and of the dimensions by platform.
@@ -30,7 +40,9 @@ CATEGORY_ALIASES = {
     "环境人像": "人像", "风光": "风景", "自然风光": "风景", "宠物": "动物", "野生动物": "动物", "食物": "美食", "夜色": "夜景",
 }
 FLAWS = ["模糊", "过曝", "欠曝", "噪点明显", "歪斜", "画面杂乱", "主体裁切", "逆光发黑", "地平线穿头", "闭眼", "人脸模糊"]
+DEFAULT_DIM, FLAWED_MOST = 5.0, 6.0
 EYES_CLOSED = "闭眼"
+CLAMP_NOTE = "已钳制至 6 分上限"
 FLAW_SUFFIX = "（人像硬伤：闭眼/主脸模糊，已钳制至 6 分上限）"
 
 # Rerun of a layer also reruns these.

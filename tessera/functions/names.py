@@ -29,3 +29,8 @@ def display(rank: Column, name: Column, prefix: str = "") -> Column:
 def by_content(content: Column, name: Column) -> Column:
     """The first eight hexadecimal digits of the content's MD5, with the name's extension in lower case."""
     return F.concat(F.substring(F.md5(content), 1, 8), F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1)))
+
+
+def cache_key(path: Column) -> Column:
+    """The first 16 hexadecimal digits of a path's MD5."""
+    return F.substring(F.md5(path), 1, 16)

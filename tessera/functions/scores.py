@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CATEGORIES, CATEGORY_ALIASES, DIVERSITY_PENALTY, EYES_CLOSED, FLAW_SUFFIX, FLAWS, FUSION
+from ..config import CATEGORIES, CATEGORY_ALIASES, DIVERSITY_PENALTY, EYES_CLOSED, FLAW_SUFFIX, FLAWED_MOST, FLAWS, FUSION, SPACES
+from .quality import bound
 
 SCORES = ("composition_score", "color_score", "lighting_score", "overall_aesthetic_score")
 
@@ -55,38 +56,45 @@ def face_score(count: Column, ratio: Column, overall: Column) -> Column:
     return F.when((count >= 6) & (ratio < 0.10), 0.0).otherwise(overall)
 
 
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
+
+
 def rubric(reply: Column) -> Column:
     """The first object of a reply whose four scores are numbers, with clamped scores (null if there is none).
 
-    Tried are the whole reply where it starts with a brace, then every innermost pair of braces.
+    Tried are the whole reply, without white space around it, where it starts with a brace, then every innermost
+    pair of braces. Each is parsed once.
     """
     kind = "struct<" + ",".join(f"{s}:string" for s in SCORES) + ",reason:string,category:string,hard_flaws:array<string>>"
-    text = F.trim(reply)
-    tried = F.concat(F.when(text.startswith("{"), F.array(text)).otherwise(F.array().cast("array<string>")), F.regexp_extract_all(text, F.lit(r"(\{[^{}]*\})"), 1))
-    parsed = F.transform(tried, lambda x: F.from_json(x, kind))
-    good = F.filter(parsed, lambda o: F.greatest(*[o[s].try_cast("double").isNull().cast("int") for s in SCORES]) == 0)
-    found = F.get(good, 0)
-    score = lambda s: F.round(F.greatest(F.lit(1.0), F.least(F.lit(10.0), found[s].try_cast("double"))), 1).alias(s)
-    made = F.struct(*map(score, SCORES), F.substring(F.trim(found["reason"]), 1, 200).alias("reason"), category(found["category"]).alias("category"), flaws(found["hard_flaws"]).alias("hard_flaws"))
-    return F.when(found.isNotNull(), made)
+    tried = lambda t: F.concat(F.when(t.startswith("{"), F.array(t)).otherwise(F.array().cast("array<string>")), F.regexp_extract_all(t, F.lit(r"(\{[^{}]*\})"), 1))
+    good = lambda o: F.greatest(*[o[s].try_cast("double").isNull().cast("int") for s in SCORES]) == 0
+    first = F.get(F.filter(F.transform(bound(stripped(reply), tried), lambda x: F.from_json(x, kind)), good), 0)
+
+    def made(o: Column) -> Column:
+        score = lambda s: F.round(F.greatest(F.lit(1.0), F.least(F.lit(10.0), o[s].try_cast("double"))), 1).alias(s)
+        reason = F.substring(stripped(o["reason"]), 1, 200)
+        return F.when(o.isNotNull(), F.struct(*map(score, SCORES), reason.alias("reason"), category(o["category"]).alias("category"), flaws(o["hard_flaws"]).alias("hard_flaws")))
+
+    return bound(first, made)
 
 
 def flaws(found: Column) -> Column:
-    """Known flaws only, trimmed, each once, the first five."""
+    """Known flaws only, without white space around them, each once, the first five."""
     known = F.array(*map(F.lit, FLAWS))
-    return F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.array_contains(known, x))), 1, 5)
+    return F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: stripped(x)), lambda x: F.array_contains(known, x))), 1, 5)
 
 
 def category(name: Column) -> Column:
     """The name itself if it is a category, else the category that it is another name of, else null."""
     others = F.create_map(*[F.lit(x) for pair in CATEGORY_ALIASES.items() for x in pair])
-    name = F.trim(name)
+    name = stripped(name)
     return F.coalesce(F.when(name.isin(CATEGORIES), name), others[name])
 
 
 def clamped(score: Column, flagged: Column, found: Column) -> Column:
     """6 at most where a face is flagged or closed eyes are among the flaws found."""
-    return F.when(flagged | F.exists(F.coalesce(found, F.array().cast("array<string>")), lambda x: x.contains(EYES_CLOSED)), F.least(score, F.lit(6.0))).otherwise(score)
+    return F.when(flagged | F.exists(F.coalesce(found, F.array().cast("array<string>")), lambda x: x.contains(EYES_CLOSED)), F.least(score, F.lit(FLAWED_MOST))).otherwise(score)
 
 
 def clamp_reason(reason: Column, hit: Column) -> Column:

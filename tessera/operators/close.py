@@ -20,10 +20,14 @@ CHUNK = 4096
 
 def _tiled(items: DataFrame, block: list[str], compare: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str, bits: int, chunk: int) -> DataFrame:
     """``compare`` on each pair of chunks, with the index pairs at ``bits`` bits or fewer (each once)."""
-    key = F.to_json(F.struct(*block)) if block else F.lit("")
-    items = items.where("h is not null").withColumn("_block", key)
-    sizes = items.groupBy("_block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_s"))
-    items = items.join(sizes, "_block").withColumn("_c", F.pmod(F.xxhash64("id"), "_s").cast("int"))
+    items = items.where("h is not null")
+    if block:
+        items = items.withColumn("_block", F.to_json(F.struct(*block)))
+        sizes = items.groupBy("_block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_s"))
+        items = items.join(sizes, "_block")
+    else:  # one block: its size is a number
+        items = items.withColumns({"_block": F.lit(""), "_s": F.lit(max(1, -(-items.count() // chunk)))})
+    items = items.withColumn("_c", F.pmod(F.xxhash64("id"), "_s").cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("_s") - 1), lambda x: F.struct(F.least("_c", x).alias("i"), F.greatest("_c", x).alias("j")))
     rows = items.withColumn("_p", F.explode(other)).withColumns({"_i": F.col("_p.i"), "_j": F.col("_p.j")}).drop("_p", "_s")
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CLUSTER_BITS, FRAME_BATCH, FRAME_BLUR_SHARE, FRAME_SHARPNESS_MIN
+from ..config import CLUSTER_BITS, FRAME_BATCH, FRAME_BLUR_SHARE, FRAME_INTERVAL, FRAME_SHARPNESS_MIN, FRAMES_MOST
 
 
-def step(fps: Column, duration: Column, interval: float = 1.0, most: int = 200) -> Column:
+def step(fps: Column, duration: Column, interval: float = FRAME_INTERVAL, most: int = FRAMES_MOST) -> Column:
     """Frames from one sample to the next: the interval is stretched where it would give more than ``most``."""
     every = F.when(duration / interval > most, duration / most).otherwise(F.lit(interval))
     return F.greatest(F.lit(1), F.bround(every * fps)).cast("long")
@@ -22,29 +23,46 @@ def relative_blur(frames: DataFrame, video: str = "video") -> DataFrame:
     return joined.withColumn("blurry", (F.col("_n") >= 4) & (F.col("sharpness") < F.greatest("_p", F.lit(FRAME_SHARPNESS_MIN)))).drop("_n", "_p")
 
 
-def first_seen(hashes: list[int], kept: list[int], bits: int = CLUSTER_BITS) -> list[bool]:
+def sampled(frames: DataFrame, interval: float = FRAME_INTERVAL, most: int = FRAMES_MOST) -> DataFrame:
+    """Of ``frames`` (idx from 0, fps, frame_count, ...) those that are sampled, with ``timestamp`` and ``duration`` in seconds.
+
+    About ``most`` a video at most. Frames of a video without a rate or a count have none.
+    """
+    duration = F.col("frame_count") / F.col("fps")
+    some = frames.where((F.col("fps") > 0) & (F.col("frame_count") > 0)).withColumn("duration", duration)
+    some = some.where(F.col("idx") % step(F.col("fps"), F.col("duration"), interval, most) == 0)
+    return some.withColumn("timestamp", F.bround(F.col("idx") / F.col("fps"), 2))
+
+
+def first_seen(hashes: np.ndarray, kept: np.ndarray, bits: int = CLUSTER_BITS) -> np.ndarray:
     """For each frame of a batch whether no frame in ``kept`` (from earlier batches) is nearer than ``bits`` bits."""
-    return [all((h ^ k).bit_count() >= bits for k in kept) for h in hashes]
+    near = np.bitwise_count(hashes.view(np.uint64)[:, None] ^ kept.view(np.uint64)[None, :]) < bits
+    return ~near.any(axis=1)
 
 
 def drop_repeats(frames: DataFrame, bits: int = CLUSTER_BITS, batch: int = FRAME_BATCH) -> DataFrame:
     """``frames`` (video, seq, h) without those near a frame kept from an earlier batch of their video.
 
-    Frames of one batch aren't compared with each other. Which frames stay depends on all kept before, so a
-    video's samples, of which there are 200 at most, are one group.
+    Frames of one batch aren't compared with each other; ties in seq go by h, and a frame without a hash is
+    dropped. Which frames stay depends on all kept before, so a video's samples are one group: take those of
+    sampled(), about FRAMES_MOST a video.
     """
 
-    def one(video: pd.DataFrame) -> pd.DataFrame:
-        video, kept, rows = video.sort_values("seq"), [], []
+    def one(video: pa.Table) -> pa.Table:
+        video = video.sort_by([("seq", "ascending"), ("h", "ascending")])
+        hashes = video.column("h").to_numpy()
+        stay, kept = np.zeros(len(video), bool), np.zeros(0, np.int64)
         for s in range(0, len(video), batch):
-            part = video.iloc[s : s + batch]
-            new = first_seen([int(h) & (1 << 64) - 1 for h in part["h"]], kept, bits)
-            part = part[new]
-            kept += [int(h) & (1 << 64) - 1 for h in part["h"]]
-            rows.append(part)
-        return pd.concat(rows)
-
-    return frames.groupBy("video").applyInPandas(one, frames.schema)
+            stay[s : s + batch] = first_seen(hashes[s : s + batch], kept, bits)
+            kept = np.concatenate((kept, hashes[s : s + batch][stay[s : s + batch]]))
+        return video.filter(pa.array(stay))
+
+    return frames.where("h is not null").groupBy("video").applyInArrow(one, frames.schema)
+
+
+def kept(frames: DataFrame) -> DataFrame:
+    """``frames`` (sharpness, over, under, blink) that are neither badly exposed nor blurry beyond use, without closed eyes."""
+    return frames.where(~(F.col("over") | F.col("under")) & (F.col("sharpness") >= FRAME_SHARPNESS_MIN) & ~F.col("blink"))
 
 
 def statistics(frames: DataFrame) -> DataFrame:

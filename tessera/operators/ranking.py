@@ -10,13 +10,29 @@ from ..sources.shared import cut
 
 
 def order_statistic(df: DataFrame, column: str, k: int, enough: int = 10_000) -> float:
-    """The k-th smallest value (from 0), exactly: ranges are counted and narrowed until few rows are left."""
+    """The k-th smallest value (from 0), exactly, in the engine's order: infinities at the ends, NaN after all; nulls don't count.
+
+    Ranges are counted and narrowed until few rows are left. Each pass leaves a 1024th of the range, so that
+    passes end whatever the values; ``df`` is read once a pass (cut it first).
+    """
+    v, big = F.col(column), float("inf")
+    ends = df.agg(F.count_if(v == -big), F.count_if(~F.isnan(v) & (v > -big) & (v < big)), F.count_if(v == big), F.count_if(F.isnan(v))).first()
+    for value, n in zip((-big, None, big, float("nan")), ends):
+        if k < n:
+            break
+        k -= n
+    else:
+        raise IndexError("fewer values than the place that is asked for")
+    if value is not None:
+        return value
+    df = df.where(~F.isnan(v) & (v > -big) & (v < big))
     while True:
         low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
         if low == high or n <= enough:
             return low if low == high else df.select(column).orderBy(column).offset(k).limit(1).first()[0]
-        step = (high - low) / 1024
-        place = F.least(F.floor((F.col(column) - low) / step), F.lit(1023))
+        step = high / 1024 - low / 1024
+        # Without a step fewer than 1024 numbers lie between the ends: each is a range of its own.
+        place = F.greatest(F.lit(0.0), F.least(F.floor(v / step - low / step).cast("double"), F.lit(1023.0))) if step else v
         for r in sorted(df.groupBy(place.alias("p")).agg(F.count("*").alias("n")).collect()):  # 1024 rows at most
             if k < r["n"]:
                 df = df.where(place == r["p"])
@@ -27,16 +43,17 @@ def order_statistic(df: DataFrame, column: str, k: int, enough: int = 10_000) ->
 def stretch(df: DataFrame, column: str, valid: Column, floor: float = 0.0) -> DataFrame:
     """``df`` with ``column`` of the valid rows stretched from the 5th to the 95th place of their order to 0..10.
 
-    Left alone where fewer than two rows are valid or the places lie less than 0.5 apart. floor: of the
-    stretched value before the factor 10, so that a scored row never gets the 0 of an unscored one.
+    Left alone where fewer than two rows are valid, or the places lie less than 0.5 or infinitely far apart. floor:
+    of the stretched value before the factor 10, so that a scored row never gets the 0 of an unscored one. The
+    valid values are cut first: what ``df`` takes to compute is computed once for both places.
     """
-    some = df.where(valid).select(F.col(column).cast("double").alias("v"))
+    some = cut(df.where(valid).select(F.col(column).cast("double").alias("v")).where("v is not null"))
     n = some.count()
     if n < 2:
         return df
     low = order_statistic(some, "v", max(0, int(n * 0.05) - 1))
     high = order_statistic(some, "v", min(n - 1, int(n * 0.95) - 1))
-    if high - low < 0.5:
+    if not 0.5 <= high - low < float("inf"):
         return df
     unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(column) - low) / (high - low)))
     return df.withColumn(column, F.when(valid, F.round(F.greatest(unit, F.lit(floor)) * 10, 4)).otherwise(F.col(column)))
@@ -58,18 +75,36 @@ def top_each(df: DataFrame, group: str, order: list[Column], k: int | Column) ->
 
 
 def summaries(members: DataFrame) -> DataFrame:
-    """A row a cluster of (cluster_id, id, sharpness): members, their number, the sharpest one and the two sharpest."""
-    first = F.sort_array(F.collect_list(F.struct((-F.col("sharpness")).alias("s"), "id")))
-    made = members.groupBy("cluster_id").agg(F.count("*").alias("member_count"), F.sort_array(F.collect_list("id")).alias("members"), first.alias("_by"))
-    ids = F.transform(F.slice("_by", 1, 2), lambda x: x["id"])
-    return made.select("cluster_id", "member_count", "members", F.get("_by", 0)["id"].alias("representative"), ids.alias("representatives"))
+    """A row a cluster of (cluster_id, id, sharpness): member_count, representative and representatives (the sharpest, the two sharpest).
+
+    Of equally sharp members the smallest id comes first. Both are found by aggregates that combine before the
+    shuffle; the members themselves are the rows of ``members``, and are never gathered.
+    """
+    best = F.struct(F.col("sharpness"), (-F.col("id")).alias("minus"))
+    first = members.groupBy("cluster_id").agg(F.count("*").alias("member_count"), F.max(best).alias("_best"))
+    first = first.select("cluster_id", "member_count", (-F.col("_best.minus")).alias("representative"))
+    second = members.join(first.select("cluster_id", F.col("representative").alias("id")), ["cluster_id", "id"], "left_anti").groupBy("cluster_id").agg(F.max(best).alias("_second"))
+    both = F.array_compact(F.array("representative", -F.col("_second.minus")))
+    return first.join(second, "cluster_id", "left").withColumn("representatives", both).drop("_second")
+
+
+def numbered(clusters: DataFrame) -> DataFrame:
+    """``clusters`` (cluster_id: its smallest member, ...) with ``number``: from 0 in the order of first members."""
+    return global_rank(clusters, [F.col("cluster_id")], "number").withColumn("number", F.col("number") - 1)
+
+
+def representatives(clusters: DataFrame) -> DataFrame:
+    """(cluster_id, id): the representatives of each cluster, or its one representative where it lists none."""
+    some = F.when(F.size("representatives") > 0, F.col("representatives")).otherwise(F.array("representative"))
+    return clusters.select("cluster_id", F.explode(some).alias("id"))
 
 
-def quotas(videos: DataFrame, slots: int) -> DataFrame:
+def quotas(videos: DataFrame, slots: int, most: float | None = None) -> DataFrame:
     """(video, duration, quota): slots in proportion to duration, one at least, ties by name.
 
     What rounding gives beyond ``slots`` is taken back unit by unit, the unit with the largest quota over
-    duration first; what is missing goes to the longest video. Without durations slots are dealt evenly.
+    duration first; what is missing goes to the longest videos. Without durations slots are dealt evenly.
+    most: a share of ``slots`` that no video gets more than; then some may stay free.
     """
     total, n = videos.agg(F.coalesce(F.sum("duration"), F.lit(0.0)), F.count("*")).first()
     if not n:
@@ -77,13 +112,21 @@ def quotas(videos: DataFrame, slots: int) -> DataFrame:
     if total <= 0:
         more = videos.orderBy("video").limit(slots % n).select("video", F.lit(1).alias("more"))
         return videos.join(more, "video", "left").select("video", "duration", (slots // n + F.coalesce("more", F.lit(0))).cast("long").alias("quota"))
+    cap = max(1, int(slots * most)) if most else max(1, slots)
     given = videos.withColumn("quota", F.greatest(F.lit(1), F.bround(slots * F.col("duration") / F.lit(total))).cast("long"))
+    given = given.withColumn("quota", F.least("quota", F.lit(cap))) if most else given
     have = given.agg(F.sum("quota")).first()[0]
     if have > slots:
         units = given.where("quota > 1").select("video", "duration", F.explode(F.sequence(F.lit(2), F.col("quota"))).alias("unit"))
         back = units.orderBy((F.col("unit") / F.col("duration")).desc(), "video").limit(have - slots).groupBy("video").agg(F.count("*").alias("back"))
         given = given.join(back, "video", "left").withColumn("quota", F.col("quota") - F.coalesce("back", F.lit(0)))
     elif have < slots:
-        longest = given.orderBy(F.col("duration").desc(), "video").limit(1).select("video", F.lit(slots - have).alias("more"))
-        given = given.join(F.broadcast(longest), "video", "left").withColumn("quota", F.col("quota") + F.coalesce("more", F.lit(0)))
+        # The longest takes all that is missing, or with a cap the longest ones up to it: each video asks for one slot at least,
+        # so that ``slots - have`` of them are enough.
+        room = given.where(F.col("quota") < cap) if most else given
+        longest = room.orderBy(F.col("duration").desc(), "video").limit(slots - have if most else 1)
+        asked = (F.lit(cap) - F.col("quota")) if most else F.lit(slots - have)
+        before = F.sum("asked").over(Window.orderBy(F.col("duration").desc(), "video")) - F.col("asked")  # rows bounded by the slots
+        more = longest.withColumn("asked", asked.cast("long")).withColumn("more", F.greatest(F.lit(0), F.least("asked", slots - have - before)))
+        given = given.join(F.broadcast(more.select("video", "more")), "video", "left").withColumn("quota", F.col("quota") + F.coalesce("more", F.lit(0)))
     return given.select("video", "duration", "quota")

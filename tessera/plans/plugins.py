@@ -11,18 +11,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-Scorer = Callable[[object], float]
+from ..sources.shared import cut
 
+Scorer = Callable[[object], float]
+_LOADED: dict[str, object] = {}
 
-def scored(value: Column, load: Callable[[], Scorer], low: float = 0.0, high: float = 10.0) -> Column:
-    """struct<score, error> of a model that ``load`` makes once for each task; a row that fails fails alone.
 
-    Scores are clamped and rounded to four places. If the model can't be loaded every row says so.
+def loaded(name: str | None, loaders: list[Callable[[], object]], tries: int = 1) -> object:
+    """What the first loader that works makes, once for each worker process and ``name`` (None: each time); each is tried ``tries`` times."""
+    if name in _LOADED:
+        return _LOADED[name]
+    for k, load in enumerate(loaders * tries):
+        try:
+            made = load()
+            break
+        except Exception:
+            if k + 1 == len(loaders) * tries:
+                raise
+    if name is not None:
+        _LOADED[name] = made
+    return made
+
+
+def scored(value: Column, load: Callable[[], Scorer] | list[Callable[[], Scorer]], low: float = 0.0, high: float = 10.0, name: str | None = None, tries: int = 1) -> Column:
+    """struct<score, error> of a model; a row that fails fails alone.
+
+    load: makes the model, or several loaders (one for each device), of which the first that works counts. With a
+    ``name`` a worker process keeps the model for later tasks, else each task loads it. Scores are clamped and
+    rounded to four places. If the model can't be loaded every row says so.
     """
+    loaders = load if isinstance(load, list) else [load]
 
     def some(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         try:
-            model, broken = load(), None
+            model, broken = loaded(name, loaders, tries), None
         except Exception as error:  # the stage goes on without scores
             model, broken = None, str(error)
 
@@ -42,20 +64,21 @@ def scored(value: Column, load: Callable[[], Scorer], low: float = 0.0, high: fl
     return F.pandas_udf(some, kind)(value)
 
 
-def asked(prompts: DataFrame, connect: Callable[[], Callable[[str], str]], tries: int = 3, at_once: int = 8, wait: float = 1.0) -> DataFrame:
-    """``prompts`` (id, prompt) with ``reply`` and ``error`` of a remote judge.
+def asked(prompts: DataFrame, connect: Callable[[], Callable[..., str]], tries: int = 3, at_once: int = 8, wait: float = 1.0, encode: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """``prompts`` (id, prompt[, picture]) with ``reply`` and ``error`` of a remote judge.
 
     Calls wait on the network, so each task keeps ``at_once`` of them going; a call is tried ``tries`` times
-    with doubled waits between.
+    with doubled waits between. With ``encode`` the judge is asked with the prompt and the encoded bytes of ``picture``.
     """
+    columns = ["id", "prompt", *["picture"] * (encode is not None)]
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = connect()
 
-        def one(prompt: str) -> tuple[str | None, str | None]:
+        def one(prompt: str, *picture: bytes) -> tuple[str | None, str | None]:
             for k in range(tries):
                 try:
-                    return ask(prompt), None
+                    return ask(prompt, *map(encode, picture)), None
                 except Exception as error:
                     last = str(error)
                     if k + 1 < tries:
@@ -64,16 +87,16 @@ def asked(prompts: DataFrame, connect: Callable[[], Callable[[str], str]], tries
 
         with ThreadPoolExecutor(at_once) as pool:
             for batch in batches:
-                found = list(pool.map(one, batch["prompt"]))
+                found = list(pool.map(one, *(batch[c] for c in columns[1:])))
                 yield batch[["id"]].assign(reply=[r for r, _ in found], error=[e for _, e in found])
 
-    return prompts.select("id", "prompt").mapInPandas(some, "id bigint, reply string, error string")
+    return prompts.select(*columns).mapInPandas(some, "id bigint, reply string, error string")
 
 
 def fallback(make: Callable[[], DataFrame], otherwise: Callable[[], DataFrame], skipped: list[str], layer: str) -> DataFrame:
-    """``make()``, or ``otherwise()`` if the layer can't be made, which ``skipped`` then lists once."""
+    """``make()`` written once, or ``otherwise()`` if that fails, in planning or in a task; ``skipped`` then lists the layer once."""
     try:
-        return make()
+        return cut(make())
     except Exception:
         if layer not in skipped:
             skipped.append(layer)

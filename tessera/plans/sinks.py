@@ -30,6 +30,22 @@ def write_board(items: DataFrame, folder: str, n: int, video: bool = False) -> N
     top.orderBy("rank").select("path", display(F.col("rank"), F.col("filename"), prefix).alias("name")).write.mode("overwrite").json(f"{folder}/{mode}names")
 
 
+def copy_shown(names: DataFrame, folder: str) -> None:
+    """Copy the files of ``names`` (path, name) into ``folder`` under their display names, task by task; both may lie in any store."""
+
+    def some(rows) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
+        for path, name in rows:
+            source, at = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+            with source.open_input_stream(at) as read, store.open_output_stream(f"{base}/{name}") as out:
+                out.write(read.read())
+
+    names.select("path", "name").foreachPartition(some)
+
+
 def summary(measured: DataFrame, clusters: DataFrame, board: DataFrame) -> DataFrame:
     """One row: total, rejected, merged, ranked, output."""
     found = measured.agg(F.count("*").alias("total"), F.count_if("rejected").alias("rejected")).first().asDict()

@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import rerun_closure
+from ..sources.shared import cut
 
 VERSION = 2
 ORDER = ("l1", "l2", "l4", "topiq", "vlm")
+_RUNNING: set[str] = set()
+_GUARD = threading.Lock()
+
+
+class Busy(RuntimeError):
+    """A run of the same root is going on."""
+
+
+@contextmanager
+def alone(root: str) -> Iterator[None]:
+    """One run at a time for each root of this driver; a second one is told so at once."""
+    with _GUARD:
+        if root in _RUNNING:
+            raise Busy(root)
+        _RUNNING.add(root)
+    try:
+        yield
+    finally:
+        with _GUARD:
+            _RUNNING.discard(root)
 
 
 class Stages:
@@ -20,7 +43,7 @@ class Stages:
         self.spark, self.root = spark, root.rstrip("/")
 
     def manifest(self) -> DataFrame:
-        kind = "version int, stage string, seq bigint"
+        kind = "version int, stage string, seq bigint, skipped boolean"
         try:
             return self.spark.read.schema(kind).json(f"{self.root}/manifest")
         except Exception as error:  # no manifest yet
@@ -33,13 +56,25 @@ class Stages:
         rows = self.manifest().collect()  # a row a stage and run
         return {r["stage"] for r in rows if r["version"] >= VERSION or r["stage"] in ("l1", "l2")}
 
-    def save(self, stage: str, df: DataFrame) -> DataFrame:
-        """Write a stage, then its mark: a broken write leaves no mark."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{stage}")
-        mark = self.spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(stage).alias("stage"), F.unix_micros(F.current_timestamp()).alias("seq"))
+    def _mark(self, stage: str, skipped: bool) -> None:
+        mark = self.spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(stage).alias("stage"), F.unix_micros(F.current_timestamp()).alias("seq"), F.lit(skipped).alias("skipped"))
         mark.write.mode("append").json(f"{self.root}/manifest")
+
+    def save(self, stage: str, df: DataFrame, skipped: bool = False) -> DataFrame:
+        """Write a stage, then its mark: a broken write leaves no mark. skipped: its layer failed, and ``df`` stands for it."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{stage}")
+        self._mark(stage, skipped)
         return self.load(stage)
 
+    def add(self, stage: str, df: DataFrame) -> DataFrame:
+        """save() for a ``df`` that may read the stage itself."""
+        return self.save(stage, cut(df))
+
+    def skipped(self) -> list[str]:
+        """Layers that failed in any run, in the order of their first failure."""
+        rows = self.manifest().where("skipped").groupBy("stage").agg(F.min("seq").alias("seq")).orderBy("seq", "stage")
+        return [r["stage"] for r in rows.collect()]
+
     def load(self, stage: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{stage}")
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import config
 from .config import PLATFORMS
 from .functions import faces, fingerprints, names, prompts, scores
 from .operators import close, frames as frame_ops, merge, ranking
 from .plans import boards
-from .sources import tables
+from .sources import images, manifests, tables
 from .sources.shared import table
 from .streaming import arrivals
 
@@ -72,7 +73,7 @@ _QUOTAS = _FRAMES + f""", given AS (
 _REPLIES = """replies AS (
   SELECT event_id, '"composition_score": ' || (event_id % 10) || ', "color_score": "8.5", "lighting_score": 0, "overall_aesthetic_score": 12' AS s, event_id % 6 AS form FROM events
 ), texts AS (
-  SELECT event_id, CASE form WHEN 0 THEN '{' || s || ', "hard_flaws": ["模糊", "模糊", " 闭眼 ", "unknown"], "category": "人文", "reason": " fine "}'
+  SELECT event_id, CASE form WHEN 0 THEN '{' || s || ', "hard_flaws": ["模糊", "模糊", " 闭眼 ", "unknown"], "category": "人文", "reason": " fine ", "more": {"a": 1}}'
     WHEN 1 THEN 'Here: {' || s || ', "category": "风景"} done' WHEN 2 THEN '{"a": 1} then {' || s || ', "category": "other", "reason": "b"}'
     WHEN 3 THEN 'no object' WHEN 4 THEN '{"composition_score": 5, "color_score": 5}' ELSE '{' || s || ', "hard_flaws": ["过曝"], "category": "宠物"}' END AS reply FROM replies
 ), objects AS (
@@ -130,6 +131,16 @@ def q_reject_reasons(spark, sf_dir):
     return _measured(spark, sf_dir).select("id", "rejected", F.array_join("reasons", ", ").alias("reason"))
 
 
+@_query(f"WITH {_MEASURES} SELECT id, round_even(sharpness, 2) AS sharpness, round_even(exposure, 4) AS exposure FROM measures")
+def q_rounded_measures(spark, sf_dir):
+    return boards.rounded(_measured(spark, sf_dir)).select("id", "sharpness", "exposure")
+
+
+@_query(f"WITH {_MEASURES} SELECT date_key, count(*) AS items FROM measures GROUP BY date_key")
+def q_skip_filter(spark, sf_dir):
+    return boards.passed(_measured(spark, sf_dir), skip=True).groupBy("date_key").agg(F.count("*").alias("items"))
+
+
 @_query(f"WITH {_MEASURES} SELECT id, date_key, sharpness FROM measures WHERE reason = ''")
 def q_kept(spark, sf_dir):
     return _measured(spark, sf_dir).where("not rejected").select("id", "date_key", "sharpness")
@@ -153,6 +164,11 @@ def q_hamming_pairs(spark, sf_dir):
     return close.pairs(tables.tiles(spark, sf_dir), CLUSTER_BITS)
 
 
+@_query(f"WITH {_BITS} SELECT x.id AS a, y.id AS b, CAST(hamming(x.h, y.h) AS INT) AS distance FROM bits x JOIN bits y ON x.id < y.id AND hamming(x.h, y.h) <= {config.CLUSTER_BITS}")
+def q_default_pairs(spark, sf_dir):
+    return close.pairs(tables.tiles(spark, sf_dir), config.CLUSTER_BITS)
+
+
 @_query(f"WITH {_BITS} SELECT x.id AS a, y.id AS b, CAST(hamming(x.h, y.h) AS INT) AS distance FROM bits x JOIN bits y ON x.id < y.id AND x.date_key = y.date_key AND hamming(x.h, y.h) <= {CLUSTER_BITS}")
 def q_same_date_pairs(spark, sf_dir):
     return close.pairs(tables.tiles(spark, sf_dir), CLUSTER_BITS, ["date_key"])
@@ -183,8 +199,20 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_MEMBERS} SELECT cluster_id, count(*) AS member_count, max(id) FILTER (WHERE k = 1) AS representative, string_agg(id, ',' ORDER BY id) AS members FROM members GROUP BY cluster_id")
 def q_cluster_summary(spark, sf_dir):
-    rows = ranking.summaries(_members(spark, sf_dir))
-    return rows.select("cluster_id", "member_count", "representative", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+    rows = _members(spark, sf_dir)
+    # Only this report shows the members of a cluster as one text.
+    listed = rows.groupBy("cluster_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda m: m.cast("string")), ",").alias("members"))
+    return ranking.summaries(rows).join(listed, "cluster_id").select("cluster_id", "member_count", "representative", "members")
+
+
+@_query(f"{_MEMBERS} SELECT cluster_id, id FROM members WHERE k <= 2")
+def q_representatives(spark, sf_dir):
+    return ranking.representatives(ranking.summaries(_members(spark, sf_dir)))
+
+
+@_query(f"{_CLUSTERS} SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) - 1 AS number FROM (SELECT DISTINCT cluster_id FROM found)")
+def q_cluster_numbers(spark, sf_dir):
+    return ranking.numbered(_clusters(spark, sf_dir).select("cluster_id").distinct())
 
 
 @_query(f"{_MEMBERS} SELECT cluster_id, id, CAST(k AS INT) AS place FROM members WHERE k <= 2")
@@ -291,6 +319,50 @@ def q_flaw_clamp(spark, sf_dir):
     return _rubric(spark, sf_dir).select("event_id", F.when(r.isNotNull(), scores.clamped(r["overall_aesthetic_score"], F.col("event_id") % 4 == 0, r["hard_flaws"])).alias("score"))
 
 
+_APPLIED = f"""applied AS (
+  SELECT event_id, event_id % 10 <> 9 AS fine, o, event_id % 10 <> 9 AND o IS NOT NULL AS given, event_id % 4 = 0 OR event_id % 6 = 0 AS hit,
+         {", ".join(f"CASE WHEN o IS NULL THEN 5.0 ELSE {_CLAMP.format(s)} END AS {s}" for s in scores.SCORES)} FROM objects)"""
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, none = F.col("event_id"), F.lit(None).cast("string")
+    rows = _rubric(spark, sf_dir).withColumns({"flagged": i % 4 == 0, "error": F.when(i % 10 == 9, "failed"), "vlm": F.lit(3.0), "reason": F.lit("old"), "category": none, "hard_flaws": F.array().cast("array<string>")})
+    return boards.rubric_applied(rows)
+
+
+@_query(f"""WITH {_REPLIES}, {_APPLIED} SELECT event_id, CASE WHEN fine THEN composition_score END AS composition, CASE WHEN fine THEN color_score END AS color, CASE WHEN fine THEN lighting_score END AS lighting,
+  CASE WHEN given THEN CASE WHEN hit THEN least(overall_aesthetic_score, 6) ELSE overall_aesthetic_score END ELSE 3.0::DOUBLE END AS vlm,
+  CASE WHEN NOT given THEN 'old' WHEN NOT hit THEN coalesce(trim(o ->> '$.reason'), '') WHEN o ->> '$.reason' IS NULL THEN '{config.FLAW_SUFFIX.strip("（）")}' ELSE trim(o ->> '$.reason') || '{config.FLAW_SUFFIX}' END AS reason,
+  CASE WHEN given THEN CASE event_id % 6 WHEN 0 THEN '人文纪实' WHEN 1 THEN '风景' WHEN 5 THEN '动物' END END AS category,
+  CASE WHEN NOT given THEN '' ELSE CASE event_id % 6 WHEN 0 THEN '模糊,闭眼' WHEN 5 THEN '过曝' ELSE '' END END AS flaws FROM applied""")
+def q_rubric_applied(spark, sf_dir):
+    columns = ("composition", "color", "lighting", "vlm", "reason", "category")
+    return _applied(spark, sf_dir).select("event_id", *columns, F.array_join("hard_flaws", ",").alias("flaws"))
+
+
+@_query(f"WITH {_REPLIES} SELECT event_id AS id, {_CLAMP.format('composition_score')} AS composition FROM objects WHERE event_id % 10 <> 9 AND event_id % 3 <> 0")
+def q_replies_merged(spark, sf_dir):
+    rows = tables.replies(spark, sf_dir).withColumnRenamed("event_id", "id")
+    items = rows.select("id", F.when(F.col("id") % 10 == 9, "failed").alias("error"))
+    return boards.replies_merged(items, rows.where("id % 3 <> 0")).select("id", F.col("r")["composition_score"].alias("composition"))
+
+
+@_query(f"""WITH {_SCORED} SELECT id, CASE WHEN id % 3 = 0 THEN 0 WHEN face_count >= 6 AND face_ratio < 0.1 THEN 0 ELSE round(clarity * 0.5::DOUBLE + 0.2::DOUBLE, 6) END AS face,
+  CASE WHEN id % 5 = 0 THEN 0.5 ELSE round(objective, 6) END AS objective, id % 7 <> 0 AS printed FROM scored""")
+def q_board_lookups(spark, sf_dir):
+    rows = tables.scored(spark, sf_dir)
+    found = rows.where("id % 3 <> 0").select("id", "face_count", F.col("face_ratio").alias("ratio"), (F.col("clarity") * 0.5 + 0.2).alias("face_overall"))
+    measures = rows.where("id % 5 <> 0").select("id", F.col("objective").alias("overall"))
+    out = boards.looked_up(rows.select("id"), found, measures, rows.where("id % 7 <> 0").select("id", "h"))
+    return out.select("id", *_six("face", "objective"), F.col("h").isNotNull().alias("printed"))
+
+
+@_query(_stretch_sql("vlm", "vlm > 0", "0.01").replace("SELECT id, CASE", "SELECT id, vlm > 6 AND main_blink AS noted, CASE WHEN main_blink THEN least(vlm, 6) ELSE vlm END AS vlm FROM (SELECT id, main_blink, CASE") + ")")
+def q_vlm_settled(spark, sf_dir):
+    rows = tables.scored(spark, sf_dir).select("id", "vlm", F.col("main_blink").alias("flagged"), F.lit("").alias("reason"), F.array().cast("array<string>").alias("hard_flaws"))
+    return boards.vlm_settled(rows).select("id", (F.col("reason") != "").alias("noted"), "vlm")
+
+
 @_query("""SELECT has_face, has_vlm, round(CASE WHEN f THEN 0.45 ELSE 0.45::DOUBLE / 0.85 END, 6) AS vlm, round(CASE WHEN f THEN 0.3 ELSE 0.3::DOUBLE / 0.85 END, 6) AS topiq,
   round(CASE WHEN f THEN 0.15 ELSE 0::DOUBLE END, 6) AS face, round(CASE WHEN f THEN 0.1 ELSE 0.1::DOUBLE / 0.85 END, 6) AS objective
   FROM (SELECT *, has_face AND NOT has_vlm AS f FROM (SELECT DISTINCT o_orderkey % 2 = 0 AS has_face, o_custkey % 2 = 0 AS has_vlm FROM orders))""")
@@ -331,10 +403,23 @@ def q_final_topn(spark, sf_dir):
     return boards.photo_board(tables.scored(spark, sf_dir), bits=NEAR_BITS + 1).select("id", *_six("final"))
 
 
-@_query(f"WITH {_FRAMES} SELECT video, seq, event_id FROM frames WHERE (seq - 1) % 5 = 0")
+@_query(f"""WITH {_FRAMES}, rated AS (SELECT *, 1 + video % 5 AS fps, count(*) OVER (PARTITION BY video) / (1 + video % 5)::DOUBLE AS secs FROM frames)
+  SELECT video, seq, event_id, round_even((seq - 1) / fps::DOUBLE, 2) AS "timestamp", secs AS duration FROM rated
+  WHERE (seq - 1) % greatest(1, CAST(round_even(CASE WHEN secs > 10 THEN secs / 10 ELSE 1 END * fps, 0) AS BIGINT)) = 0""")
 def q_frame_sample(spark, sf_dir):
-    rows = tables.frames(spark, sf_dir).where((F.col("seq") - 1) % 5 == 0)
-    return rows.select("video", F.col("seq").cast("long").alias("seq"), "event_id")
+    rows = tables.frames(spark, sf_dir)
+    counts = rows.groupBy("video").agg(F.count("*").alias("frame_count"))
+    rows = rows.join(counts, "video").withColumns({"idx": F.col("seq") - 1, "fps": (1 + F.col("video") % 5).cast("double")})
+    return frame_ops.sampled(rows, 1.0, 10).select("video", F.col("seq").cast("long").alias("seq"), "event_id", "timestamp", "duration")
+
+
+def _exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.frames(spark, sf_dir).withColumns({"over": F.col("event_id") % 50 == 0, "under": F.col("event_id") % 53 == 0})
+
+
+@_query("SELECT event_id FROM events WHERE event_id % 50 <> 0 AND event_id % 53 <> 0 AND value >= 3 AND event_type <> 'error'")
+def q_frames_kept(spark, sf_dir):
+    return frame_ops.kept(_exposed(spark, sf_dir)).select("event_id")
 
 
 @_query("SELECT event_id, value AS sharpness FROM events WHERE value >= 3.0")
@@ -349,7 +434,9 @@ def q_relative_blur(spark, sf_dir):
 
 @_query()
 def q_frame_dedup(spark, sf_dir):
-    rows = tables.frames(spark, sf_dir).select("video", "seq", "event_id", "h")
+    rows = tables.frames(spark, sf_dir)
+    counts = rows.groupBy("video").agg(F.count("*").alias("frame_count"))
+    rows = frame_ops.sampled(rows.join(counts, "video").withColumns({"idx": F.col("seq") - 1, "fps": F.lit(1.0)})).select("video", "seq", "event_id", "h")
     return frame_ops.drop_repeats(rows).select("video", "event_id")
 
 
@@ -358,21 +445,32 @@ def q_video_quota(spark, sf_dir):
     return ranking.quotas(tables.videos(spark, sf_dir), SLOTS).select("video", "quota")
 
 
+_CAP = 8
+
+
+@_query(_QUOTAS.replace(_FRAMES + ", ", "WITH " + _FRAMES + ", raw AS (SELECT video, duration, greatest(1, CAST(round_even(1000 * duration / (SELECT sum(duration) FROM videos), 0) AS BIGINT)) AS q FROM videos), ").replace(f"""given AS (
+  SELECT video, duration, greatest(1, CAST(round_even({SLOTS} * duration / (SELECT sum(duration) FROM videos), 0) AS BIGINT)) AS q FROM videos
+)""", f"given AS (SELECT video, duration, least(q, {_CAP}) AS q FROM raw)").split(", quotas AS")[0] + f""", more AS (
+  SELECT video, greatest(0, least({_CAP} - q, {SLOTS} - (SELECT sum(q) FROM given) - (sum({_CAP} - q) OVER (ORDER BY duration DESC, video) - ({_CAP} - q)))) AS n FROM given WHERE q < {_CAP})
+  SELECT g.video, CAST(g.q - coalesce(b.n, 0) + coalesce(m.n, 0) AS BIGINT) AS quota FROM given g LEFT JOIN back b USING (video) LEFT JOIN more m USING (video)""")
+def q_quota_capped(spark, sf_dir):
+    return ranking.quotas(tables.videos(spark, sf_dir), SLOTS, _CAP / SLOTS).select("video", "quota")
+
+
 @_query(f"WITH {_QUOTAS} SELECT video, event_id, CAST(k AS INT) AS place FROM (SELECT f.video, event_id, quota, row_number() OVER (PARTITION BY f.video ORDER BY overall DESC, seq) AS k FROM frames f JOIN quotas q ON q.video = f.video) WHERE k <= quota")
 def q_video_topk(spark, sf_dir):
     rows = boards.video_board(tables.frames(spark, sf_dir), tables.videos(spark, sf_dir), SLOTS)
     return rows.select("video", "event_id", F.col("rank_in_group").alias("place"))
 
 
-@_query(f"WITH {_FRAMES} SELECT video, count(*) AS candidates, count(*) FILTER (WHERE sharpness < 3) AS blurry, count(*) FILTER (WHERE sharpness >= 3 AND blink) AS blink, count(*) FILTER (WHERE sharpness >= 3 AND NOT blink) AS kept FROM frames GROUP BY video")
+@_query(f"WITH {_FRAMES}, t AS (SELECT *, event_id % 50 = 0 OR event_id % 53 = 0 AS bad FROM frames) SELECT video, count(*) AS candidates, count(*) FILTER (WHERE bad) AS failed, count(*) FILTER (WHERE NOT bad AND sharpness < 3) AS blurry, count(*) FILTER (WHERE NOT bad AND sharpness >= 3 AND blink) AS blink, count(*) FILTER (WHERE NOT bad AND sharpness >= 3 AND NOT blink) AS kept FROM t GROUP BY video")
 def q_video_stats(spark, sf_dir):
-    rows = tables.frames(spark, sf_dir).withColumns({"over": F.lit(False), "under": F.lit(False)})
-    return frame_ops.statistics(rows).drop("failed")
+    return frame_ops.statistics(_exposed(spark, sf_dir))
 
 
-@_query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@_query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
 def q_new_items(spark, sf_dir):
-    items, known = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    items, known = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
     return merge.unseen(items.select(F.col("c_custkey").alias("id")), known.select(F.col("o_custkey").alias("id")))
 
 
@@ -404,6 +502,27 @@ def q_upload_hash(spark, sf_dir):
     return rows.select(names.by_content(F.col("html"), F.lit("picture.JPG")).alias("name")).distinct()
 
 
+@_query("""SELECT DISTINCT md5(html)[:8] || CASE page_id % 4 WHEN 0 THEN '.jpg' ELSE '.heic' END AS name FROM pages WHERE page_id % 4 IN (0, 2) AND page_id % 5 <> 1 AND length(html) <= 3000""")
+def q_uploads_accepted(spark, sf_dir):
+    i = F.col("page_id")
+    name = F.concat(F.lit("/in/p"), i.cast("string"), F.element_at(F.array(*map(F.lit, (".JPG", ".exe", ".heic", ""))), (i % 4 + 1).cast("int")))
+    mime = F.element_at(F.array(*map(F.lit, ("image/png", "text/html", "application/octet-stream", "", "image/heic"))), (i % 5 + 1).cast("int"))
+    size = F.when(F.length("html") <= 3000, F.lit(10)).otherwise(F.lit(config.PICTURE_BYTES + 1))
+    return images.accepted(table(spark, sf_dir, "pages").select(name.alias("path"), size.alias("length"), F.encode("html", "utf-8").alias("content"), mime.alias("mime"))).select("name")
+
+
+@_query("SELECT page_id, md5(url)[:16] AS key FROM pages")
+def q_cache_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", names.cache_key(F.col("url")).alias("key"))
+
+
+@_query("SELECT 'f' || o_orderkey || '.jpg' AS filename, o_totalprice AS sharpness FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 5)")
+def q_manifest_existing(spark, sf_dir):
+    name = lambda k: F.concat(F.lit("f"), F.col(k).cast("string"), F.lit(".jpg"))
+    rows = table(spark, sf_dir, "orders").select(name("o_orderkey").alias("filename"), F.col("o_totalprice").alias("sharpness"))
+    return manifests.existing(rows, table(spark, sf_dir, "lineitem").where("l_linenumber = 5").select(name("l_orderkey").alias("name")))
+
+
 @_query(r"""SELECT page_id, CASE WHEN x = '' OR x = '..' THEN 'unnamed' ELSE x END AS name FROM (SELECT page_id, trim(regexp_replace(string_split(replace(url, '\', '/'), '/')[-1], '[:*?"<>|]', '_', 'g')) AS x FROM pages)""")
 def q_safe_filename(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", names.safe(F.col("url")).alias("name"))

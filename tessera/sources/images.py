@@ -5,35 +5,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import UNREADABLE
-from ..functions.names import base_name, by_content
+from ..config import ANY_CONTENT, PICTURE_BYTES, PICTURE_TYPES, UNREADABLE, VIDEO_BYTES, VIDEO_TYPES
+from ..functions import pixels
+from ..functions.names import base_name, by_content, cache_key
 
+#: What a scan takes, what a listing shows, and what the engine's own source can't decode.
 PATTERN = "*.{jpg,jpeg,png,JPG,PNG,heic,HEIC}"
-UPLOAD_TYPES = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "heic", "heif")
-UPLOAD_BYTES = 50 * 1024 * 1024
+LISTED = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[hH][eE][iI][cCfF]}"
+FOREIGN = "*.{heic,HEIC,heif,HEIF,webp,WEBP}"
+
+
+def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.withColumn("name", base_name(F.col("path")))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name and bytes of a folder's pictures, by name; contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).load(folder)
-    return files.select("path", base_name(F.col("path")).alias("name"), F.col("length").alias("size")).orderBy("name")
+    """path, name and bytes of a folder's pictures, by name; contents aren't read. An empty folder gives no rows."""
+    return _files(spark, folder, LISTED).select("path", "name", F.col("length").alias("size")).orderBy("name")
 
 
-def decoded(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, height, width, channels, data (rows of blue, green, red) and error of a folder's pictures."""
+def decoded(spark: SparkSession, folder: str, decoder: pixels.Decoder | None = None) -> DataFrame:
+    """path, name, height, width, channels, data (rows of blue, green, red) and error of a folder's pictures.
+
+    The engine's own source decodes what it knows; ``decoder`` (bytes to an array) the other types. A picture
+    that can't be decoded stays as a row with an error; an empty folder gives no rows.
+    """
     files = spark.read.format("image").option("pathGlobFilter", PATTERN).option("dropInvalid", False).load(folder).select("image.*")
     bad = F.when(F.col("height") <= 0, UNREADABLE)
-    return files.select(F.col("origin").alias("path"), base_name(F.col("origin")).alias("name"), "height", "width", F.col("nChannels").alias("channels"), "data", bad.alias("error"))
+    own = files.select(F.regexp_replace("origin", "^file:/+", "file:/").alias("path"), base_name(F.col("origin")).alias("name"), "height", "width", F.col("nChannels").alias("channels"), "data", bad.alias("error"))
+    if decoder is None:
+        return own
+    foreign = pixels.decoded_by(_files(spark, folder, FOREIGN), decoder, UNREADABLE)
+    return own.where(~F.lower("name").rlike(r"\.(heic|heif|webp)$")).unionByName(foreign)
 
 
-def accepted(files: DataFrame) -> DataFrame:
-    """Of uploads (path, length, content) those of an allowed type and size, each content once, named by it."""
+def cached(spark: SparkSession, folder: str, cache: str, most: int = 4096, decoder: pixels.Decoder | None = None) -> DataFrame:
+    """A folder's pictures from the Parquet table ``cache``, with long sides of ``most`` at most; what it lacks is decoded and added.
+
+    Rows are keyed by the path (the first 16 hexadecimal digits of its MD5): a picture is decoded once, and
+    only the contents of new files are read.
+    """
+    files = _files(spark, folder, PATTERN).select("path", cache_key(F.col("path")).alias("key"))
+    try:
+        known = spark.read.parquet(cache)
+    except Exception as error:  # nothing cached yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        known = None
+    rows = decoded(spark, folder, decoder)
+    new = files if known is None else files.join(known.select("key"), "key", "left_anti")
+    fresh = pixels.smaller(rows.join(new.select("path"), "path", "left_semi"), most).withColumns({"key": cache_key(F.col("path")), "cached": F.current_timestamp()})
+    fresh.write.mode("append").parquet(cache)
+    return spark.read.parquet(cache).join(files.select("key"), "key", "left_semi")
+
+
+def _accepted(files: DataFrame, types: tuple[str, ...], content: str, most: int) -> DataFrame:
     name = base_name(F.col("path"))
     kind = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
-    good = files.where(kind.isin(*UPLOAD_TYPES) & (F.col("length") <= UPLOAD_BYTES))
+    good = files.where(kind.isin(*types) & (F.col("length") <= most))
+    if "mime" in files.columns:
+        good = good.where(F.col("mime").isNull() | F.col("mime").startswith(content) | F.col("mime").isin("", ANY_CONTENT))
     return good.withColumn("name", by_content(F.col("content"), name)).dropDuplicates(["name"])
 
 
+def accepted(files: DataFrame) -> DataFrame:
+    """Of uploads (path, length, content[, mime]) those of an allowed type and size, each content once, named by it.
+
+    mime: a type of picture; unknown content (as browsers name some pictures) is left to the decoder.
+    """
+    return _accepted(files, PICTURE_TYPES, "image/", PICTURE_BYTES)
+
+
+def accepted_videos(files: DataFrame) -> DataFrame:
+    """Of uploads (path, length, content[, mime]) the videos of an allowed type and size, each content once, named by it."""
+    return _accepted(files, VIDEO_TYPES, "video/", VIDEO_BYTES)
+
+
 def expired(files: DataFrame, days: int = 7, now: Column | None = None) -> DataFrame:
     """Of cached files (modificationTime) those older than ``days``."""
     return files.where(F.col("modificationTime") < (now if now is not None else F.current_timestamp()) - F.make_interval(days=F.lit(days)))

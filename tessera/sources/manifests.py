@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import base_name
 from ..operators.merge import last_wins
 
 KIND = "filename string, source_video string, timestamp double, sharpness double, overall double, phash string, duration double"
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a manifest, a JSON array or lines, with defaults where a field is missing."""
-    return filled(spark.read.schema(KIND).option("multiLine", True).json(path))
+def read(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """Rows of a manifest, a JSON array or lines, with defaults where a field is missing.
+
+    Where it is missing, or no row of it can be read, the frames in ``folder`` stand for it with what their names say.
+    """
+    try:
+        rows = spark.read.schema(KIND).option("multiLine", True).json(path).where("filename is not null")
+        if folder is None or not rows.isEmpty():
+            return filled(rows)
+    except Exception as error:  # no manifest
+        if folder is None or "PATH_NOT_FOUND" not in str(error):
+            raise
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_t*.jpg").load(folder)
+    named = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in KIND.split(", ")[1:]]
+    return filled(files.select(base_name(F.col("path")).alias("filename"), *named))
+
+
+def existing(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of a manifest (filename) whose file is in ``files`` (name)."""
+    return rows.join(files.select(F.col("name").alias("filename")), "filename", "left_semi")
 
 
 def filled(rows: DataFrame) -> DataFrame:
@@ -25,8 +43,8 @@ def filled(rows: DataFrame) -> DataFrame:
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Add rows, marked with the time of writing; latest() takes the last of each file name."""
-    rows.withColumn("seq", F.unix_micros(F.current_timestamp())).write.mode("append").parquet(path)
+    """Add rows, marked with the time of writing and their place; latest() takes the last of each file name."""
+    rows.withColumn("seq", F.struct(F.unix_micros(F.current_timestamp()).alias("at"), F.monotonically_increasing_id().alias("place"))).write.mode("append").parquet(path)
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:

@@ -12,8 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one below the warehouse (also shared)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, one below the warehouse in local mode; elsewhere that may
+    be a folder of one machine, which the executors of others can't see, so it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuts").rstrip("/")
 
 

@@ -48,13 +48,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, reply: rubric replies of six forms, some broken."""
+    """event_id, reply: rubric replies of six forms, some broken, one with white space around it and an object within."""
     n = (F.col("event_id") % 10).cast("string")
     scores = F.concat(F.lit('"composition_score": '), n, F.lit(', "color_score": "8.5", "lighting_score": 0, "overall_aesthetic_score": 12'))
     whole = lambda tail: F.concat(F.lit("{"), scores, F.lit(tail + "}"))
     form = F.col("event_id") % 6
     reply = (
-        F.when(form == 0, whole(', "hard_flaws": ["模糊", "模糊", " 闭眼 ", "unknown"], "category": "人文", "reason": " fine "'))
+        F.when(form == 0, F.concat(F.lit("\n\t "), whole(', "hard_flaws": ["模糊", "模糊", " 闭眼 ", "unknown"], "category": "人文", "reason": " fine ", "more": {"a": 1}'), F.lit("\r\n")))
         .when(form == 1, F.concat(F.lit("Here: "), whole(', "category": "风景"'), F.lit(" done")))
         .when(form == 2, F.concat(F.lit('{"a": 1} then '), whole(', "category": "other", "reason": "b"')))
         .when(form == 3, F.lit("no object"))

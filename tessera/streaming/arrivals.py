@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import CLUSTER_BITS
 from ..operators.frames import first_seen
+from ..operators.merge import keep_old
 
 
 def drop_repeats(frames: DataFrame, bits: int = CLUSTER_BITS) -> DataFrame:
@@ -19,7 +21,7 @@ def drop_repeats(frames: DataFrame, bits: int = CLUSTER_BITS) -> DataFrame:
     def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values("seq")
-        rows = rows[first_seen([int(h) & (1 << 64) - 1 for h in rows["h"]], [k & (1 << 64) - 1 for k in kept], bits)]
+        rows = rows[first_seen(rows["h"].to_numpy(np.int64), np.array(kept, np.int64), bits)]
         state.update((kept + [int(h) for h in rows["h"]],))
         yield rows
 
@@ -32,6 +34,16 @@ def files(spark: SparkSession, folder: str, kind: str = "binaryFile") -> DataFra
     return spark.readStream.format(kind).schema(schema).load(folder)
 
 
+def into_stage(stages, name: str, key: str) -> Callable[[DataFrame, int], None]:
+    """A merge for upsert(): rows whose ``key`` the stage doesn't hold are added to it."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        batch = batch.dropDuplicates([key])
+        stages.add(name, keep_old(stages.load(name), batch, key) if name in stages.done() else batch)
+
+    return merge
+
+
 def upsert(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
     """All that has arrived, batch by batch through ``merge``, then stop."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -43,6 +55,7 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = "1 hou
     return events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """A row a session of a user: its events lie less than ``gap`` apart."""
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
+    """A row a session of a user: its events lie less than ``gap`` apart; ``late``: how long a stream waits for stragglers."""
+    events = events.withWatermark("ts", late) if late and events.isStreaming else events
     return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

@@ -121,3 +121,68 @@ def test_merges(spark):
     assert sorted(map(tuple, merge.keep_old(old, new.drop("error")).collect())) == [(1, 8.0), (2, 8.0), (3, 5.0)]
     assert sorted(map(tuple, merge.overwrite(old, new, ["overall"]).collect())) == [(1, 8.0), (2, 6.0)]
     assert [tuple(r) for r in merge.last_wins(spark.createDataFrame([("a", 1), ("a", 2)], "k string, s int"), "k", "s").collect()] == [("a", 2)]
+
+
+@pytest.mark.parametrize("enough", [20, 10_000])
+def test_order_statistic_of_odd_numbers(spark, enough):
+    nan, inf = float("nan"), float("inf")
+    rng = random.Random(5)
+    values = [inf] * 40 + [-inf] * 3 + [nan] * 5 + [1e300, -1e300, 5e-324, 0.0, -0.0, 1e-310] + [rng.random() for _ in range(100)] + [7.0] * 60
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+    order = sorted(v for v in values if v == v) + [nan] * 5
+    for k in (0, 2, 3, 4, 60, 110, 168, 170, 208, 213):
+        assert str(ranking.order_statistic(df, "v", k, enough) + 0.0) == str(order[k] + 0.0)
+    tiny = spark.createDataFrame([(k * 5e-324,) for k in range(100)], "v double")
+    assert ranking.order_statistic(tiny, "v", 41, 20) == 41 * 5e-324
+
+
+def test_stretch_of_infinite_places_leaves_alone(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([1.0, 2.0, float("inf"), float("inf")])], "id int, v double")
+    assert [r["v"] for r in ranking.stretch(df, "v", F.col("v") > 0).orderBy("id").collect()] == [1.0, 2.0, float("inf"), float("inf")]
+
+
+def capped(durations, slots, share):
+    cap = max(1, int(slots * share))
+    q = {v: min(cap, max(1, round(slots * d / sum(durations.values())))) for v, d in durations.items()}
+    while sum(q.values()) > slots and any(n > 1 for n in q.values()):
+        q[min((v for v in q if q[v] > 1), key=lambda v: (-q[v] / durations[v], v))] -= 1
+    while sum(q.values()) < slots and any(n < cap for n in q.values()):
+        q[min((v for v in q if q[v] < cap), key=lambda v: (-durations[v], v))] += 1
+    return q
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_capped_quotas_equal_greedy(spark, seed):
+    rng = random.Random(seed)
+    durations = {f"v{k:02}": float(rng.randrange(1, 60)) for k in range(rng.randrange(2, 9))}
+    videos = spark.createDataFrame(list(durations.items()), "video string, duration double")
+    assert {r["video"]: r["quota"] for r in ranking.quotas(videos, 30, 0.3).collect()} == capped(durations, 30, 0.3)
+
+
+def test_repeats_equal_brute_force(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    rows = [(f"v{k % 3}", k, base[rng.randrange(5)] ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(12))) & (1 << 64) - 1) for k in range(300)]
+    want = []
+    for video in ("v0", "v1", "v2"):
+        mine, seen = [r for r in rows if r[0] == video], []
+        for s in range(0, len(mine), 20):
+            new = [r for r in mine[s : s + 20] if all((r[2] ^ k).bit_count() >= 16 for k in seen)]
+            seen += [r[2] for r in new]
+            want += [(r[0], r[1]) for r in new]
+    df = spark.createDataFrame([(v, s, h - (1 << 64) if h >> 63 else h) for v, s, h in rows] + [("v0", 999, None)], "video string, seq int, h bigint").repartition(4)
+    assert sorted((r["video"], r["seq"]) for r in frames.drop_repeats(df).collect()) == sorted(want) and 20 < len(want) < 300
+
+
+def test_frames_of_broken_videos(spark):
+    df = spark.createDataFrame([("a", 0, 0.0, 10), ("b", 0, 25.0, 0), ("c", 25, 25.0, 50), ("c", 26, 25.0, 50), ("c", 0, 25.0, 50)], "video string, idx int, fps double, frame_count int")
+    got = [(r["video"], r["idx"], r["timestamp"], r["duration"]) for r in frames.sampled(df).orderBy("idx").collect()]
+    assert got == [("c", 0, 0.0, 2.0), ("c", 25, 1.0, 2.0)]
+
+
+def test_summaries(spark):
+    rows = [(1, 1, 5.0), (1, 2, 9.0), (1, 3, 9.0), (4, 4, 1.0)]
+    made = ranking.summaries(spark.createDataFrame(rows, "cluster_id bigint, id bigint, sharpness double"))
+    assert sorted((r["cluster_id"], r["member_count"], r["representative"], r["representatives"]) for r in made.collect()) == [(1, 3, 2, [2, 3]), (4, 1, 4, [4])]
+    assert sorted(tuple(r) for r in ranking.representatives(made).collect()) == [(1, 2), (1, 3), (4, 4)]
+    assert sorted((r["cluster_id"], r["number"]) for r in ranking.numbered(made.select("cluster_id")).collect()) == [(1, 0), (4, 1)]

@@ -113,3 +113,143 @@ def test_progress_swallows_errors():
     sinks.Progress(seen.append)._say(event="x")
     sinks.Progress(lambda e: 1 / 0)._say(event="x")
     assert seen == [{"event": "x"}]
+
+
+def test_a_failing_task_falls_back(spark):
+    def burst(x):
+        raise ValueError("in a task")
+
+    skipped = []
+    rows = spark.range(4).select(F.udf(burst, "int")("id").alias("x"))
+    assert plugins.fallback(lambda: rows, lambda: spark.range(3), skipped, "l1").count() == 3 and skipped == ["l1"]
+
+
+def test_second_device_and_kept_models(spark):
+    def broken():
+        raise RuntimeError("no device")
+
+    df = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    got = df.select(plugins.scored(F.col("v"), [broken, lambda: lambda x: x * 2], name="double").alias("s")).collect()
+    assert sorted(r["s"]["score"] for r in got) == [2.0, 4.0]
+    made = []
+    for _ in range(2):
+        assert plugins.loaded("once", [lambda: made.append(1) or "model"]) == "model"
+    assert made == [1]
+    with pytest.raises(RuntimeError):
+        plugins.loaded("never", [broken], tries=3)
+
+
+def test_judge_sees_encoded_pictures(spark):
+    df = spark.createDataFrame([(1, "a", b"xyz")], "id bigint, prompt string, picture binary")
+    got = plugins.asked(df, lambda: lambda prompt, picture: f"{prompt}:{len(picture)}", encode=lambda b: b[:2]).first()
+    assert (got["reply"], got["error"]) == ("a:2", None)
+
+
+def test_copies_carry_display_names(spark, tmp_path):
+    (tmp_path / "x.jpg").write_bytes(b"pic")
+    sinks.copy_shown(spark.createDataFrame([(str(tmp_path / "x.jpg"), "01_x.jpg")], "path string, name string"), str(tmp_path / "out"))
+    assert (tmp_path / "out" / "01_x.jpg").read_bytes() == b"pic"
+
+
+def test_pictures_from_file_to_measures(spark, tmp_path):
+    import random
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from tessera.functions import fingerprints, pixels
+    from tessera.sources import images
+
+    def png(name, pixels_):
+        h, w, _ = pixels_.shape
+        part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        rows = b"".join(b"\0" + r.tobytes() for r in pixels_)
+        (tmp_path / name).write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b""))
+
+    rng = np.random.default_rng(42)
+    noise = rng.integers(0, 256, (50, 40, 3), np.uint8)
+    for name, x in {"noise": noise, "flat": np.full((20, 20, 3), 128, np.uint8), "white": np.full((20, 20, 3), 255, np.uint8), "black": np.zeros((20, 20, 3), np.uint8)}.items():
+        png(f"{name}.png", x)
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    rows = boards.pictures_measured(pixels.measures(images.decoded(spark, str(tmp_path))))
+    got = {r["name"][:-4]: r for r in boards.rounded(rows).collect()}
+    r, g, b = (noise[:, :, k].astype(int) for k in range(3))
+    level = (r * 4899 + g * 9617 + b * 1868 + 8192) // 16384
+    at = lambda y, x: level[abs(y) if y < 50 else 98 - y, abs(x) if x < 40 else 78 - x]
+    lap = [at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * at(y, x) for y in range(50) for x in range(40)]
+    assert got["noise"]["sharpness"] == pytest.approx(np.var(lap), abs=0.01) and not got["noise"]["rejected"]
+    assert got["noise"]["h"] is not None and got["broken"]["rejected"] and got["broken"]["h"] is None and got["broken"]["reasons"] == ["无法读取图片"]
+    assert (got["flat"]["sharpness"], got["flat"]["exposure"], got["flat"]["noise"]) == (0, 1, 1) and got["flat"]["reasons"] == ["模糊"]
+    assert got["white"]["reasons"] == ["模糊", "过曝"] and got["black"]["reasons"] == ["模糊", "欠曝"]
+    small = rng.integers(0, 256, (5, 32, 32)).astype(float)
+    assert [int(h) & (1 << 64) - 1 for h in fingerprints.dct_hashes_of(small)] == [fingerprints.dct_hash_of(x) for x in small]
+    face = [("p", 50, 40, 3, noise.tobytes(), (5, 5, 20, 25)), ("q", 50, 40, 3, noise.tobytes(), None)]
+    df = spark.createDataFrame(face, "path string, height int, width int, channels int, data binary, main struct<x0:int,y0:int,x1:int,y1:int>")
+    assert {x["path"]: x["clarity"] for x in pixels.face_clarity(df).collect()} == {"p": 1.0, "q": 0.0}
+    assert pixels.resized(np.full((9, 7), 77, np.uint8), 4, 20).tolist() == [[77] * 20] * 4
+
+
+@pytest.mark.parametrize("reply,score", [("\n\t{\"composition_score\": 7, \"color_score\": 7, \"lighting_score\": 7, \"overall_aesthetic_score\": 7, \"x\": {\"y\": 1}}\u3000", 7.0), ("", None), (None, None), ("{}", None)])
+def test_replies_with_white_space(spark, reply, score):
+    from tessera.functions import scores
+
+    r = spark.createDataFrame([(reply,)], "t string").select(scores.rubric(F.col("t")).alias("r")).first()["r"]
+    assert (r and r["composition_score"]) == score
+
+
+def test_modes():
+    from tessera.plans.runs import mode_of
+
+    every = {"l1", "l2", "l4", "topiq", "vlm"}
+    assert mode_of(every, force=True, incremental=True).force
+    assert mode_of(every, rerun=["l4"]).again == {"l4", "vlm"} and mode_of(every, skip_l1=True).again == every
+    both = mode_of(every, rerun=["l1"], incremental=True, skip_l1=True)
+    assert both.incremental and not both.again
+    none = mode_of(set(), rerun=["l1"], incremental=True)
+    assert not none.incremental and not none.again
+
+
+def test_a_run_resumes_extends_and_stands_in(spark, tmp_path):
+    from tessera.plans.runs import Photos
+    from tessera.plans.stages import Busy, Stages, alone
+
+    seen = {"measure": [], "faces": [], "score": [], "judge": []}
+
+    def told(layer, df):
+        seen[layer].append(sorted(r["id"] for r in df.select("id").collect()))
+        return df
+
+    def measure(items):
+        return told("measure", items).select("id", F.lit("d").alias("date_key"), (F.col("id") * 0x0F0F0F0F0F0F).alias("h"), F.col("id").cast("double").alias("sharpness"), F.lit(0.5).alias("overall"), F.lit(False).alias("rejected"))
+
+    def faces_(items):
+        kinds = {"face_overall": 0.0, "face_count": 0, "ratio": 0.0, "clarity": 0.0, "second_ratio": 0.0, "any_blink": False, "main_blink": False, "has_face": False}
+        return told("faces", items).select("id", *[F.lit(v).alias(k) for k, v in kinds.items()])
+
+    def score(items):
+        return told("score", items).select("id", F.lit(6.0).alias("topiq"), F.when(F.col("id") == 3, "failed").alias("error"))
+
+    def judge(rows):
+        reply = '{"composition_score": 8, "color_score": 8, "lighting_score": 8, "overall_aesthetic_score": 8, "category": "风景"}'
+        return told("judge", rows).select("id", F.lit(reply).alias("reply"))
+
+    stages, photos = Stages(spark, str(tmp_path / "run")), Photos(measure, faces_, score, judge)
+    ids = lambda *n: spark.createDataFrame([(k,) for k in n], "id bigint")
+    first = {r["id"]: r for r in photos.run(stages, ids(1, 2, 3), bits=1, near=1).collect()}
+    assert set(first) == {1, 2, 3} and first[1]["vlm"] == 8 and first[1]["category"] == "风景" and first[3]["vlm"] == 0
+    assert seen == {"measure": [[1, 2, 3]], "faces": [[1, 2, 3]], "score": [[1, 2, 3]], "judge": [[1, 2]]} and stages.skipped() == []
+    again = {r["id"]: r["final"] for r in photos.run(stages, ids(1, 2, 3), incremental=True, bits=1, near=1).collect()}
+    assert again == {k: r["final"] for k, r in first.items()} and len(seen["measure"]) == 1
+    more = {r["id"]: r for r in photos.run(stages, ids(1, 2, 3, 4), incremental=True, bits=1, near=1).collect()}
+    assert set(more) == {1, 2, 3, 4} and [seen[x][-1] for x in seen] == [[4], [4], [4], [4]] and more[1]["vlm"] == 8
+    photos.run(stages, ids(1, 2, 3, 4), rerun=["l4"], bits=1, near=1).count()
+    assert [len(seen[x]) for x in ("measure", "faces", "score", "judge")] == [2, 3, 2, 3]
+
+    def burst(items):
+        return items.select("id", F.raise_error(F.lit("broken")).cast("double").alias("topiq"), F.lit(None).cast("string").alias("error"))
+
+    rest = Photos(measure, burst, burst).run(stages, ids(1, 2), force=True, bits=1, near=1).collect()
+    assert len(rest) == 2 and {r["topiq"] for r in rest} == {0.0} and {r["composition"] for r in rest} == {5.0} and stages.skipped() == ["l4", "topiq"]
+    with alone("x"), pytest.raises(Busy), alone("x"):
+        pass
