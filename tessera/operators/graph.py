@@ -41,4 +41,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), instead_of=now)

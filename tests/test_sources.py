@@ -173,3 +173,15 @@ def test_sessions_run_as_a_stream(spark, tmp_path):
     stream = arrivals.sessions(spark.readStream.schema("user_id int, ts timestamp").parquet(str(tmp_path / "in")))
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert sorted((r["user_id"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1), (1, 2)]  # the last one may go on
+
+
+def test_superseded_cuts_go(spark):
+    import os
+
+    from tessera.sources.shared import cut, drop
+
+    first = cut(spark.range(5))
+    second = cut(first.where("id > 1"), instead_of=first)
+    assert not os.path.exists(first._cut_path.removeprefix("file://")) and second.count() == 3
+    drop(spark.range(3))
+    assert second.count() == 3
