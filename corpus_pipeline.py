@@ -66,7 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage for the documents table in ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
+        made = stage(spark, docs, sf_dir)
+        docs = made if name == STAGES[-1][0] else cut(made, instead_of=docs)
     return docs
