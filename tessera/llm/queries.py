@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, langid, line_dedup, packing, pii, quality_classifier, quality_rules, sharding, simhash
+from . import byte_bpe, centroids, embedding_dedup, langid, line_dedup, merkle, packing, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
 from .shared import table
 
 
@@ -52,5 +52,23 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.layout(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_neardup, op2_pii_bootstrap, op3_simhash_neardup, op4_byte_bpe, op5_best_fit_packing, op6_hierarchical_langid, op7_line_dedup, op8_quality_rules, op9_rule_ensemble_quality, op10_hilbert_sharding)}
-ORACLES: dict[str, str] = {"op1_embedding_neardup": embedding_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_embedding_neardup, op2_pii_bootstrap, op3_simhash_neardup, op4_byte_bpe, op5_best_fit_packing, op6_hierarchical_langid, op7_line_dedup,
+    op8_quality_rules, op9_rule_ensemble_quality, op10_hilbert_sharding, op11_toxicity, op12_lloyd, op13_merkle_manifest,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {
+    "op1_embedding_neardup": embedding_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op12_lloyd": centroids.oracle(), "op13_merkle_manifest": merkle.oracle(),
+}
