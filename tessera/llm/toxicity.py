@@ -39,7 +39,9 @@ SAMPLE, FEATURES, LEAST = 20_000, 65_536, 3
 #: Beginnings of words that are features besides the word; a feature counts by its log odds less so many standard errors.
 STARTS, ERRORS = (3, 4, 5, 6, 7, 8), 2.0
 #: A document's strongest words that enter its score; characters of decoded tokens that a worker remembers.
-STRONGEST, REMEMBERED = 4, 1 << 22
+STRONGEST, REMEMBERED = 4, 1 << 20
+#: Characters whose features are held at once, about (a longer text is held by itself).
+TOGETHER = 1 << 19
 COLUMNS = [*(f"strongest{k}" for k in range(STRONGEST)), "hits", "words", "share"]
 _P, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -67,6 +69,19 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    """``texts`` in turn, some together, of about TOGETHER characters."""
+    some, n = [], 0
+    for t in texts:
+        some.append(t)
+        n += len(t) + 1
+        if n >= TOGETHER:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
 def counted(texts: list[str]) -> np.ndarray:
     """How often each symbol follows each two others in lower-case texts; a word starts after two boundaries."""
     s = _tables()[0][points(" " + " ".join(texts) + " ")]
@@ -231,6 +246,9 @@ class Lexicon:
     def statistics(self, texts: list[str]) -> np.ndarray:
         """A row a restored text: the weights of its strongest different words, and the logarithms of how many different words have
         a weight, of how many words it has, and of their ratio."""
+        return np.concatenate([np.zeros((0, len(COLUMNS))), *map(self._measured, chunks(texts))])
+
+    def _measured(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(COLUMNS)))
         text, word, h = features(texts)
         words = np.bincount(text[h == word], minlength=len(texts))
@@ -282,7 +300,8 @@ def count_symbols(docs: DataFrame) -> np.ndarray:
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            total += counted([(t or "").lower() for t in _texts(batch, "text")])
+            for some_texts in chunks([(t or "").lower() for t in _texts(batch, "text")]):
+                total += counted(some_texts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -313,8 +332,8 @@ def lexicon(toxic: DataFrame, other: DataFrame, limit: int = FEATURES) -> Lexico
     """
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, _, h = features(_texts(batch, "text"))
+        for texts in (part for batch in batches for part in chunks(_texts(batch, "text"))):
+            text, _, h = features(texts)
             order = np.lexsort((h, text))
             text, h = text[order], h[order]
             new = np.ones(len(h), bool)
@@ -330,8 +349,8 @@ def lexicon(toxic: DataFrame, other: DataFrame, limit: int = FEATURES) -> Lexico
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(hashes), np.int64)
-        for batch in batches:
-            text, _, h = features(_texts(batch, "text"))
+        for texts in (part for batch in batches for part in chunks(_texts(batch, "text"))):
+            text, _, h = features(texts)
             at = np.searchsorted(hashes, h).clip(max=max(0, len(hashes) - 1))
             hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
             pair = np.unique(text[hit] * len(hashes) + at[hit]) if len(hashes) else np.zeros(0, np.int64)
