@@ -93,11 +93,13 @@ def asked(prompts: DataFrame, connect: Callable[[], Callable[..., str]], tries:
     return prompts.select(*columns).mapInPandas(some, "id bigint, reply string, error string")
 
 
-def fallback(make: Callable[[], DataFrame], otherwise: Callable[[], DataFrame], skipped: list[str], layer: str) -> DataFrame:
-    """``make()`` written once, or ``otherwise()`` if that fails, in planning or in a task; ``skipped`` then lists the layer once."""
-    try:
-        return cut(make())
-    except Exception:
-        if layer not in skipped:
-            skipped.append(layer)
-        return otherwise()
+def fallback(make: Callable[[], DataFrame], otherwise: Callable[[], DataFrame], skipped: list[str], layer: str, tries: int = 1) -> DataFrame:
+    """``make()`` written once, or ``otherwise()`` if that fails ``tries`` times, in planning or in a task; ``skipped`` then lists the layer once."""
+    for _ in range(tries):
+        try:
+            return cut(make())
+        except Exception:
+            pass
+    if layer not in skipped:
+        skipped.append(layer)
+    return otherwise()

@@ -30,20 +30,49 @@ def write_board(items: DataFrame, folder: str, n: int, video: bool = False) -> N
     top.orderBy("rank").select("path", display(F.col("rank"), F.col("filename"), prefix).alias("name")).write.mode("overwrite").json(f"{folder}/{mode}names")
 
 
+def write_video_board(board: DataFrame, full: DataFrame, folder: str) -> None:
+    """``video_ranking`` (rows of ``board`` by rank, file names as they are shown), ``video_full_ranking`` (all of ``full`` by final
+    score) and ``video_names`` (filename, name). Both have filename, topiq, final, category, source_video and timestamp."""
+    scores = lambda d: d.withColumns({"aesthetic": F.col("topiq"), "overall": F.col("topiq")})
+    ranked = global_rank(scores(full), [F.col("final").desc(), F.col("filename")], "_place")
+    ranked.orderBy("_place").drop("_place").write.mode("overwrite").json(f"{folder}/video_full_ranking")
+    shown = scores(board).withColumn("plain", F.col("filename")).withColumn("filename", F.col("name"))
+    shown.orderBy("rank").select(*[c for c in FIELDS if c in shown.columns]).write.mode("overwrite").json(f"{folder}/video_ranking")
+    shown.orderBy("rank").select(F.col("plain").alias("filename"), "name").write.mode("overwrite").json(f"{folder}/video_names")
+
+
+def _store(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 def copy_shown(names: DataFrame, folder: str) -> None:
-    """Copy the files of ``names`` (path, name) into ``folder`` under their display names, task by task; both may lie in any store."""
+    """Copy the files of ``names`` (path, name) into ``folder`` under their display names, task by task; both may lie in any store.
 
-    def some(rows) -> None:
-        from pyarrow import fs
+    A copy appears whole or not at all. Display copies of earlier runs (numbered names) that aren't among them go afterwards.
+    """
 
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    def some(rows) -> None:
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         for path, name in rows:
-            source, at = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-            with source.open_input_stream(at) as read, store.open_output_stream(f"{base}/{name}") as out:
-                out.write(read.read())
+            source, at = _store(path)
+            with source.open_input_stream(at) as read, store.open_output_stream(f"{base}/.{name}.part") as out:
+                while part := read.read(1 << 20):
+                    out.write(part)
+            store.move(f"{base}/.{name}.part", f"{base}/{name}")
 
     names.select("path", "name").foreachPartition(some)
+    listed = names.sparkSession.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    old = listed.where(F.col("name").rlike(r"^v?[0-9]{2,}_")).join(names.select("name"), "name", "left_anti")
+
+    def gone(rows) -> None:
+        store, base = _store(folder)
+        for (name,) in rows:
+            store.delete_file(f"{base}/{name}")
+
+    old.foreachPartition(gone)
 
 
 def summary(measured: DataFrame, clusters: DataFrame, board: DataFrame) -> DataFrame:

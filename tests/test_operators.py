@@ -47,6 +47,59 @@ def test_close_equals_brute_force(spark, chunk):
     assert {r["id"] for r in close.shadowed(items, 4, chunk).collect()} == late
 
 
+def plain_near(rows, bits, block=False):
+    """Components of (id, h, block) rows by comparing each with each."""
+    import numpy as np
+
+    h = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+    found = []
+    for k, r in enumerate(rows):
+        near = np.flatnonzero(np.bitwise_count(h[k] ^ h[:k]) <= bits)
+        found += [(r[0], rows[j][0]) for j in near if not block or rows[j][2] == r[2]]
+    return found
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def clustered(n, groups, flips, seed, hot=0):
+    """n rows around random centres, ``hot`` more around one centre, and copies."""
+    rng = random.Random(seed)
+    centres = [rng.getrandbits(64) for _ in range(groups)]
+    flip = lambda h: h ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(flips + 1))})
+    hashes = [flip(rng.choice(centres)) for _ in range(n)] + [flip(centres[0]) for _ in range(hot)]
+    return [(k, signed(h), k % 3 or None) for k, h in enumerate(hashes + hashes[:50])]
+
+
+@pytest.mark.parametrize("bits", [0, 5, 16])
+@pytest.mark.parametrize("block", [[], ["b"]])
+def test_clusters_through_the_index_equal_brute_force(spark, bits, block):
+    rows = clustered(500, 40, 4, bits, hot=250)
+    items = spark.createDataFrame(rows, "id bigint, h bigint, b int").repartition(5)
+    want = components(plain_near(rows, bits, bool(block)))
+    got = {r["id"]: r["cluster_id"] for r in close.clusters(items, bits, block, chunk=40).collect()}
+    assert got == {k: want.get(k, k) for k, *_ in rows}
+    pairs = {(r["b"], r["a"]) for r in close.pairs(items, bits, block, chunk=40).collect()}
+    assert pairs == set(plain_near(rows, bits, bool(block)))
+
+
+def test_the_index_compares_few_pairs_of_clustered_rows(spark, monkeypatch):
+    rows = clustered(12_000, 300, 3, 1)
+    items = spark.createDataFrame(rows, "id bigint, h bigint, b int").repartition(8)
+    n = close.compared(items, 6, chunk=100, sure=False)
+    assert n < 0.06 * len(rows) ** 2 / 2
+    hot = clustered(4000, 300, 3, 2, hot=2000)
+    some = spark.createDataFrame(hot, "id bigint, h bigint, b int").repartition(8)
+    # A third of all rows near one centre are known to be near each other: few of their pairs are compared. (Few rows are cheap
+    # to compare, so that the plan would rather compare than send them.)
+    monkeypatch.setattr(close, "SENT", 1)
+    n, every = close.compared(some, 6, chunk=1000), close.compared(some, 6, chunk=1000, sure=False)
+    assert n < 0.12 * len(hot) ** 2 / 2 and n < every - 2000**2 / 4
+    sizes = close._dealt(some.select("id", "h"), [], 6, 100, True).groupBy("_block", "_cell", "_i", "_j").count().collect()
+    assert len(sizes) > 100 and max(r["count"] for r in sizes) < 400
+
+
 def test_order_statistic_and_rank(spark):
     values = [random.Random(k).choice([0.0, 1.5, random.Random(k).random()]) for k in range(500)]
     df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v double, id int").repartition(5)
