@@ -12,13 +12,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import share01
 
-#: Families of languages by their ISO 639-1 codes; a language that isn't listed is a family of its own.
+#: Families of languages by their ISO 639-1 codes. A language that isn't listed, as those without near relatives among the
+#: usual ones (zh, ja, ko, ar, el, id, vi, ...), is a family of its own: for it the first step is the only one.
 FAMILIES = {
     "germanic": "en de nl sv da no is af lb fy",
     "romance": "fr es it pt ro ca gl oc",
@@ -31,7 +32,7 @@ FAMILY_OF = {language: family for family, languages in FAMILIES.items() for lang
 #: Hashed features; texts whose features a task holds at once.
 WIDTH, TOGETHER = 4096, 512
 #: The fit is bounded: rows of each language, of all languages, and languages (those with most rows) at most.
-SAMPLE, ROWS, LANGUAGES = 600, 20_000, 256
+SAMPLE, ROWS, LANGUAGES = 600, 12_000, 256
 UNKNOWN = "und"
 
 
@@ -69,22 +70,63 @@ def machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 2
     return now
 
 
+def fitted(x: np.ndarray, kinds: np.ndarray, task: tuple[int, int]) -> np.ndarray:
+    """The machine that tells rows of kind a from those of kind b (-1: all others)."""
+    a, b = task
+    if b < 0:
+        return machine(x, np.where(kinds == a, 1, -1).astype(np.float32))
+    some = (kinds == a) | (kinds == b)
+    return machine(x[some], np.where(kinds[some] == a, 1, -1).astype(np.float32))
+
+
+def side_by_side(spark: SparkSession):
+    """fitted() for many machines at once, each in a task of its own: the sample, of bounded size, goes to all of them."""
+
+    def fit(x: np.ndarray, work: list[tuple[np.ndarray, tuple[int, int]]]) -> list[np.ndarray]:
+        kinds, which = [], []
+        for k, _ in work:
+            if not any(k is other for other in kinds):
+                kinds.append(k)
+            which.append(next(i for i, other in enumerate(kinds) if other is k))
+        sent = spark.sparkContext.broadcast((x, kinds))
+        rows = [(i, which[i], *map(int, task)) for i, (_, task) in enumerate(work)]
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, k, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                    x, kinds = sent.value
+                    w = fitted(x, kinds[k], (a, b))
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([w], pa.list_(pa.float32()))], ["i", "w"])
+
+        tasks = spark.createDataFrame(rows, "i int, k int, a int, b int").repartition(len(rows), "i")
+        found = tasks.mapInArrow(some, "i int, w array<float>").orderBy("i").toArrow()
+        w = found.column("w").combine_chunks()
+        sent.destroy()
+        return list(w.flatten().to_numpy().reshape(len(rows), -1).copy())
+
+    return fit
+
+
+def one_by_one(x: np.ndarray, work: list[tuple[np.ndarray, tuple[int, int]]]) -> list[np.ndarray]:
+    return [fitted(x, kinds, task) for kinds, task in work]
+
+
 class Model:
     """languages by family; machines for families (against the rest) and for pairs within a family."""
 
-    def __init__(self, x: np.ndarray, languages: list[str]) -> None:
+    def __init__(self, x: np.ndarray, languages: list[str], fit=one_by_one) -> None:
         named = np.array([FAMILY_OF.get(c, c) for c in languages], object)
         languages = np.array(languages, object)
         self.families = sorted(set(named))
         self.members = {f: sorted(set(languages[named == f])) for f in self.families}
-        sign = lambda hit: np.where(hit, 1, -1).astype(np.float32)
-        several = len(self.families) > 1
-        self.family = np.stack([machine(x, sign(named == f)) for f in self.families]) if several else None
-        self.pairs = {}
-        for members in self.members.values():
-            for a, b in combinations(members, 2):
-                some = (languages == a) | (languages == b)
-                self.pairs[a, b] = machine(x[some], sign(languages[some] == a))
+        every = sorted(set(languages))
+        families, kinds = np.searchsorted(self.families, named.astype(str)), np.searchsorted(every, languages.astype(str))
+        against = [(families, (f, -1)) for f in range(len(self.families))] if len(self.families) > 1 else []
+        pairs = [(a, b) for members in self.members.values() for a, b in combinations(members, 2)]
+        work = against + [(kinds, (every.index(a), every.index(b))) for a, b in pairs]
+        made = fit(x, work) if work else []
+        self.family = np.stack(made[: len(against)]) if against else None
+        self.pairs = dict(zip(pairs, made[len(against) :]))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(languages, scores) for rows of features."""
@@ -130,8 +172,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS, languages: in
     """A model of rows with a lang whose crc32(doc_id as text) mod 4 is not 2.
 
     The ``languages`` with most rows, ``sample`` rows of each at most (the first by a hash of doc_id; rows that repeat
-    an id count each) and ``rows`` in all are learned from: what comes to the driver is bounded. Features are
-    computed of the sampled rows alone, and sent as their places and values.
+    an id count each) and ``rows`` in all are learned from: what comes to the driver, and from there to the tasks that
+    fit the machines side by side, is bounded (about 200 MB). Features are computed of the sampled rows alone, and
+    sent as their places and values.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     usable = docs.where(F.col("lang").isNotNull() & (fold != 2)).select("doc_id", "text", "lang")
@@ -147,10 +190,19 @@ def learn(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS, languages: in
     found = found.filter(found.column("at").is_valid()).sort_by([("k", "ascending"), ("lang", "ascending")])
     if not len(found):
         return None
-    x = np.zeros((len(found), WIDTH), np.float32)
-    for row, at, value in zip(x, found.column("at").to_pylist(), found.column("value").to_pylist()):
-        row[at] = value
-    return Model(x, found.column("lang").to_pylist())
+    return Model(dense(found.column("at"), found.column("value")), found.column("lang").to_pylist(), side_by_side(docs.sparkSession))
+
+
+def dense(at: pa.ChunkedArray, value: pa.ChunkedArray) -> np.ndarray:
+    """The rows of sparse features, filled some rows at a time from Arrow's own arrays."""
+    x, row = np.zeros((len(at), WIDTH), np.float32), 0
+    for places, values in zip(at.chunks, value.chunks):
+        for s in range(0, len(places), TOGETHER):
+            some = places.slice(s, TOGETHER)
+            sizes = np.diff(some.offsets.to_numpy())
+            x[np.repeat(np.arange(row, row + len(some)), sizes), some.flatten().to_numpy()] = values.slice(s, TOGETHER).flatten().to_numpy()
+            row += len(some)
+    return x
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
