@@ -120,17 +120,17 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text, ...).
 
     labels: (doc_id, quality). The fit uses rows with a quality of 0 or 1 whose crc32(doc_id as text) mod 3
-    is not 1, ``sample`` of them at most (a row of ``docs`` or ``labels`` that is repeated counts each time); only
+    is not 1, ``sample`` of those that meet a row of ``docs`` at most (a row of ``docs`` or ``labels`` that is repeated counts each time); only
     FEATURES enter a score. Jobs of the fit run when this is called. Null and empty texts are scored like any
     other; a null doc_id is not held out and never learned from; repeated rows are scored each. Without
     labels every score is 0.5, with one label only its smoothed share. Other columns are ignored.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     stats = cut(statistics(docs.select("doc_id", "text")).select("doc_id", *FEATURES))
-    usable = labels.where(F.col("quality").isin(0, 1) & (fold != 1)).select("doc_id", "quality")
-    n = usable.count()
+    usable = labels.where(F.col("quality").isin(0, 1) & (fold != 1)).select("doc_id", "quality").join(stats, "doc_id")
+    n = usable.count()  # of the labels those that meet a document
     usable = usable.where(share01(F.col("doc_id")) <= min(1.0, 1.5 * sample / max(1, n)))
-    first = usable.join(stats, "doc_id").orderBy(share01(F.col("doc_id")), "doc_id", "quality", *FEATURES).limit(sample)
+    first = usable.orderBy(share01(F.col("doc_id")), "doc_id", "quality", *FEATURES).limit(sample)
     rows = first.select("quality", *FEATURES).toArrow()
     x = np.stack([rows.column(c).to_numpy() for c in FEATURES], axis=1)
     intercept, rules = fit(x, rows.column("quality").to_numpy())
