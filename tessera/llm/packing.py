@@ -36,8 +36,9 @@ from .shared import cut
 MAX_TOKENS, END = 4096, 1
 #: Texts that a Python worker splits together.
 TOGETHER = 256
-#: Words that a Python worker remembers at most, and as many stems; slices of runs of equal lengths.
-_REMEMBERED, SLICES = 400_000, 10_000
+#: Bytes of words, stems and ids that a Python worker remembers, with what an entry takes besides; characters of a word that is
+#: remembered at all; slices of runs of equal lengths.
+_REMEMBERED, _ENTRY, _WORD, SLICES = 120_000_000, 200, 256, 10_000
 #: Ranges of sizes swept side by side; what a run is: documents, gaps or a match.
 RANGES = 16
 #: Documents longer than these parts of a sequence enter before shorter ones, which then fill what is left.
@@ -78,6 +79,7 @@ class Words:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        self.held = 0
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes | None] = {}
         self.signs: dict[str, bytes] = {}
@@ -131,13 +133,22 @@ class Words:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [_lower(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        for remembered in (self.known, self.stems, self.signs):
-            if len(remembered) > _REMEMBERED:
+        if self.held > _REMEMBERED:
+            for remembered in (self.known, self.stems, self.signs):
                 remembered.clear()
+            self.held = 0
         new = set(chain.from_iterable(split)).difference(self.known)
         if new:
             self.learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > _WORD:  # such words hardly come again
+                self.known.pop(word)
+                self.stems.pop(word.rstrip(_SIGNS), None)
+                self.signs.pop(word[len(word.rstrip(_SIGNS)) :], None)
+            else:
+                self.held += _ENTRY + 8 * len(word) + len(self.known[word])
+        return out
 
 
 @lru_cache(maxsize=2)
