@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, cut
+from .shared import NOT_SPACE, aside, cut, restored
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -47,15 +47,13 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     Columns named like the two new ones are replaced.
     """
     found = repeated(docs, window).withColumnRenamed("doc_id", "_id").withColumnRenamed("_text_hash", "_hash")
-    joined = _lines(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    joined = _lines(aside(docs, "doc_id", "text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda t: F.transform(F.sequence(t, t + (window - 1)), lambda k: F.get("_full", k)["i"]))))
-    joined = joined.withColumn("_gone", covered)
-    joined = joined.withColumn("_lines", F.split("text", "\n", -1))
+    joined = joined.withColumn("_gone", covered).withColumn("_lines", F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
     counts = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))}
-    counts = {k: F.greatest(v, F.lit(0)).cast("long") for k, v in counts.items()}
-    return joined.withColumns(counts | {"text": text}).drop("_id", "_hash", "_at", "_gone", "_lines", "_full", "_text_hash")
+    return joined.select(*restored(docs.columns, {"text": text} | {k: F.greatest(v, F.lit(0)).cast("long") for k, v in counts.items()}))
 
 
 ORACLE = r"""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import aside, cut, restored
 
 #: The four kinds in their order. The expressions match what the plain forms
 #:   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+    ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -29,11 +29,11 @@ KINDS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: A candidate, in this order: names around an @ (domains without a dot too); groups of digits with a + or a
 #: parenthesis before and dots, hyphens, slashes, a space or a parenthesis between; eight letters, digits and
-#: hyphens at least, a digit among the first ones. Four digits in all, or an @.
+#: hyphens at least, a digit among them. Four digits in all, or an @. Of any length: each run is tried from its start only.
 CANDIDATE = (
-    r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
-    r"|(?<![0-9A-Za-z.+-])\+?\(?[0-9]++(?:[)]?[\x20./-]?[(]?[0-9]++){1,12}+(?![A-Za-z0-9-])"
-    r"|(?<![0-9A-Za-z-])(?=[A-Za-z-]{0,32}[0-9])[0-9A-Za-z-]{8,}+"
+    r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+    r"|(?<![0-9A-Za-z.+-])\+?\(?[0-9]++(?:[)]?[\x20./-]?[(]?[0-9]++)++(?![A-Za-z0-9-])"
+    r"|(?<![0-9A-Za-z-])(?=[A-Za-z-]*+[0-9])[0-9A-Za-z-]{8,}+"
 )
 CANDIDATE_NEEDS = r"[0-9@]"
 CONFIDENCE, SUPPORT = 0.7, 3
@@ -205,7 +205,7 @@ def mask(docs: DataFrame) -> DataFrame:
     treated alike.
     """
     new = extract(docs).where("_new is not null").select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), F.array_sort(F.transform("_new", lambda x: x["k"])).alias("_at")).dropDuplicates(["_id", "_hash"])
-    joined = docs.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+    joined = aside(docs, "doc_id", "text").join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
 
     def replaced(text: Column, pattern: str, needs: str, by: str, ok) -> Column:
         found = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m, i: F.when(ok(m, i), F.lit(f"[{by.upper()}]")).otherwise(m))
@@ -217,4 +217,4 @@ def mask(docs: DataFrame) -> DataFrame:
     joined = joined.withColumn("text", F.when(at.isNull(), F.col("text")).otherwise(text))
     for kind, pattern in KINDS.items():
         joined = joined.withColumn("text", replaced(F.col("text"), pattern, NEEDS[kind], kind, lambda m, _, k=kind: _valid(k, m)))
-    return joined.drop("_id", "_hash", "_at")
+    return joined.select(*restored(docs.columns, {"text": F.col("text")}))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, SPACE, constants
+from .shared import NOT_SPACE, SPACE, aside, constants, restored
 
 BUCKETS = 8192
 #: Mean ratio (natural logarithm, an n-gram) that a document must reach.
@@ -66,21 +66,30 @@ def repeat_words(words: Column) -> Column:
     return _bound(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(_bound(_triples(w), of)))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, ...) with _words and the columns of COUNTS as ``_n`` and their names, and _failed."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.withColumn("_trim", F.btrim(text, F.lit(_BLANKS)))
     docs = docs.withColumn("_words", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", f"{SPACE}+")))
     full = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
-    counts = {
-        "n_words": F.size("_words"),
-        "word_chars": F.length(F.array_join("_words", "")),
-        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")),
-        "n_dup_lines": _bound(full, lambda x: F.size(x) - F.size(F.array_distinct(x))),
-        "n_repeat_words": repeat_words(F.col("_words")),
-    }
-    docs = docs.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_words", "_trim")
-    return docs.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    counts = [
+        F.size("_words"), F.length(F.array_join("_words", "")), F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")),
+        _bound(full, lambda x: F.size(x) - F.size(F.array_distinct(x))), repeat_words(F.col("_words")),
+    ]
+    docs = docs.withColumns({f"_{k}": v.cast("long") for k, v in zip(COUNTS, counts)})
+    return docs.withColumn("_failed", (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words")))
+
+
+def _made() -> dict[str, Column]:
+    return {k: F.col(f"_{k}") for k in COUNTS} | {"base_failed": F.col("_failed")}
+
+
+def base_counts(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+    return _counted(aside(docs, "text")).select(*restored(docs.columns, _made()))
 
 
 def _tokens(text: Column) -> Column:
@@ -130,8 +139,9 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, ratio: list[int] | None
     trusted document all ratios are 0. An empty table gives an empty result. Columns named like the new ones
     are replaced. Without ``ratio`` a job counts when this is called.
     """
-    docs = base_counts(docs).withColumn("llr", mean_ratio(F.col("text"), ratios(docs) if ratio is None else ratio))
-    return docs.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    ratio = ratios(docs) if ratio is None else ratio
+    judged = _counted(aside(docs, "text")).withColumn("_llr", mean_ratio(F.col("text"), ratio))
+    return judged.select(*restored(docs.columns, _made() | {"llr": F.col("_llr"), "kept": ~F.col("_failed") & (F.col("_llr") >= threshold)}))
 
 
 def passed(docs: DataFrame) -> DataFrame:
@@ -140,5 +150,6 @@ def passed(docs: DataFrame) -> DataFrame:
     The verdict is exploded, not filtered by: a filter would be moved below the columns that it is made of,
     and work them out again for each of their uses.
     """
+    judged = judge(aside(docs, "text"))
     one = F.explode(F.filter(F.array("kept"), lambda k: k)).alias("_kept")
-    return judge(docs).select(*docs.columns, one).drop("_kept")
+    return judged.select("_row", one).select(*restored(docs.columns, {}))

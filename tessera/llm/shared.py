@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, forest
 from ..sources.shared import cut, table
 
-__all__ = ["NOT_SPACE", "SPACE", "components", "constants", "cut", "forest", "share01", "table"]
+__all__ = ["NOT_SPACE", "SPACE", "aside", "components", "constants", "cut", "forest", "restored", "share01", "table"]
 
 #: Java class of the six ASCII white-space characters; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]"
@@ -23,3 +23,16 @@ def constants(values: list[int]) -> Column:
 def share01(*cols: Column) -> Column:
     """A uniform number in [0, 1) that depends on the columns' values only."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
+
+
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used``, and all columns of ``docs`` as one struct ``_row``: whatever they are called, inner columns clash with none."""
+    return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def restored(columns: list[str], new: dict[str, Column]) -> list[Column]:
+    """The columns of a table from aside()'s struct, those named in ``new`` replaced, and the others of ``new`` after them."""
+    name = {c.lower(): c for c in new}
+    kept = [new[name[c.lower()]].alias(c) if c.lower() in name else F.col("_row")[c].alias(c) for c in columns]
+    have = {c.lower() for c in columns}
+    return kept + [v.alias(k) for k, v in new.items() if k.lower() not in have]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, forest
+from .shared import aside, components, cut, forest, restored
 
 #: Rows of one side of a compared tile pair.
 TILE = 32_768
@@ -151,8 +151,8 @@ def keep_one(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) -> Da
     group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")]
     first = cut(first.groupBy(*group).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("n")))
     stay = first.select(F.col("component_id").alias("_id"), "_hash", "n")
-    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    out = aside(docs, "doc_id", "text").join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
     if not first.where("n > 1").isEmpty():
         again = F.when(F.col("n") > 1, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
         out = out.withColumn("_again", again).dropDuplicates(["_id", "_hash", "_again"]).drop("_again")
-    return out.select(*[docs[c] for c in docs.columns])
+    return out.select(*restored(docs.columns, {}))
