@@ -192,3 +192,20 @@ def test_lines_equal_sql(spark, sf):
     got, want = QUERIES["op7_line_dedup"](spark, sf), duck.sql(ORACLES["op7_line_dedup"])
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
     assert got.agg(F.sum("n_removed")).first()[0] > 0
+
+
+def test_vectors_of_any_length_link(spark):
+    """Components whose squares leave the range of doubles, and ids that repeat."""
+    from tessera.llm import embedding_dedup
+
+    rows = [(1, [1e-170, 2e-170]), (2, [1e-170, 2e-170]), (3, [1e200, 2e200]), (4, [5e-324, 1e-323]), (5, [1e200, -2e200]), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, None), (10, []), (3, [2e-5, 4e-5]), (3, [2.0, -1.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    links = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got)
+    assert links == [(1, 4, 1), (2, 4, 1), (3, 0, 3), (3, 4, 1), (3, 4, 1), (4, 4, 1), *[(k, 0, k) for k in (5, 6, 7, 8, 9, 10)]]
+
+
+def test_fingerprints_of_an_empty_table(spark):
+    from tessera.llm import simhash
+
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []

@@ -85,6 +85,15 @@ def test_each_kind_of_seed_discovers(spark, kind):
     assert masked[100] == text.replace(hidden, "[IDENTIFIER]") and masked[101] == rows[-1][1]
 
 
+#: The rule of candidates, written out: a name, an @ and a domain; digits in groups, parted by one sign or a parenthesis; a token
+#: of eight letters, digits and hyphens with a digit. Nothing that could belong to it stands before, nor after a group.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
+    r"|(?<![0-9A-Za-z.+-])\+?\(?[0-9]++(?:\)?[ ./-]?\(?[0-9]++)++(?![A-Za-z0-9-])"
+    r"|(?<![0-9A-Za-z-])(?=[A-Za-z-]*[0-9])[0-9A-Za-z-]{8,}"
+)
+
+
 def plain_matches(pattern, text):
     """(start, end, match, context words before, after), as contexts are defined: between the matches of one expression."""
     import regex
@@ -115,7 +124,7 @@ def plain_extraction(docs):
                 if any((start, end, kind) == (s, e, k) for s, _, e, k in seen[doc]):
                     accepted[m] = 1.0
                     edges |= {(m, p) for p in plain_contexts(m, before, after)}
-        rows = [r for r in plain_matches(pii.CANDIDATE, text) if len(re.sub("[^0-9]", "", r[2])) >= 4 or "@" in r[2]]
+        rows = [r for r in plain_matches(CANDIDATE, text) if len(re.sub("[^0-9]", "", r[2])) >= 4 or "@" in r[2]]
         cands[doc] = [r for r in rows if not any(s < r[1] and r[0] < e for s, _, e, _ in seen[doc])]
         edges |= {(r[2], p) for r in cands[doc] for p in plain_contexts(*r[2:])}
     members = {}
@@ -453,3 +462,83 @@ def test_languages_of_repeated_rows_and_empty_tables(spark):
     got = langid.identify(df)
     assert got.count() == len(rows) and {r["lang_pred"] for r in got.where("doc_id = 1").collect()} == {"de"}
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_long_candidates_are_found(spark):
+    """A name of many characters, a digit after many letters, and many groups of digits."""
+    names = ["n" * 90 + "@host", "x" * 60 + "-77123", "/".join(["12"] * 20), "-".join(["1234"] * 40)]
+    for hidden in names:
+        seed = [(k, f"please write to {chr(97 + k)}x@mail{k}.org soon") for k in range(8)] if "@" in hidden else contexts(8)[:8]
+        text = f"please write to {hidden} soon" if "@" in hidden else f"please charge my card {hidden} today"
+        if hidden[0] == "x":
+            seed, text = [(k, f"reach id ab{k}c@d.org now") for k in range(8)], f"reach id {hidden} now"
+        got = {r["doc_id"]: r["spans"] for r in pii.spans(spark.createDataFrame([*seed, (99, text)], "doc_id bigint, text string")).collect()}
+        start = text.index(hidden)
+        assert got[99] == f"identifier:{start}:{start + len(hidden)}", hidden
+    blob = "a" * 200_000 + " " + "1 " * 100_000 + "b-" * 50_000 + "9"
+    assert pii.spans(spark.createDataFrame([(1, blob)], "doc_id bigint, text string")).count() == 1
+
+
+def test_many_labels_of_other_documents(spark):
+    """Labels whose documents aren't there take no place in the sample."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for k in range(300):
+        good = k % 2
+        words = [rng.choice(["stone", "river", "cloud", "grass"]) + str(rng.randrange(90)) * good for _ in range(80)]
+        rows.append((k, " ".join(words) if good else " ".join(words[:4] * 20)))
+        labels.append((k, good))
+    docs, mine = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    many = mine.unionByName(spark.range(10_000, 40_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality"))
+    want = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, mine, sample=250).collect()}
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, many, sample=250).collect()}
+    assert got == want and all((got[k] >= 0.5) == bool(k % 2) for k in range(300))
+
+
+def test_features_reach_the_driver_without_lists():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rows, places = 20_000, 2437
+    at = np.arange(rows, dtype=np.int32)[:, None] % 3 + np.sort(np.random.default_rng(1).permutation(4000)[:places]).astype(np.int32)[None, :]
+    offsets = pa.array(np.arange(0, rows * places + 1, places, dtype=np.int32))
+    sparse = lambda flat, kind: pa.chunked_array([pa.ListArray.from_arrays(offsets, pa.array(flat, kind)).slice(s, 7000) for s in range(0, rows, 7000)])
+    a, v = sparse(at.reshape(-1).astype(np.int16), pa.int16()), sparse(np.ones(rows * places, np.float32), pa.float32())
+    tracemalloc.start()
+    x = langid.dense(a, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert x.shape == (rows, langid.WIDTH) and (x.sum(1) == places).all() and x[5, at[5]].all() and peak < 450e6
+
+
+def test_machines_of_tasks_equal_those_of_one_process(spark):
+    rng = np.random.default_rng(2)
+    languages = [["en", "de", "fr", "es", "zh"][k % 5] for k in range(100)]
+    x = rng.random((100, langid.WIDTH), np.float32) + np.eye(5, langid.WIDTH, dtype=np.float32)[np.arange(100) % 5]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one, side = langid.Model(x, languages), langid.Model(x, languages, langid.side_by_side(spark))
+    assert np.allclose(one.family, side.family, atol=1e-5) and set(one.pairs) == set(side.pairs) == {("de", "en"), ("es", "fr")}
+    assert all(np.allclose(one.pairs[k], side.pairs[k], atol=1e-5) for k in one.pairs)
+    y = np.where(np.array(languages) == "zh", 1, -1).astype(np.float32)
+    plain = langid.machine(x, y)
+    assert ((x @ plain[:-1] + plain[-1] > 0) == (y > 0)).all() and np.allclose(plain, one.family[one.families.index("zh")], atol=1e-5)
+
+
+CLASHING = ["_id", "_hash", "_at", "_words", "_trim", "_row", "_kept", "_failed", "_llr", "_n_words", "_full", "_gone", "_lines", "_text_hash", "_again", "n", "kept", "text_hash", "component_id", "fingerprint", "a.b"]
+
+
+def test_columns_of_any_name(spark):
+    """Every operator that returns a table's columns keeps those that are called like its inner ones."""
+    from tessera.llm import line_dedup, simhash
+
+    body = [" ".join(f"plain{k}word{j}" for j in range(70)) for k in range(4)]
+    rows = [(k, f"{body[k]}\nmail x{k}@y.org\nlast line {k}", *([k] * len(CLASHING))) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{c}` bigint" for c in CLASHING))
+    made = {"lines": line_dedup.dedup_lines(docs), "masked": pii.mask(docs), "one": simhash.keep_one(docs), "passed": quality_rules.passed(docs), "counts": quality_rules.base_counts(docs), "judged": quality_rules.judge(docs)}
+    for name, out in made.items():
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        for r in out.collect():
+            own = {"judged": {"kept"}}.get(name, set())
+            assert all(r[c] == r["doc_id"] for c in CLASHING if c not in own), name
+    assert {r["text"].split("\n")[1] for r in made["masked"].collect()} == {"mail [EMAIL]"}

@@ -98,3 +98,15 @@ def test_sweeps_are_best_fit(spark, seed):
             gaps.remove(fit)
         gaps.append((100 if fit is None else fit) - n)
     assert len(room) <= len(gaps) + 2
+
+
+def test_words_without_spaces_are_not_remembered():
+    plain = Tokenizer.from_file(WORD)
+    plain.encode_special_tokens = True
+    rng = random.Random(9)
+    made = packing.Words(WORD)
+    for k in range(4):
+        texts = ["".join(rng.choices("abcdé漢.!", k=90_000)), f"{'x' * 300}{k}. short words", "y" * 257 + "." * 300]
+        for text, ids in zip(texts, made.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*made.known, *made.stems, *made.signs])) <= packing._WORD and 0 < made.held < 10_000
