@@ -45,5 +45,19 @@ EYES_CLOSED = "闭眼"
 CLAMP_NOTE = "已钳制至 6 分上限"
 FLAW_SUFFIX = "（人像硬伤：闭眼/主脸模糊，已钳制至 6 分上限）"
 
+# Descriptions of faces (fixed values), as they go into the rubric's prompt: without a face, with one, with 2 to 9, with more;
+# where one face is apart, where sizes differ a little, where they are even. And the words that are put into them.
+FACES_NONE = "【人脸检测信息】未检测到人脸，请聚焦场景本身。"
+FACES_ONE = "【人脸检测信息】检测到 {count} 张人脸；主脸闭眼：{main}；主脸清晰度：{clear}；人脸占比：{size}。"
+FACES_FEW_APART = "【人脸检测信息】检测到 {count} 张人脸，主次分明（疑似单主体+背景人群）；主脸闭眼：{main}；主脸清晰度：{clear}；主脸占比：{size}。"
+FACES_FEW_UNLIKE = "【人脸检测信息】检测到 {count} 张人脸，大小略有差异（疑似合影）；存在闭眼者：{some}；主脸清晰度：{clear}；人脸占比：{size}。"
+FACES_FEW_EVEN = "【人脸检测信息】检测到 {count} 张人脸，面积均匀分布（疑似合影）；存在闭眼者：{some}；主脸清晰度：{clear}；人脸占比：{size}。"
+FACES_MANY_APART = "【人脸检测信息】检测到 {count} 张人脸（多人场景，主次分明，疑似单主体+环境人群）；主脸闭眼：{main}；主脸清晰度：{clear}；主脸占比：{size}。"
+FACES_MANY_UNLIKE = "【人脸检测信息】检测到 {count} 张人脸（多人场景，大小略有差异，疑似合影）；存在闭眼者：{some}；人脸占比：{size}。"
+FACES_MANY_EVEN = "【人脸检测信息】检测到 {count} 张人脸（多人场景，面积均匀，疑似合影）；存在闭眼者：{some}；人脸占比：{size}。"
+FACE_SIZES = ("特写", "半身", "环境人像")
+FACE_CLEAR = ("清晰", "轻微模糊", "明显模糊", "人脸较小，不作清晰度评判")
+YES, NO = "是", "否"
+
 # Rerun of a layer also reruns these.
 DOWNSTREAM = {"l1": ("l2", "l4", "topiq", "vlm"), "l2": ("l4", "topiq", "vlm"), "l4": ("vlm",)}

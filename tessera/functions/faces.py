@@ -6,9 +6,13 @@ width and height.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import config
 from .quality import bound
 
 FACE = "struct<landmarks:array<struct<x:double,y:double>>,blendshapes:map<string,double>>"
@@ -57,3 +61,48 @@ def metrics(faces: Column, width: Column, height: Column) -> Column:
         )
 
     return bound(boxes(faces, width, height), of)
+
+
+def blinks_of(face: dict) -> bool:
+    return any((face["blendshapes"] or {}).get(k, 0.0) > 0.5 for k in ("eyeBlinkLeft", "eyeBlinkRight"))
+
+
+def measured(faces: list[dict], width: int, height: int, clarity: Callable[[int, int, int, int], float]) -> dict:
+    """metrics() of one picture inside a task, where its pixels are at hand, with clarity (of the main face's box) and face_overall.
+
+    A face is a dict of landmarks (dicts of x and y) and blendshapes.
+    """
+    boxes = []
+    for i, f in enumerate(faces):
+        x, y = ([p[k] for p in f["landmarks"]] for k in "xy")
+        if x:
+            x0, x1, y0, y1 = math.floor(min(x) * width), math.floor(max(x) * width), math.floor(min(y) * height), math.floor(max(y) * height)
+            if x1 > x0 and y1 > y0:
+                boxes.append((-(x1 - x0) * (y1 - y0), i, x0, y0, x1, y1))
+    boxes.sort()
+    shape = lambda f, k: (f["blendshapes"] or {}).get(k, 0.0)
+    smile = max([0.0, *((shape(f, "mouthSmileLeft") + shape(f, "mouthSmileRight")) / 2 for f in faces)])
+    main_blink = bool(boxes) and blinks_of(faces[boxes[0][1]])
+    clear = clarity(*boxes[0][2:]) if boxes else 0.0
+    return {
+        "face_overall": round(clear * 0.5 + smile * 0.3 + (0.0 if main_blink else 0.2), 4) if faces else 0.0, "face_count": len(faces),
+        "ratio": round(-boxes[0][0] / (width * height), 4) if boxes else 0.0, "clarity": round(clear, 4), "second_ratio": round(boxes[1][0] / boxes[0][0], 4) if len(boxes) > 1 else 0.0,
+        "any_blink": any(map(blinks_of, faces)), "main_blink": main_blink, "has_face": bool(faces),
+    }
+
+
+def described(m: dict) -> str:
+    """scores.face_summary() of one picture inside a task."""
+    if not m["face_count"]:
+        return config.FACES_NONE
+    near, half, far = config.FACE_SIZES
+    sharp, soft, blurred, small = config.FACE_CLEAR
+    yes = {True: config.YES, False: config.NO}
+    words = {
+        "count": m["face_count"], "main": yes[m["main_blink"]], "some": yes[m["any_blink"]], "size": near if m["ratio"] >= 0.30 else half if m["ratio"] >= 0.10 else far,
+        "clear": small if m["ratio"] < 0.10 else sharp if m["clarity"] >= 0.15 else soft if m["clarity"] >= 0.10 else blurred,
+    }
+    spread = 0 if m["second_ratio"] >= 0.7 else 1 if m["second_ratio"] < 0.5 else 2
+    few = (config.FACES_FEW_EVEN, config.FACES_FEW_APART, config.FACES_FEW_UNLIKE)
+    many = (config.FACES_MANY_EVEN, config.FACES_MANY_APART, config.FACES_MANY_UNLIKE)
+    return (config.FACES_ONE if m["face_count"] == 1 else (few if m["face_count"] <= 9 else many)[spread]).format(**words)

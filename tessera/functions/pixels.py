@@ -15,6 +15,7 @@ from .fingerprints import dct_hash_of
 
 #: Weights of blue, green and red in a grey level, in parts of 2 to the 14th (fixed values of ITU-R BT.601).
 GREY = np.array([1868, 9617, 4899], np.int64)
+GREY_OF_HASH = np.array([7471, 38470, 19595], np.int64)
 Decoder = Callable[[bytes], np.ndarray]
 
 
@@ -36,31 +37,56 @@ def laplacian(levels: np.ndarray) -> np.ndarray:
     return up[:-2, 1:-1] + up[2:, 1:-1] + up[1:-1, :-2] + up[1:-1, 2:] - 4 * x
 
 
+def grey_of_hash(pixels: np.ndarray) -> np.ndarray:
+    """Grey levels as the hash takes them: the same standard's weights in parts of 2 to the 16th."""
+    if pixels.ndim == 2 or pixels.shape[2] == 1:
+        return pixels.reshape(pixels.shape[:2])
+    return ((pixels[:, :, :3].astype(np.int64) @ GREY_OF_HASH + (1 << 15)) >> 16).astype(np.uint8)
+
+
 @lru_cache(maxsize=64)
-def _lanczos(n: int, m: int) -> np.ndarray:
-    """Weights (m x n) that bring ``n`` samples to ``m`` by a Lanczos window of three lobes, widened where they get fewer."""
-    scale = max(1.0, n / m)
-    away = (np.arange(n)[None, :] + 0.5 - (np.arange(m)[:, None] + 0.5) * n / m) / scale
-    w = np.where(np.abs(away) < 3, np.sinc(away) * np.sinc(away / 3), 0.0)
-    return w / w.sum(1, keepdims=True)
+def _lanczos(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first sample, weights) of each of ``m`` outputs from ``n`` samples: a Lanczos window of three lobes, widened where they get
+    fewer, in whole parts of 2 to the 22nd."""
+    scale = n / m
+    wide = max(scale, 1.0)
+    centre = (np.arange(m) + 0.5) * scale
+    first = np.maximum((centre - 3 * wide + 0.5).astype(np.int64), 0)
+    last = np.minimum((centre + 3 * wide + 0.5).astype(np.int64), n)
+    at = first[:, None] + np.arange(int((last - first).max()))[None, :]
+    away = (at - centre[:, None] + 0.5) / wide
+    w = np.where((away >= -3) & (away < 3) & (at < last[:, None]), np.sinc(away) * np.sinc(away / 3), 0.0)
+    w = w / w.sum(1, keepdims=True) * (1 << 22)
+    return first, np.trunc(w + np.where(w < 0, -0.5, 0.5)).astype(np.int64)
+
+
+def _narrowed(x: np.ndarray, m: int) -> np.ndarray:
+    """The first axis brought to ``m``, in 8 bits."""
+    n = x.shape[0]
+    if n == m:
+        return x
+    first, weights = _lanczos(n, m)
+    total = np.full((m, *x.shape[1:]), 1 << 21, np.int64)
+    for k in range(weights.shape[1]):
+        w = weights[:, k].reshape(-1, *[1] * (x.ndim - 1))
+        total += w * x[np.minimum(first + k, n - 1)]
+    return np.clip(total >> 22, 0, 255).astype(np.uint8)
 
 
 def resized(levels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """A picture in another size, each channel by itself, in whole levels."""
-    x = np.tensordot(_lanczos(levels.shape[0], height), levels.astype(np.float64), (1, 0))
-    x = np.swapaxes(np.tensordot(_lanczos(levels.shape[1], width), x, (1, 1)), 0, 1)
-    return np.clip(np.rint(x), 0, 255).astype(np.uint8)
+    """A picture in another size, each channel by itself: columns first, then rows, in whole numbers with 8 bits between."""
+    return _narrowed(np.swapaxes(_narrowed(np.swapaxes(levels, 0, 1), width), 0, 1), height)
 
 
 def reduced(pixels: np.ndarray, most: int) -> np.ndarray:
     """A picture with its long side at ``most``; one that isn't larger stays as it is."""
     long = max(pixels.shape[:2])
-    return pixels if long <= most else resized(pixels, *(max(1, round(s * most / long)) for s in pixels.shape[:2]))
+    return pixels if long <= most else resized(pixels, *(max(1, int(s * (most / long))) for s in pixels.shape[:2]))
 
 
-def fingerprint(levels: np.ndarray) -> int:
-    """The signed 64-bit perceptual hash of a grey picture."""
-    h = dct_hash_of(resized(levels, 32, 32).astype(float))
+def fingerprint(pixels: np.ndarray) -> int:
+    """The signed 64-bit perceptual hash of a picture."""
+    h = dct_hash_of(resized(grey_of_hash(pixels), 32, 32).astype(float))
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -70,12 +96,13 @@ def clarity(levels: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> float:
     return min(float(laplacian(crop).var()) / 500.0, 1.0) if crop.size else 0.0
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[np.ndarray | None]:
-    """The pictures of a batch of height, width, channels and data; None where one wasn't decoded."""
-    columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("height", "width", "channels", "data")]
-    for h, w, c, data in zip(*columns):
-        whole = data is not None and h and h > 0 and w > 0 and len(data) == h * w * c
-        yield np.frombuffer(data, np.uint8).reshape(h, w, c) if whole else None
+def rows_of(batch: pa.RecordBatch) -> Iterator[np.ndarray | None]:
+    """The pictures of a batch of height, width, channels and data, one after the other without a copy; None where one wasn't decoded."""
+    height, width, channels, data = (batch.column(batch.schema.get_field_index(c)) for c in ("height", "width", "channels", "data"))
+    for k in range(len(batch)):
+        h, w, c, pixels = height[k].as_py(), width[k].as_py(), channels[k].as_py(), data[k].as_buffer() if data[k].is_valid else None
+        whole = pixels is not None and h and h > 0 and w > 0 and pixels.size == h * w * c
+        yield np.frombuffer(pixels, np.uint8).reshape(h, w, c) if whole else None
 
 
 def decoded_by(files: DataFrame, decoder: Decoder, error: str) -> DataFrame:
@@ -84,9 +111,9 @@ def decoded_by(files: DataFrame, decoder: Decoder, error: str) -> DataFrame:
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for content in batch.column(batch.schema.get_field_index("content")).to_pylist():
+            for content in batch.column(batch.schema.get_field_index("content")):
                 try:
-                    x = np.ascontiguousarray(decoder(content), np.uint8)
+                    x = np.ascontiguousarray(decoder(content.as_py()), np.uint8)
                     x = x.reshape(*x.shape[:2], -1)
                     out.append((*x.shape, x.tobytes(), None))
                 except Exception:
@@ -107,9 +134,9 @@ def measures(pictures: DataFrame) -> DataFrame:
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x in _rows(batch):
+            for x in rows_of(batch):
                 g = None if x is None else grey(x)
-                out.append([None] * 5 if g is None else [float(laplacian(g).var()), float(g.mean()), float((g > BRIGHT).mean()), float((g < DARK).mean()), fingerprint(g)])
+                out.append([None] * 5 if g is None else [float(laplacian(g).var()), float(g.mean()), float((g > BRIGHT).mean()), float((g < DARK).mean()), fingerprint(x)])
             columns = list(zip(*out)) if out else [()] * 5
             made = [pa.array(c, pa.int64() if k == 4 else pa.float64()) for k, c in enumerate(columns)]
             kept = [batch.column(batch.schema.get_field_index(c)) for c in ("path", "name", "error")]
@@ -125,7 +152,7 @@ def smaller(pictures: DataFrame, most: int) -> DataFrame:
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(-1, -1, -1, None) if x is None else (*x.shape, x.tobytes()) for x in (None if p is None else reduced(p, most) for p in _rows(batch))]
+            out = [(-1, -1, -1, None) if x is None else (*x.shape, x.tobytes()) for x in (None if p is None else reduced(p, most) for p in rows_of(batch))]
             h, w, c, data = zip(*out) if out else [()] * 4
             made = [pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(c, pa.int32()), pa.array(data, pa.binary())]
             first, last = [batch.column(k) for k in (0, 1)], batch.column(6)
@@ -140,7 +167,7 @@ def face_clarity(pictures: DataFrame) -> DataFrame:
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             boxes = batch.column(batch.schema.get_field_index("main")).to_pylist()
-            found = [0.0 if x is None or b is None else round(clarity(grey(x), b["x0"], b["y0"], b["x1"], b["y1"]), 4) for x, b in zip(_rows(batch), boxes)]
+            found = [0.0 if x is None or b is None else round(clarity(grey(x), b["x0"], b["y0"], b["x1"], b["y1"]), 4) for x, b in zip(rows_of(batch), boxes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["path", "clarity"])
 
     box = F.struct(*[F.col("main")[c].alias(c) for c in ("x0", "y0", "x1", "y1")])

@@ -17,6 +17,13 @@ TASK = (
 )
 
 
+def text(face_summary: str | None) -> str:
+    """prompt() of one picture inside a task."""
+    task = TASK.replace("{FLAWS}", " / ".join(FLAWS)).replace("{CATEGORIES}", " / ".join(CATEGORIES))
+    named = bool(face_summary) and NO_FACE not in face_summary
+    return HEAD + (FACES.replace("{FACES}", face_summary) if named else PLAIN) + task
+
+
 def prompt(face_summary: Column) -> Column:
     """With the faces' description where there is one that names faces, else the short form."""
     task = TASK.replace("{FLAWS}", " / ".join(FLAWS)).replace("{CATEGORIES}", " / ".join(CATEGORIES))

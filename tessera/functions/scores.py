@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import config
 from ..config import CATEGORIES, CATEGORY_ALIASES, DIVERSITY_PENALTY, EYES_CLOSED, FLAW_SUFFIX, FLAWED_MOST, FLAWS, FUSION, SPACES
 from .quality import bound
 
@@ -12,34 +15,29 @@ SCORES = ("composition_score", "color_score", "lighting_score", "overall_aesthet
 
 
 def face_size(ratio: Column) -> Column:
-    return F.when(ratio >= 0.30, "特写").when(ratio >= 0.10, "半身").otherwise("环境人像")
+    near, half, far = config.FACE_SIZES
+    return F.when(ratio >= 0.30, near).when(ratio >= 0.10, half).otherwise(far)
 
 
 def face_clarity(ratio: Column, clarity: Column) -> Column:
-    return F.when(ratio < 0.10, "人脸较小，不作清晰度评判").when(clarity >= 0.15, "清晰").when(clarity >= 0.10, "轻微模糊").otherwise("明显模糊")
+    sharp, soft, blurred, small = config.FACE_CLEAR
+    return F.when(ratio < 0.10, small).when(clarity >= 0.15, sharp).when(clarity >= 0.10, soft).otherwise(blurred)
 
 
-def face_spread(second: Column) -> Column:
-    return F.when(second >= 0.7, "均匀").when(second < 0.5, "主次分明").otherwise("大小略有差异")
+def filled(template: str, words: dict[str, Column]) -> Column:
+    """A template with its fields in braces replaced by columns."""
+    parts = [F.concat(F.lit(text), words[field]) if field else F.lit(text) for text, field, _, _ in string.Formatter().parse(template)]
+    return F.concat(*parts)
 
 
 def face_summary(count: Column, ratio: Column, second: Column, clarity: Column, main_blink: Column, any_blink: Column) -> Column:
     """The neutral description of the faces of a picture that goes into the rubric's prompt."""
-    yes = lambda b: F.when(b, "是").otherwise("否")
-    main, some = F.concat(F.lit("主脸闭眼："), yes(main_blink)), F.concat(F.lit("存在闭眼者："), yes(any_blink))
-    clear, spread = F.concat(F.lit("主脸清晰度："), face_clarity(ratio, clarity)), face_spread(second)
-    size = lambda name: F.concat(F.lit(name), face_size(ratio), F.lit("。"))
-    apart, unlike = spread == "主次分明", spread == "大小略有差异"
-    head = lambda tail: F.concat(F.lit("【人脸检测信息】检测到 "), count.cast("string"), F.lit(" 张人脸" + tail))
-    line = lambda *parts: F.concat_ws("；", *parts)
-    few = F.when(apart, line(head("，主次分明（疑似单主体+背景人群）"), main, clear, size("主脸占比：")))
-    few = few.when(unlike, line(head("，大小略有差异（疑似合影）"), some, clear, size("人脸占比：")))
-    few = few.otherwise(line(head("，面积均匀分布（疑似合影）"), some, clear, size("人脸占比：")))
-    many = F.when(apart, line(head("（多人场景，主次分明，疑似单主体+环境人群）"), main, clear, size("主脸占比：")))
-    many = many.when(unlike, line(head("（多人场景，大小略有差异，疑似合影）"), some, size("人脸占比：")))
-    many = many.otherwise(line(head("（多人场景，面积均匀，疑似合影）"), some, size("人脸占比：")))
-    one = line(head(""), main, clear, size("人脸占比："))
-    return F.when(F.coalesce(count, F.lit(0)) == 0, "【人脸检测信息】未检测到人脸，请聚焦场景本身。").when(count == 1, one).when(count <= 9, few).otherwise(many)
+    yes = lambda b: F.when(b, config.YES).otherwise(config.NO)
+    words = {"count": count.cast("string"), "main": yes(main_blink), "some": yes(any_blink), "clear": face_clarity(ratio, clarity), "size": face_size(ratio)}
+    by_spread = lambda even, apart, unlike: F.when(second >= 0.7, filled(even, words)).when(second < 0.5, filled(apart, words)).otherwise(filled(unlike, words))
+    few = by_spread(config.FACES_FEW_EVEN, config.FACES_FEW_APART, config.FACES_FEW_UNLIKE)
+    many = by_spread(config.FACES_MANY_EVEN, config.FACES_MANY_APART, config.FACES_MANY_UNLIKE)
+    return F.when(F.coalesce(count, F.lit(0)) == 0, config.FACES_NONE).when(count == 1, filled(config.FACES_ONE, words)).when(count <= 9, few).otherwise(many)
 
 
 def face_overall(clarity: Column, smile: Column, main_blink: Column) -> Column:

@@ -37,3 +37,10 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 def rerun_closure(layers: list[str]) -> set[str]:
     """Layers with all those that depend on them."""
     return set(layers) | {d for layer in layers for d in DOWNSTREAM.get(layer, ())}
+
+
+def rerun_closures(asked: DataFrame) -> DataFrame:
+    """(id, layer): of each id the layers ``asked`` for (id, layer) with all those that depend on them, each once."""
+    after = F.create_map(*[x for layer, others in DOWNSTREAM.items() for x in (F.lit(layer), F.array(*map(F.lit, others)))])
+    every = F.concat(F.array("layer"), F.coalesce(F.try_element_at(after, F.col("layer")), F.array().cast("array<string>")))
+    return asked.where("layer is not null").select("id", F.explode(every).alias("layer")).distinct()

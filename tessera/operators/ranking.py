@@ -40,6 +40,48 @@ def order_statistic(df: DataFrame, column: str, k: int, enough: int = 10_000) ->
             k -= r["n"]
 
 
+def percentiles(df: DataFrame, group: str, column: str, share: float, enough: int = 10_000) -> DataFrame:
+    """(group, n, value): of each group the number of its values and their percentile ``share`` (0 to 1), interpolated between two
+    places as the engine's ``percentile`` does; nulls don't count, infinities lie at the ends and NaN after all.
+
+    All groups at once: ranges are counted by (group, range), with sums combined before the shuffle, and narrowed to the one
+    that holds the place, until ``enough`` values are left of each group. So a group with any share of all rows is no task's burden.
+    Each pass leaves a 1024th of a group's range. The next place's value is the least above, found in one pass more.
+    """
+    v, big = F.col("v"), float("inf")
+    finite = ~F.isnan("v") & (v > -big) & (v < big)
+    some = cut(df.select(F.col(group).alias("g"), F.col(column).cast("double").alias("v")).where("v is not null"))
+    of = some.groupBy("g").agg(
+        F.count("*").alias("n"), F.count_if(v == -big).alias("low_n"), F.count_if(finite).alias("count"), F.count_if(v == big).alias("high_n"),
+        F.min(F.when(finite, v)).alias("low"), F.max(F.when(finite, v)).alias("high"),
+    )
+    place = F.lit(share) * (F.col("n") - 1)
+    of = of.withColumns({"k": F.floor(place), "part": place - F.floor(place)})
+    # The place among the finite values, or the value itself where it is none of these.
+    of = of.withColumn("at", F.col("k") - F.col("low_n")).withColumn("odd", F.when(F.col("at") < 0, -big).when(F.col("at") >= F.col("count") + F.col("high_n"), float("nan")).when(F.col("at") >= F.col("count"), big))
+    state = cut(of.select("g", "n", "part", "odd", "at", "low", "high", "count"))
+    inside = lambda rows, ranges: rows.join(ranges.select(F.col("g").alias("_g"), "low", "high", "at"), F.col("g").eqNullSafe(F.col("_g"))).where((v >= F.col("low")) & (v <= F.col("high")))
+    wide = F.col("odd").isNull() & (F.col("low") < F.col("high")) & (F.col("count") > enough)
+    while not state.where(wide).isEmpty():
+        step = F.col("high") / 1024 - F.col("low") / 1024
+        number = F.when(step > 0, F.greatest(F.lit(0.0), F.least(F.lit(1023.0), F.floor(v / step - F.col("low") / step).cast("double")))).otherwise(v)
+        counts = inside(some, state.where(wide)).groupBy("g", "at", number.alias("number")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("c").over(Window.partitionBy("g").orderBy("number"))  # 1024 rows a group
+        found = counts.withColumn("before", upto - F.col("c")).where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("c")))
+        found = found.select(F.col("g").alias("_g"), (F.col("at") - F.col("before")).alias("_at"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("c").alias("_c"))
+        joined = state.join(found, F.col("g").eqNullSafe(F.col("_g")), "left")
+        state = cut(joined.select("g", "n", "part", "odd", *[F.coalesce(f"_{c}", c).alias(c) for c in ("at", "low", "high")], F.coalesce("_c", "count").alias("count")), instead_of=state)
+    few = inside(some, state.where("odd is null and low < high")).withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("v")) - 1)  # ``enough`` rows a group
+    few = few.where(F.col("place") == F.col("at")).select(F.col("g").alias("_g"), F.col("v").alias("exact"))
+    here = state.join(few, F.col("g").eqNullSafe(F.col("_g")), "left").select("g", "n", "part", F.coalesce("odd", "exact", "low").alias("here"))
+    told = here.select(F.col("g").alias("_g"), "here", F.floor(F.lit(share) * (F.col("n") - 1)).alias("k"))
+    after = some.join(told, F.col("g").eqNullSafe(F.col("_g"))).groupBy("g", "k").agg(F.count_if(v <= F.col("here")).alias("upto"), F.min(F.when(v > F.col("here"), v)).alias("above"))
+    after = after.select(F.col("g").alias("_g"), F.when(F.col("upto") <= F.col("k") + 1, F.col("above")).alias("next"))
+    ends = here.join(after, F.col("g").eqNullSafe(F.col("_g")), "left").withColumn("next", F.coalesce("next", "here"))
+    value = F.when((F.col("part") == 0) | (F.col("next") == F.col("here")), F.col("here")).otherwise((1 - F.col("part")) * F.col("here") + F.col("part") * F.col("next"))
+    return ends.select(F.col("g").alias(group), "n", value.alias("value"))
+
+
 def stretch(df: DataFrame, column: str, valid: Column, floor: float = 0.0) -> DataFrame:
     """``df`` with ``column`` of the valid rows stretched from the 5th to the 95th place of their order to 0..10.
 

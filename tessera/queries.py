@@ -11,7 +11,7 @@ from . import config
 from .config import PLATFORMS
 from .functions import faces, fingerprints, names, prompts, scores
 from .operators import close, frames as frame_ops, merge, ranking
-from .plans import boards
+from .plans import boards, runs
 from .sources import images, manifests, tables
 from .sources.shared import table
 from .streaming import arrivals
@@ -432,7 +432,17 @@ def q_relative_blur(spark, sf_dir):
     return frame_ops.relative_blur(tables.frames(spark, sf_dir)).select("event_id", "blurry")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_FRAMES}, rated AS (SELECT *, count(*) OVER (PARTITION BY video) AS n FROM frames),
+  samples AS (SELECT video, event_id, (row_number() OVER (PARTITION BY video ORDER BY seq) - 1) // 20 AS batch, h FROM (
+    SELECT f.*, ('0x' || left(md5(e.props), 16))::UBIGINT AS h FROM rated f JOIN events e USING (event_id)
+    WHERE (f.seq - 1) % greatest(1, CAST(round_even(CASE WHEN n > 200 THEN n / 200 ELSE 1 END, 0) AS BIGINT)) = 0)),
+  batches AS (SELECT video, batch, list({{'id': event_id, 'h': h}}) AS some FROM samples GROUP BY video, batch),
+  steps AS (
+    SELECT video, -1::BIGINT AS batch, []::STRUCT(id BIGINT, h UBIGINT)[] AS kept FROM batches WHERE batch = 0
+    UNION ALL
+    SELECT b.video, b.batch, list_concat(s.kept, list_filter(b.some, lambda x: len(list_filter(s.kept, lambda k: bit_count(xor(k.h, x.h)) < {config.CLUSTER_BITS})) = 0))
+    FROM steps s JOIN batches b ON b.video = s.video AND b.batch = s.batch + 1)
+  SELECT video, unnest(kept).id AS event_id FROM steps s WHERE batch = (SELECT max(batch) FROM batches b WHERE b.video = s.video)""")
 def q_frame_dedup(spark, sf_dir):
     rows = tables.frames(spark, sf_dir)
     counts = rows.groupBy("video").agg(F.count("*").alias("frame_count"))
@@ -440,6 +450,11 @@ def q_frame_dedup(spark, sf_dir):
     return frame_ops.drop_repeats(rows).select("video", "event_id")
 
 
+@_query("SELECT user_id AS video, count(*) AS n, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY user_id")
+def q_video_percentile(spark, sf_dir):
+    return ranking.percentiles(tables.frames(spark, sf_dir), "video", "sharpness", 0.9).select("video", "n", F.round("value", 6).alias("p90"))
+
+
 @_query(f"WITH {_QUOTAS} SELECT video, quota FROM quotas")
 def q_video_quota(spark, sf_dir):
     return ranking.quotas(tables.videos(spark, sf_dir), SLOTS).select("video", "quota")
@@ -490,10 +505,32 @@ def q_overwrite_scores(spark, sf_dir):
     return merge.overwrite(old, new, ["overall"])
 
 
-@_query("SELECT * FROM (VALUES ('l1', 'l1,l2,l4,topiq,vlm'), ('l2', 'l2,l4,topiq,vlm'), ('l4', 'l4,vlm'), ('topiq', 'topiq'), ('vlm', 'vlm')) AS t(layer, again)")
+@_query("""WITH asked AS (SELECT DISTINCT user_id AS id, ['l1', 'l2', 'l4', 'topiq', 'vlm'][event_id * 7 % 5 + 1] AS layer FROM events WHERE event_id % 3 = 0),
+  after(layer, also) AS (VALUES ('l1', 'l1'), ('l1', 'l2'), ('l1', 'l4'), ('l1', 'topiq'), ('l1', 'vlm'), ('l2', 'l2'), ('l2', 'l4'), ('l2', 'topiq'), ('l2', 'vlm'), ('l4', 'l4'), ('l4', 'vlm'), ('topiq', 'topiq'), ('vlm', 'vlm'))
+  SELECT DISTINCT id, also AS layer FROM asked JOIN after USING (layer)""")
 def q_rerun_closure(spark, sf_dir):
-    rows = [(layer, ",".join(sorted(merge.rerun_closure([layer])))) for layer in ("l1", "l2", "l4", "topiq", "vlm")]
-    return spark.createDataFrame(rows, "layer string, again string")
+    layer = F.get(F.array(*map(F.lit, ("l1", "l2", "l4", "topiq", "vlm"))), (F.col("event_id") * 7 % 5).cast("int"))
+    return merge.rerun_closures(table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("id"), layer.alias("layer")))
+
+
+_NEW = "id % 3 = 0 AND id % 15 <> 0 AND topiq > 0"
+
+
+@_query(_stretch_sql("topiq", _NEW, "0").replace("ELSE topiq END AS topiq", "WHEN id % 15 = 0 THEN 0 ELSE topiq END AS topiq"))
+def q_stage_merged(spark, sf_dir):
+    """An incremental run's stage: old scores as they are, new ones stretched among themselves, 0 where the model failed."""
+    rows = tables.scored(spark, sf_dir).select("id", "topiq")
+    new = rows.where("id % 3 = 0").select("id", F.when(F.col("id") % 15 != 0, F.col("topiq")).alias("topiq"), F.when(F.col("id") % 15 == 0, "failed").alias("error"))
+    old = rows.where("id % 3 <> 0").withColumn("error", F.lit(None).cast("string"))
+    return merge.keep_old(old, runs.stretched(new)).select("id", "topiq")
+
+
+@_query(_stretch_sql("topiq", "id % 5 <> 0 AND topiq > 0", "0"))
+def q_stage_rerun(spark, sf_dir):
+    """A rerun of the scores alone: stretched anew, but a row that fails keeps its old score."""
+    old = tables.scored(spark, sf_dir).select("id", "topiq")
+    new = old.select("id", F.when(F.col("id") % 5 != 0, F.col("topiq")).alias("topiq"), F.when(F.col("id") % 5 == 0, "failed").alias("error"))
+    return merge.overwrite(old, runs.stretched(new), ["topiq"])
 
 
 @_query("SELECT DISTINCT md5(html)[:8] || '.jpg' AS name FROM pages")
@@ -560,3 +597,70 @@ def q_tumbling(spark, sf_dir):
 def q_session_windows(spark, sf_dir):
     rows = arrivals.sessions(table(spark, sf_dir, "events"))
     return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@_query("""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, max(value) AS highest FROM (
+  SELECT *, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE for k in range(4)]) AS w FROM events) GROUP BY ALL""")
+def q_sliding_windows(spark, sf_dir):
+    rows = arrivals.sliding(table(spark, sf_dir, "events"))
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "highest")
+
+
+@_query("SELECT DISTINCT user_id, event_type, CAST(floor(value) AS BIGINT) AS level FROM events")
+def q_distinct_events(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.floor("value").alias("level"), "ts")
+    return arrivals.distinct(rows, ["user_id", "event_type", "level"]).select("user_id", "event_type", "level")
+
+
+def _made_up(rows: DataFrame) -> tuple:
+    """Faces, scores and a judge of frames, from their ids."""
+    i = F.col("id")
+    part = lambda k, n, d: (i * k % n) / float(d)
+
+    def faces_(items: DataFrame) -> DataFrame:
+        kinds = {"face_overall": F.when(i % 3 == 0, 0.0).otherwise(part(11, 101, 100)), "face_count": F.lit(1), "ratio": F.lit(0.2), "clarity": F.lit(0.3), "second_ratio": F.lit(0.0), "any_blink": i % 7 == 0, "main_blink": i % 7 == 0, "has_face": F.lit(True)}
+        return items.select("id", *[v.alias(k) for k, v in kinds.items()])
+
+    def score(items: DataFrame) -> DataFrame:
+        return items.select("id", F.when(i % 11 != 0, 2 + part(37, 701, 100)).alias("topiq"), F.when(i % 11 == 0, "failed").alias("error"))
+
+    def judge(asked: DataFrame) -> DataFrame:
+        number = lambda k: F.round(1 + part(k, 91, 10), 1).cast("string")
+        fields = [F.concat(F.lit(f'"{s}": '), number(k)) for s, k in zip(scores.SCORES, (7, 13, 29, 17))]
+        return asked.where("id % 4 <> 0").select("id", F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")).alias("reply"))
+
+    return faces_, score, judge
+
+
+_VIDEO_RUN = _QUOTAS + f""", manifest AS (
+  SELECT e.user_id AS video, 'f' || e.event_id || '.jpg' AS filename, value AS sharpness, value / 500 AS objective, ('0x' || left(md5(props), 16))::UBIGINT AS h,
+         row_number() OVER (ORDER BY 'f' || e.event_id || '.jpg') AS id FROM events e
+), links AS (SELECT x.id AS a, y.id AS b FROM manifest x JOIN manifest y ON x.id <> y.id AND bit_count(xor(x.h, y.h)) <= {config.CLUSTER_BITS}
+), reach AS (SELECT id, id AS root FROM manifest UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id WHERE l.b > r.root
+), found AS (SELECT id, min(root) AS cluster_id FROM reach GROUP BY id
+), shown AS (SELECT m.*, id % 11 <> 0 AS fine, id % 11 <> 0 AND id % 7 = 0 AS flagged FROM manifest m JOIN (
+    SELECT id, row_number() OVER (PARTITION BY cluster_id ORDER BY sharpness DESC, id) AS k FROM found JOIN manifest USING (id)) USING (id) WHERE k <= 2
+), raw AS (SELECT *, CASE WHEN fine THEN 2 + (id * 37 % 701) / 100::DOUBLE ELSE 0 END AS t0, CASE WHEN NOT fine OR id % 4 = 0 THEN 0 WHEN flagged THEN least(6, 1 + (id * 17 % 91) / 10::DOUBLE) ELSE 1 + (id * 17 % 91) / 10::DOUBLE END AS v0 FROM shown
+), places AS (SELECT *, row_number() OVER (PARTITION BY t0 > 0 ORDER BY t0) AS tk, count(*) FILTER (WHERE t0 > 0) OVER () AS tn, row_number() OVER (PARTITION BY v0 > 0 ORDER BY v0) AS vk, count(*) FILTER (WHERE v0 > 0) OVER () AS vn FROM raw
+), ends AS (SELECT max(t0) FILTER (WHERE t0 > 0 AND tk = 1 + greatest(0, CAST(floor(tn * 0.05::DOUBLE) AS BIGINT) - 1)) AS tl, max(t0) FILTER (WHERE t0 > 0 AND tk = 1 + least(tn - 1, CAST(floor(tn * 0.95::DOUBLE) AS BIGINT) - 1)) AS th,
+         max(v0) FILTER (WHERE v0 > 0 AND vk = 1 + greatest(0, CAST(floor(vn * 0.05::DOUBLE) AS BIGINT) - 1)) AS vl, max(v0) FILTER (WHERE v0 > 0 AND vk = 1 + least(vn - 1, CAST(floor(vn * 0.95::DOUBLE) AS BIGINT) - 1)) AS vh FROM places
+), levels AS (SELECT p.*, CASE WHEN t0 > 0 AND th - tl >= 0.5 THEN round(greatest(0, least(1, (t0 - tl) / (th - tl))) * 10, 4) ELSE t0 END AS topiq,
+         CASE WHEN v0 > 0 AND vh - vl >= 0.5 THEN round(greatest(greatest(0, least(1, (v0 - vl) / (vh - vl))), 0.01) * 10, 4) ELSE v0 END AS v1 FROM places p, ends
+), judged AS (SELECT *, CASE WHEN flagged THEN least(v1, 6) ELSE v1 END AS vlm, CASE WHEN id % 3 = 0 THEN 0 ELSE (id * 11 % 101) / 100::DOUBLE END AS face,
+         CASE WHEN id % 4 = 0 THEN 5 ELSE ((1 + (id * 7 % 91) / 10::DOUBLE) * 0.35::DOUBLE + (1 + (id * 13 % 91) / 10::DOUBLE) * 0.30::DOUBLE + (1 + (id * 29 % 91) / 10::DOUBLE) * 0.20::DOUBLE) / 0.85::DOUBLE END AS dims FROM levels
+), parts AS (SELECT *, vlm > 0 AS has_vlm, face > 0 AND NOT vlm > 0 AS f FROM judged
+), fused AS (SELECT *, CASE WHEN f THEN 0.45::DOUBLE ELSE 0.45::DOUBLE / 0.85 END * CASE WHEN has_vlm THEN dims * 0.7::DOUBLE + vlm * 0.3::DOUBLE ELSE topiq END + CASE WHEN f THEN 0.30::DOUBLE ELSE 0.30::DOUBLE / 0.85 END * topiq
+         + CASE WHEN f THEN 0.15::DOUBLE ELSE 0 END * 10 * face + CASE WHEN f THEN 0.10::DOUBLE ELSE 0.10::DOUBLE / 0.85 END * 10 * objective AS score FROM parts
+), final AS (SELECT x.*, score * CASE WHEN EXISTS (SELECT 1 FROM fused y WHERE (y.topiq > x.topiq OR (y.topiq = x.topiq AND y.id < x.id)) AND bit_count(xor(x.h, y.h)) < {NEAR_BITS - 1}) THEN 0.85::DOUBLE ELSE 1 END AS final FROM fused x)"""
+
+
+@_query(f"""WITH RECURSIVE {_VIDEO_RUN} SELECT filename, round(topiq, 4) AS topiq, round(vlm, 4) AS vlm, round(final, 4) AS final FROM (
+  SELECT f.*, quota, row_number() OVER (PARTITION BY f.video ORDER BY final DESC, topiq DESC, id) AS k FROM final f JOIN quotas q ON q.video = f.video) WHERE k <= quota""")
+def q_video_run(spark, sf_dir):
+    """The whole video board: clusters of all frames, faces, scores, a judge, their stretch, the fusion, the penalty and the slots."""
+    rows = table(spark, sf_dir, "events").join(tables.videos(spark, sf_dir).withColumnRenamed("video", "user_id"), "user_id")
+    name = F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(".jpg"))
+    manifest = rows.select(name.alias("filename"), F.col("user_id").alias("source_video"), F.lit(0.0).alias("timestamp"), F.col("value").alias("sharpness"), (F.col("value") / 500).alias("overall"), F.substring(F.md5("props"), 1, 16).alias("phash"), "duration")
+    faces_, score, judge = _made_up(manifest)
+    board = runs.Videos(faces=faces_, score=score, judge=judge).run(manifest, slots=SLOTS, near=NEAR_BITS - 1)
+    return board.select("filename", "topiq", "vlm", F.round("final", 4).alias("final"))
