@@ -79,7 +79,7 @@ def cached(spark: SparkSession, folder: str, cache: str, most: int | None = None
         fresh = pixels.smaller(decoded(spark, new, decoder), most)
         path = F.regexp_replace("path", "^file:/+", "file:/")
         fresh = fresh.withColumns({"key": cache_key(path), "cached": F.current_timestamp()})
-        fresh.write.parquet(f"{cache}/{uuid.uuid4().hex}")
+        fresh.write.parquet(f"{cache.rstrip('/')}/added={uuid.uuid4().hex}")
         known = _whole(spark, cache)
     if known is None:
         empty = "path string, name string, height int, width int, channels int, data binary, error string, key string, cached timestamp"
@@ -94,7 +94,8 @@ def _whole(spark: SparkSession, cache: str) -> DataFrame | None:
     if not store.exists(path()):
         return None
     names = [s.getPath().getName() for s in store.listStatus(path())]
-    added = [f"{cache.rstrip('/')}/{n}" for n in names if store.exists(path(n, "_SUCCESS"))]
+    first = store.exists(path("_SUCCESS"))  # files of a cache of one folder, as it was once
+    added = [f"{cache.rstrip('/')}/{n}" for n in names if store.exists(path(n, "_SUCCESS")) or (first and re.fullmatch(r"part-.*\.parquet", n))]
     return spark.read.parquet(*added) if added else None
 
 

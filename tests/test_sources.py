@@ -66,7 +66,7 @@ def test_stream_of_frames(spark, tmp_path):
     rows([(0, 0), (1, 1)]).coalesce(1).write.parquet(str(tmp_path / "in/1"))
     rows([(2, 3), (3, -1)]).coalesce(1).write.parquet(str(tmp_path / "in/2"))
     stream = spark.readStream.schema("video string, seq int, h bigint").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    query = arrivals.drop_repeats(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+    query = arrivals.drop_repeats(stream, batch=2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
     query.awaitTermination()
     assert sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 3]
 
