@@ -53,7 +53,7 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
     counts = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))}
-    return joined.select(*restored(docs.columns, {"text": text} | {k: F.greatest(v, F.lit(0)).cast("long") for k, v in counts.items()}))
+    return joined.select(*restored(docs.columns, {"text": text} | {k: F.greatest(v, F.lit(0)).cast("long") for k, v in counts.items()}, "doc_id", "text"))
 
 
 ORACLE = r"""

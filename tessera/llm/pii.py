@@ -217,4 +217,4 @@ def mask(docs: DataFrame) -> DataFrame:
     joined = joined.withColumn("text", F.when(at.isNull(), F.col("text")).otherwise(text))
     for kind, pattern in KINDS.items():
         joined = joined.withColumn("text", replaced(F.col("text"), pattern, NEEDS[kind], kind, lambda m, _, k=kind: _valid(k, m)))
-    return joined.select(*restored(docs.columns, {"text": F.col("text")}))
+    return joined.select(*restored(docs.columns, {}, "doc_id", "text"))

@@ -89,7 +89,7 @@ def _made() -> dict[str, Column]:
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
-    return _counted(aside(docs, "text")).select(*restored(docs.columns, _made()))
+    return _counted(aside(docs, "text")).select(*restored(docs.columns, _made(), "text"))
 
 
 def _tokens(text: Column) -> Column:
@@ -141,7 +141,7 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, ratio: list[int] | None
     """
     ratio = ratios(docs) if ratio is None else ratio
     judged = _counted(aside(docs, "text")).withColumn("_llr", mean_ratio(F.col("text"), ratio))
-    return judged.select(*restored(docs.columns, _made() | {"llr": F.col("_llr"), "kept": ~F.col("_failed") & (F.col("_llr") >= threshold)}))
+    return judged.select(*restored(docs.columns, _made() | {"llr": F.col("_llr"), "kept": ~F.col("_failed") & (F.col("_llr") >= threshold)}, "text"))
 
 
 def passed(docs: DataFrame) -> DataFrame:
@@ -152,4 +152,4 @@ def passed(docs: DataFrame) -> DataFrame:
     """
     judged = judge(aside(docs, "text"))
     one = F.explode(F.filter(F.array("kept"), lambda k: k)).alias("_kept")
-    return judged.select("_row", one).select(*restored(docs.columns, {}))
+    return judged.select("text", "_row", one).select(*restored(docs.columns, {}, "text"))

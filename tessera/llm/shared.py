@@ -26,13 +26,15 @@ def share01(*cols: Column) -> Column:
 
 
 def aside(docs: DataFrame, *used: str) -> DataFrame:
-    """The columns ``used``, and all columns of ``docs`` as one struct ``_row``: whatever they are called, inner columns clash with none."""
-    return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """The columns ``used``, and the others as one struct ``_row``: whatever they are called, inner columns clash with none."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*(rest or [F.lit(0)])).alias("_row"))
 
 
-def restored(columns: list[str], new: dict[str, Column]) -> list[Column]:
-    """The columns of a table from aside()'s struct, those named in ``new`` replaced, and the others of ``new`` after them."""
+def restored(columns: list[str], new: dict[str, Column], *used: str) -> list[Column]:
+    """The columns of a table from what aside() made of it, those named in ``new`` replaced, and the others of ``new`` after them."""
     name = {c.lower(): c for c in new}
-    kept = [new[name[c.lower()]].alias(c) if c.lower() in name else F.col("_row")[c].alias(c) for c in columns]
+    own = lambda c: F.col(c) if c in used else F.col("_row")[c]
+    kept = [(new[name[c.lower()]] if c.lower() in name else own(c)).alias(c) for c in columns]
     have = {c.lower() for c in columns}
     return kept + [v.alias(k) for k, v in new.items() if k.lower() not in have]

@@ -155,4 +155,4 @@ def keep_one(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3) -> Da
     if not first.where("n > 1").isEmpty():
         again = F.when(F.col("n") > 1, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
         out = out.withColumn("_again", again).dropDuplicates(["_id", "_hash", "_again"]).drop("_again")
-    return out.select(*restored(docs.columns, {}))
+    return out.select(*restored(docs.columns, {}, "doc_id", "text"))
