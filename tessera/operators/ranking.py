@@ -110,10 +110,15 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFr
     return parts.join(F.broadcast(before), "_part").withColumn(out, within + F.col("_before")).drop("_part", "_before")
 
 
-def top_each(df: DataFrame, group: str, order: list[Column], k: int | Column) -> DataFrame:
-    """The first ``k`` rows of each group (k: a number, or a column of the row)."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("rank_in_group", rank).where(F.col("rank_in_group") <= k)
+def top_each(df: DataFrame, group: str, order: list[Column], k: int | Column, most: int | None = None) -> DataFrame:
+    """The first ``k`` rows of each group (k: a number, or a column of the row, ``most`` at most).
+
+    With a number the engine drops rows before the shuffle that can't be among the first.
+    """
+    ranked = df.withColumn("rank_in_group", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    if most is not None:
+        ranked = ranked.where(F.col("rank_in_group") <= most)
+    return ranked.where(F.col("rank_in_group") <= k)
 
 
 def summaries(members: DataFrame) -> DataFrame:

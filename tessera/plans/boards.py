@@ -119,4 +119,4 @@ def photo_board(items: DataFrame, platform: str = "xiaohongshu", n: int = TOP_N,
 def video_board(frames: DataFrame, videos: DataFrame, slots: int = VIDEO_SLOTS, score: str = "overall", name: str = "seq") -> DataFrame:
     """Of each video as many of its best frames as it has slots."""
     quota = ranking.quotas(videos, slots).select("video", "quota")
-    return ranking.top_each(frames.join(quota, "video"), "video", [F.col(score).desc(), F.col(name)], F.col("quota"))
+    return ranking.top_each(frames.join(quota, "video"), "video", [F.col(score).desc(), F.col(name)], F.col("quota"), max(1, slots))

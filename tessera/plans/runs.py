@@ -228,7 +228,7 @@ class Videos:
         lengths = scored.groupBy(F.col("source_video").alias("video")).agg(F.max_by("duration", F.struct(F.col("topiq"), -F.col("id"))).alias("duration"))
         quota = ranking.quotas(lengths, slots, most).select(F.col("video").alias("source_video"), "quota")
         best = [F.col("final").desc(), F.col("topiq").desc(), F.col("id")]
-        chosen = ranking.top_each(scored.join(quota, "source_video"), "source_video", best, F.col("quota")).drop("rank_in_group", "quota")
+        chosen = ranking.top_each(scored.join(quota, "source_video"), "source_video", best, F.col("quota"), max(1, slots)).drop("rank_in_group", "quota")
         board = ranking.global_rank(chosen, best)
         board = board.withColumn("name", display(F.col("rank"), F.col("filename"), "v"))
         if folder is not None:
