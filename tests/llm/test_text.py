@@ -542,3 +542,37 @@ def test_columns_of_any_name(spark):
             own = {"judged": {"kept"}}.get(name, set())
             assert all(r[c] == r["doc_id"] for c in CLASHING if c not in own), name
     assert {r["text"].split("\n")[1] for r in made["masked"].collect()} == {"mail [EMAIL]"}
+
+
+def test_machines_are_at_their_optimum():
+    """The gradient of the squared hinge loss with its penalty, written out, is next to nothing where the fit ends."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 10)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x[:, 0] + 0.05 * rng.normal(size=60) > 0.1, 1, -1).astype(np.float32)
+    w = langid.machine(x, y, penalty=0.05, rounds=3000).astype(float)
+    full = np.hstack([x, np.ones((60, 1))]).astype(float)
+    slope = 0.05 * w
+    for row, label in zip(full, y):
+        short = max(0.0, 1 - label * float(row @ w))
+        slope -= 2 * row * label * short * 0.5 / (y == label).sum()
+    assert np.abs(slope).max() < 1e-3 and ((full @ w > 0) == (y > 0)).mean() > 0.8
+
+
+def test_lasso_is_at_its_optimum():
+    """Weights without a rule have a slope within the penalty, the others one that equals it."""
+    rng = np.random.default_rng(6)
+    z = (rng.random((300, 12)) < 0.4).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(3 * z[:, 0] - 2 * z[:, 1] - 0.5)))).astype(float)
+    w, b = quality_classifier._lasso(z, y, 0.02, 0.0, rounds=4000)
+    slope = [sum((1 / (1 + np.exp(-(row @ w + b))) - t) * row[j] for row, t in zip(z, y)) / 300 for j in range(12)]
+    assert abs(sum(1 / (1 + np.exp(-(row @ w + b))) - t for row, t in zip(z, y))) / 300 < 1e-4
+    assert all(abs(s + 0.02 * np.sign(v)) < 1e-4 if v else abs(s) < 0.02 + 1e-4 for s, v in zip(slope, w))
+    assert w[0] > 1 and w[1] < -0.5 and (w == 0).sum() >= 4
+
+
+def test_spans_of_repeated_rows(spark):
+    rows = contexts(8) + contexts(8)[:3] + [(1000, "please charge my card 4000000000000001 today")] * 2 + [(None, "please charge my card 4000000000000001 today")]
+    got = pii.spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and all(r["spans"] == "identifier:22:38" for r in got if r["doc_id"] in (1000, None))
+    assert sum(r["doc_id"] == 0 and r["spans"] == "card:22:38" for r in got) == 2
