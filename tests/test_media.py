@@ -294,6 +294,17 @@ def test_the_cache_reads_new_files_only(spark, tmp_path):
     assert set(get()) == set(again) - {"p0.heic"} and told() == 5
 
 
+def test_pictures_for_a_judge(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    for name, x in {"colour": rng.integers(0, 256, (30, 70, 3), np.uint8), "grey": rng.integers(0, 256, (5, 4, 1), np.uint8), "plain": rng.integers(0, 256, (6, 7), np.uint8)}.items():
+        (tmp_path / f"{name}.png").write_bytes(pixels.for_judge(x, 35))
+        want = pixels.reduced(x, 35)
+        r = images.decoded(spark, str(tmp_path)).where(F.col("name") == f"{name}.png").first()
+        got = np.frombuffer(bytes(r["data"]), np.uint8).reshape(r["height"], r["width"], r["channels"])
+        assert got.shape[:2] == want.shape[:2] and (got == want.reshape(*want.shape[:2], -1)).all()
+        assert max(got.shape) <= 35 and pixels.for_judge(x, 35)[:4] == b"\x89PNG"
+
+
 def plain_resized(rows, m):
     """One pass along rows of whole numbers, value by value."""
     n, out = len(rows[0]), []
