@@ -24,8 +24,8 @@ from .graph import components, forest
 
 #: Rows of a side of a group, about; pivots at most; rows compared at once; fingerprints that pivots are chosen from.
 CHUNK, PIVOTS, AT_ONCE, SAMPLE = 4096, 1024, 512, 4096
-#: Compared pairs that cost as much as sending an item to one more cell.
-SENT = 500
+#: Compared pairs that cost as much as sending an item to one more cell; rows of a task that compares groups, and of one that sends items to them, about.
+SENT, ROWS, SENDS = 500, 1 << 16, 1 << 19
 
 
 def distances(h: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -85,23 +85,10 @@ def visited(d: np.ndarray, home: np.ndarray, k: np.ndarray, there: np.ndarray, b
     return some & (d <= (own + 2 * bits)[:, None]) & (cell[None, :] > home[:, None]) & (cell[None, :] < k[:, None])
 
 
-def _dealt(items: DataFrame, block: list[str], bits: int, chunk: int, sure: bool = False) -> DataFrame:
-    """``items`` (id, h, ...) as members of groups (_block, _cell, _i, _j): those with _c = _i meet those with _c = _j; _d: distance to the pivot.
-
-    Chunks of home items are numbered from 0, of visitors from -1 down.
-    """
-    items = items.where("h is not null").withColumn("_block", F.to_json(F.struct(*block)) if block else F.lit(""))
-    sizes = items.groupBy("_block").agg(F.count("*").alias("_n"))
-    most = sizes.agg(F.max("_n")).first()[0] or 0
-    pivots = np.zeros(1, np.int64)  # one cell: distances to 0 are bit counts
-    if most > chunk:
-        found = items.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(SAMPLE).collect()  # SAMPLE numbers at most
-        pivots = planned(np.array([r["h"] for r in found], np.int64), most, bits, sure)
-        own = F.when(F.col("_n") <= chunk, 1).otherwise(len(pivots))
-        items = items.join(sizes.select("_block", own.cast("int").alias("_k")), "_block")
-    else:
-        items = items.withColumn("_k", F.lit(1))
-    names = [c for c in items.columns if c not in ("_block", "_k")]
+def _celled(items: DataFrame, large: DataFrame, pivots: np.ndarray, bits: int) -> DataFrame:
+    """``items`` at home (_home) and in the cells they visit: _cell, _d (distance to its pivot), _k (pivots of the block: all in the ``large`` ones, else one)."""
+    large = large.select("_block", F.lit(len(pivots)).alias("_k"))  # fewer than one for a chunk of rows
+    items = items.join(F.broadcast(large), "_block", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
 
     def home_of(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = distances(h, pivots)
@@ -115,25 +102,48 @@ def _dealt(items: DataFrame, block: list[str], bits: int, chunk: int, sure: bool
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(own.astype(np.int32))], [*batch.schema.names, "_cell", "_d"])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema) + ", _cell int, _d int"
-    at_home = items.mapInArrow(homes, kind)
-    if len(pivots) > 1:
-        at_home = cut(at_home)
+    at_home = cut(items.mapInArrow(homes, kind))
     rows = at_home.withColumn("_home", F.lit(True))
-    if len(pivots) > 1:
-        there, out = _masks(at_home, len(pivots)), rows.columns
-
-        def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in (b.slice(s, 512) for b in batches for s in range(0, len(b), 512)):
-                column = lambda c: batch.column(batch.schema.get_field_index(c))
-                d = distances(column("h").to_numpy(), pivots)
-                i, cell = np.nonzero(visited(d, column("_cell").to_numpy(), column("_k").to_numpy(), there, bits))
-                moved = {"_cell": pa.array(cell.astype(np.int32)), "_d": pa.array(d[i, cell].astype(np.int32)), "_home": pa.array(np.zeros(len(i), bool))}
-                yield pa.RecordBatch.from_arrays([moved[c] if c in moved else column(c).take(pa.array(i)) for c in out], out)
-
-        rows = cut(rows.unionByName(at_home.mapInArrow(visits, kind + ", _home boolean")))
-    counts = rows.groupBy("_block", "_cell").agg(F.count_if("_home").alias("_a"), F.count_if(~F.col("_home")).alias("_b"))
-    parts = counts.where("_a > 0").select("_block", "_cell", F.ceil(F.col("_a") / chunk).cast("int").alias("_s"), F.ceil(F.col("_b") / chunk).cast("int").alias("_t"))
-    rows = rows.join(parts, ["_block", "_cell"])  # a cell without a home item in this block has no visitors
+    there, out = _masks(at_home, len(pivots)), rows.columns
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(s, 512) for b in batches for s in range(0, len(b), 512)):
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            d = distances(column("h").to_numpy(), pivots)
+            i, cell = np.nonzero(visited(d, column("_cell").to_numpy(), column("_k").to_numpy(), there, bits))
+            moved = {"_cell": pa.array(cell.astype(np.int32)), "_d": pa.array(d[i, cell].astype(np.int32)), "_home": pa.array(np.zeros(len(i), bool))}
+            yield pa.RecordBatch.from_arrays([moved[c] if c in moved else column(c).take(pa.array(i)) for c in out], out)
+
+    return cut(rows.unionByName(at_home.mapInArrow(visits, kind + ", _home boolean")))
+
+
+def _dealt(items: DataFrame, block: list[str], bits: int, chunk: int, sure: bool = False) -> DataFrame:
+    """``items`` (id, h, ...) as members of groups (_block, _cell, _i, _j): those with _c = _i meet those with _c = _j; _d: distance to the pivot.
+
+    Chunks of home items are numbered from 0, of visitors from -1 down.
+    """
+    items = items.where("h is not null").withColumn("_block", F.to_json(F.struct(*block)) if block else F.lit(""))
+    sizes = cut(items.groupBy("_block").agg(F.count("*").alias("_n")))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    names, pivots = [c for c in items.columns if c != "_block"], np.zeros(1, np.int64)  # one cell: distances to 0 are bit counts
+    if most > chunk:
+        found = items.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(SAMPLE).collect()  # SAMPLE numbers at most
+        pivots = planned(np.array([r["h"] for r in found], np.int64), most, bits, sure)
+    if len(pivots) == 1:
+        rows = items.withColumns({"_k": F.lit(1), "_cell": F.lit(0), "_d": F.bit_count(F.col("h").bitwiseXOR(F.lit(int(pivots[0])))), "_home": F.lit(True)})
+        counts = sizes.select("_block", F.lit(0).alias("_cell"), F.col("_n").alias("_a"), F.lit(0).alias("_b"))
+    else:
+        rows = _celled(items, sizes.where(F.col("_n") > chunk), pivots, bits)
+        counts = cut(rows.groupBy("_block", "_cell").agg(F.count_if("_home").alias("_a"), F.count_if(~F.col("_home")).alias("_b")))
+    parts = counts.select("_block", "_cell", "_a", "_b", F.ceil(F.col("_a") / chunk).cast("int").alias("_s"), F.ceil(F.col("_b") / chunk).cast("int").alias("_t"))
+    total = parts.agg(F.sum(F.col("_a") * (F.col("_s") + F.col("_t")) + F.col("_b") * F.col("_s"))).first()[0] or 0
+    # Only cells of more than a chunk are looked up, fewer than one for a chunk of rows; others are a chunk and one of visitors.
+    large = parts.where((F.col("_a") > chunk) | (F.col("_b") > chunk)).select("_block", "_cell", "_s", "_t")
+    rows = rows.join(F.broadcast(large), ["_block", "_cell"], "left")
+    rows = rows.withColumns({"_s": F.coalesce("_s", F.lit(1)), "_t": F.coalesce("_t", (F.col("_k") > 1).cast("int"))})
+    rows = rows.where("_s > 0")  # a cell without a home item in this block has nothing to visit
+    if total > SENDS:  # a task that sends an item to all chunks holds what it sends
+        rows = rows.repartition(math.ceil(total / SENDS), "id")
     number = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     rows = rows.withColumn("_c", F.when(F.col("_home"), number(F.col("_s"))).otherwise(-1 - number(F.greatest("_t", F.lit(1)))))
     each = lambda n: F.sequence(F.lit(0), n - 1)
@@ -141,7 +151,9 @@ def _dealt(items: DataFrame, block: list[str], bits: int, chunk: int, sure: bool
     guests = F.when(F.col("_t") > 0, F.transform(each(F.col("_t")), lambda x: F.struct(F.col("_c").alias("i"), (-1 - x).alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     visit = F.transform(each(F.col("_s")), lambda x: F.struct(x.alias("i"), F.col("_c").alias("j")))
     pairs_ = F.when(F.col("_home"), F.concat(own, guests)).otherwise(visit)
-    return rows.withColumn("_p", F.explode(pairs_)).select(*names, "_block", "_cell", "_d", "_c", F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"))
+    rows = rows.withColumn("_p", F.explode(pairs_)).select(*names, "_block", "_cell", "_d", "_c", F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"))
+    # Rows that lie by cell would count as grouped, and one task would hold all groups of a cell.
+    return rows.repartition(max(1, math.ceil(total / ROWS)), "_block", "_cell", "_i", "_j")
 
 
 def _met(group: pa.Table, bits: int, sure: bool) -> tuple[np.ndarray, np.ndarray, int]:

@@ -100,6 +100,30 @@ def test_the_index_compares_few_pairs_of_clustered_rows(spark, monkeypatch):
     assert len(sizes) > 100 and max(r["count"] for r in sizes) < 400
 
 
+def parts_of(items, bits, block, chunk):
+    """Rows by the task that compares them."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    met = lambda group, x, y: pa.table({"part": [TaskContext.get().partitionId()], "n": [len(group)]})
+    found = close._joined(items, block, bits, chunk, "id", met, "part bigint, n bigint", False)
+    return {r["part"]: r["n"] for r in found.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+
+
+def test_groups_of_one_cell_are_spread_over_tasks(spark, monkeypatch):
+    """Fingerprints without groups make one cell of a table, or of a block; its pairs of chunks go to many tasks, whose rows don't grow with the table."""
+    monkeypatch.setattr(close, "ROWS", 1000, raising=False)
+    monkeypatch.setattr(close, "SENDS", 2000, raising=False)
+    rng = random.Random(8)
+    rows = [(k, signed(rng.getrandbits(64)), None) for k in range(800)]
+    items = spark.createDataFrame(rows, "id bigint, h bigint, b int").repartition(3)
+    for n, block in ((400, []), (800, ["b"])):
+        got = parts_of(items.where(F.col("id") < n), 20, block, 50)
+        assert sum(got.values()) == n * n // 50 and max(got.values()) < 3000
+        assert len(got) >= n * n // 50 // 2000
+    assert {(r["b"], r["a"]) for r in close.pairs(items, 20, ["b"], 50).collect()} == set(plain_near(rows, 20))
+
+
 def test_order_statistic_and_rank(spark):
     values = [random.Random(k).choice([0.0, 1.5, random.Random(k).random()]) for k in range(500)]
     df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v double, id int").repartition(5)
