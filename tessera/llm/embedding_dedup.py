@@ -3,17 +3,18 @@
 Vectors are projected onto many random lines. A table orders the vectors by a compound of a few lead
 projections cut into randomly shifted cells of one width. Each run of equal codes is sorted along a line of its
 own, every vector opens a window around its own place there, and for the vectors within it the windows of the
-other lines in which a pair meets are counted. Pairs with a count that near pairs reach (calibrated on pairs
-made at exactly the threshold) are verified in double precision. Whether shifted cells part a pair depends on
+other lines in which a pair meets are counted. Pairs with a count that near pairs reach (by the law of pairs
+at exactly the threshold, not by a sample) are verified in double precision. Whether shifted cells part a pair depends on
 its distance only, not on where the mass of the vectors lies, so the number of tables that the wished recall
-needs holds for the pairs of any group. Width and number of leads are those of least work for the vectors'
-distances; a small table needs no leads and is one run.
+needs holds for the pairs of any group. Width and number of leads are those of least work for the distances of
+a bounded sample, which decides on nothing else; a small table needs no leads and is one run.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import components, cut, forest, share01
 
-#: Bounded sample for distances and calibration.
+#: Bounded sample for the distances that the work is planned by.
 SAMPLE = 1000
 #: Compared pairs that cost as much as sending a vector to one table; rows of one side of a compared pair of chunks, of a block.
 SENT, CHUNK, BLOCK = 1024, 4096, 256
@@ -83,23 +84,30 @@ def _plan(sample: np.ndarray, n: int, threshold: float, recall: float) -> tuple[
     return best[1:]
 
 
+def windows(dim: int, threshold: float, recall: float) -> tuple[float, int]:
+    """(half width of a window, least count) for pairs at exactly the threshold, whatever the vectors.
+
+    Along a random line such a pair is apart by a normal deviate of known size: a window holds it with a known probability,
+    and the count over independent lines is binomial. The recall is that over the draw of the lines.
+    """
+    normal = NormalDist()
+    half = normal.inv_cdf(0.98)
+    holds = 2 * normal.cdf(half * (WIDE - 1) / WIDE) - 1  # places are whole numbers: a pair at the very edge may round out
+    below, least = 0.0, 0
+    while least < WINDOWS and (below := below + math.comb(WINDOWS, least) * holds**least * (1 - holds) ** (WINDOWS - least)) <= 1 - recall:
+        least += 1
+    return half * math.sqrt((2 - 2 * threshold) / dim), max(1, least)
+
+
 def calibrate(sample: np.ndarray, n: int, threshold: float, recall: float, seed: int) -> dict:
-    """Lead projections, tables, cells, window width and least count for ``n`` vectors like ``sample``."""
+    """Lead projections, tables, cells, window width and least count for ``n`` vectors like ``sample``; it decides on the work only."""
     rng, dim = np.random.default_rng(seed), sample.shape[1]
     recall = 1 - (1 - recall) / 2  # a half of what may be missed for each of leads and windows
     leads, tables, cell = _plan(sample, n, threshold, recall)
-    shifts = rng.random((tables, leads))
-    x = np.repeat(sample, max(1, 4000 // len(sample)), axis=0)
-    z = rng.standard_normal(x.shape)
-    z = _units(z - (z * x).sum(1, keepdims=True) * x + 1e-12)
-    y = threshold * x + math.sqrt(1 - threshold**2) * z  # at exactly the threshold
-    fit = {"leads": leads, "tables": tables, "cell": cell / math.sqrt(dim), "shifts": shifts, "seed": seed, "dim": dim}
-    apart = np.abs((x - y) @ _lines(seed, 1 << 20, WINDOWS, dim, dim))
-    fit["width"] = float(np.quantile(apart, 0.96))
+    fit = {"leads": leads, "tables": tables, "cell": cell / math.sqrt(dim), "shifts": rng.random((tables, leads)), "seed": seed, "dim": dim}
+    fit["width"], fit["least"] = windows(dim, threshold, recall)
     # The place along the first line is off by 4.5 deviations in 7 of a million pairs.
     fit["reach"] = math.ceil(4.5 * math.sqrt((2 - 2 * threshold) / dim) / fit["width"] * WIDE)
-    count = (np.abs(places(x, fit) - places(y, fit)) <= WIDE)[:, 1:].sum(1)
-    fit["least"] = max(1, int(np.quantile(count, 1 - recall, method="lower")))
     return fit
 
 

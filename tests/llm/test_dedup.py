@@ -92,6 +92,19 @@ def test_leads_hold_their_recall_at_a_hundred_thousand():
     assert near.sum() > 100_000 and met.mean() >= 0.9999
 
 
+def test_windows_and_counts_come_from_no_sample():
+    from math import comb
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(6)
+    samples = [embedding_dedup._units(rng.standard_normal((1000, 64)) + shift) for shift in (0, 1, 1, 5)]
+    fits = [embedding_dedup.calibrate(x, n, 0.95, 0.9999, 7) for x in samples for n in (1000, 1_000_000)]
+    assert len({(f["width"], f["least"], f["reach"]) for f in fits}) == 1
+    inside = 2 * NormalDist().cdf(fits[0]["width"] / np.sqrt(0.1 / 64)) - 1
+    missed = lambda least: sum(comb(16, k) * inside**k * (1 - inside) ** (16 - k) for k in range(least))
+    assert missed(fits[0]["least"]) <= 5e-5 < missed(fits[0]["least"] + 1)
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_few_embeddings(spark, n):
     df = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(n)], "vec_id bigint, embedding array<float>")
