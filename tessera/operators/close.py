@@ -23,9 +23,11 @@ from ..sources.shared import cut
 from .graph import components, forest
 
 #: Rows of a side of a group, about; pivots at most; rows compared at once; fingerprints that pivots are chosen from.
-CHUNK, PIVOTS, AT_ONCE, SAMPLE = 4096, 1024, 512, 4096
+CHUNK, PIVOTS, AT_ONCE, SAMPLE = 4096, 1024, 128, 4096
 #: Compared pairs that cost as much as sending an item to one more cell; rows of a task that compares groups, and of one that sends items to them, about.
 SENT, ROWS, SENDS = 500, 1 << 16, 1 << 19
+#: Pairs of a group that are held at once, about; where a part of a group has more, AT_ONCE * CHUNK.
+PART = 1 << 18
 
 
 def distances(h: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -156,8 +158,8 @@ def _dealt(items: DataFrame, block: list[str], bits: int, chunk: int, sure: bool
     return rows.repartition(max(1, math.ceil(total / ROWS)), "_block", "_cell", "_i", "_j")
 
 
-def _met(group: pa.Table, bits: int, sure: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index pairs of a group at ``bits`` bits or fewer, the smaller index first, and how many pairs were compared.
+def _met(group: pa.Table, bits: int, sure: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Index pairs of a group at ``bits`` bits or fewer, the smaller index first, and how many pairs were compared, at most AT_ONCE * CHUNK at a time.
 
     sure: items within bits / 2 of the pivot are not compared with each other, but all paired with the first of them.
     """
@@ -166,7 +168,6 @@ def _met(group: pa.Table, bits: int, sure: bool) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(d, kind="stable")
     a, b = order[c[order] == i], order[c[order] == j]
     inner = 2 * d <= bits if sure else np.zeros(len(d), bool)
-    left, right, n = [], [], 0
     first, last = np.searchsorted(d[b], d[a] - bits, "left"), np.searchsorted(d[b], d[a] + bits, "right")
     balls = int(inner[a].sum())  # they come first, in a and in b
     balls_b = int(inner[b].sum())
@@ -180,23 +181,43 @@ def _met(group: pa.Table, bits: int, sure: bool) -> tuple[np.ndarray, np.ndarray
             near = np.bitwise_count(h[rows, None] ^ h[None, others]) <= bits
             if i == j:
                 near &= np.arange(s, s + len(rows))[:, None] < np.arange(t, t + len(others))[None, :]
-            n += near.size
             x, y = np.nonzero(near)
-            left.append(rows[x])
-            right.append(others[y])
+            x, y = rows[x], others[y]
+            yield np.minimum(x, y), np.maximum(x, y), near.size
     ball = np.sort(np.union1d(a[inner[a]], b[inner[b]])) if sure else np.zeros(0, np.int64)
-    left.append(np.full(max(0, len(ball) - 1), ball[0] if len(ball) else 0))
-    right.append(ball[1:])
-    x, y = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
-    return np.minimum(x, y), np.maximum(x, y), n
+    yield np.full(max(0, len(ball) - 1), ball[0] if len(ball) else 0), ball[1:], 0
 
 
-def _joined(items: DataFrame, block: list[str], bits: int, chunk: int, order: str, compare: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str, sure: bool) -> DataFrame:
-    """``compare`` on each group, its rows along ``order``, with the index pairs at ``bits`` bits or fewer (or, sure, enough of them to link all)."""
+def _parts(met: Iterator[tuple[np.ndarray, np.ndarray, int]], part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The index pairs of _met(), those of several steps together until they are ``part``; once at least."""
+    left, right, n = [], [], 0
+    for x, y, _ in met:
+        left.append(x)
+        right.append(y)
+        n += len(x)
+        if n >= part:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, n = [], [], 0
+    none = np.zeros(0, np.int64)
+    yield np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _joined(
+    items: DataFrame, block: list[str], bits: int, chunk: int, order: str, compare: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str, sure: bool,
+    thin: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None,
+) -> DataFrame:
+    """``compare`` on each group, its rows along ``order``, with the index pairs at ``bits`` bits or fewer (or, sure, enough of them to link all).
+
+    thin: of a group's size and some index pairs those that ``compare`` needs, fewer than rows, so that a group never holds all its pairs.
+    """
 
     def one(group: pa.Table) -> pa.Table:
         group = group.sort_by([(order, "ascending"), ("id", "ascending")])
-        x, y, _ = _met(group, bits, sure)
+        x = y = np.zeros(0, np.int64)
+        for more_x, more_y in _parts(_met(group, bits, sure), PART):
+            x, y = np.concatenate([x, more_x]), np.concatenate([y, more_y])
+            if thin:
+                x, y = thin(len(group), x, y)
         return compare(group, x, y)
 
     return _dealt(items, block, bits, chunk, sure).groupBy("_block", "_cell", "_i", "_j").applyInArrow(one, schema)
@@ -206,20 +227,26 @@ def compared(items: DataFrame, bits: int, block: list[str] = [], chunk: int = CH
     """How many pairs of items (id, h, block columns) a join compares."""
 
     def one(group: pa.Table) -> pa.Table:
-        return pa.table({"n": [_met(group.sort_by("id"), bits, sure)[2]]})
+        return pa.table({"n": [sum(n for *_, n in _met(group.sort_by("id"), bits, sure))]})
 
     found = _dealt(items.select("id", "h", *block), block, bits, chunk, sure).groupBy("_block", "_cell", "_i", "_j").applyInArrow(one, "n bigint")
     return found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def pairs(items: DataFrame, bits: int, block: list[str] = [], chunk: int = CHUNK) -> DataFrame:  # noqa: B006
-    """(a, b, distance) of items (id, h, block columns) at ``bits`` bits or fewer, a < b, nulls of a block equal."""
+    """(a, b, distance) of items (id, h, block columns) at ``bits`` bits or fewer, a < b, nulls of a block equal.
 
-    def found(group: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+    A group hands on its pairs part by part: one of copies has CHUNK * CHUNK of them.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).sort_by("id")
         ids, h = group.column("id").to_numpy(), group.column("h").to_numpy().view(np.uint64)
-        return pa.table({"a": ids[x], "b": ids[y], "distance": np.bitwise_count(h[x] ^ h[y]).astype(np.int32)})
+        for x, y in _parts(_met(group, bits, False), PART):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(np.bitwise_count(h[x] ^ h[y]).astype(np.int32))], ["a", "b", "distance"])
 
-    return _joined(items.select("id", "h", *block), block, bits, chunk, "id", found, "a bigint, b bigint, distance int", False)
+    groups = _dealt(items.select("id", "h", *block), block, bits, chunk).groupBy("_block", "_cell", "_i", "_j")
+    return groups.applyInArrow(found, "a bigint, b bigint, distance int")
 
 
 def clusters(items: DataFrame, bits: int, block: list[str] = [], chunk: int = CHUNK) -> DataFrame:  # noqa: B006
@@ -228,15 +255,18 @@ def clusters(items: DataFrame, bits: int, block: list[str] = [], chunk: int = CH
     Items of one fingerprint are one item for the search. Jobs run when this is called.
     """
 
+    def rooted(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        root = forest(n, x, y)
+        linked = np.flatnonzero(root != np.arange(n))
+        return root[linked], linked
+
     def found(group: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
         ids = group.column("id").to_numpy()
-        root = forest(len(ids), x, y)
-        linked = root != np.arange(len(ids))
-        return pa.table({"a": ids[linked], "b": ids[root[linked]]})
+        return pa.table({"a": ids[y], "b": ids[x]})
 
     known = items.where("h is not null").select("id", "h", *block)
     first = cut(known.groupBy("h", *block).agg(F.min("id").alias("id")))
-    links = _joined(first.select("id", "h", *block), block, bits, chunk, "id", found, "a bigint, b bigint", True)
+    links = _joined(first.select("id", "h", *block), block, bits, chunk, "id", found, "a bigint, b bigint", True, rooted)
     same = F.lit(True)
     for c in ("h", *block):
         same = same & F.col(f"k.{c}").eqNullSafe(F.col(f"f.{c}"))
@@ -248,16 +278,22 @@ def clusters(items: DataFrame, bits: int, block: list[str] = [], chunk: int = CH
 def shadowed(items: DataFrame, bits: int, chunk: int = CHUNK) -> DataFrame:
     """(id) of items (id, h, rank) with an item of smaller rank fewer than ``bits`` bits away. Jobs run when this is called."""
 
+    def first_met(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least = np.arange(n)
+        np.minimum.at(least, y, x)
+        late = np.flatnonzero(least != np.arange(n))
+        return least[late], late  # rows come by rank: if the first isn't of smaller rank, none is
+
     def found(group: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
         ids, rank = group.column("id").to_numpy(), group.column("rank").to_numpy()
-        return pa.table({"id": ids[np.unique(y[rank[x] < rank[y]])]})  # rows come by rank
+        return pa.table({"id": ids[y[rank[x] < rank[y]]]})
 
     known = items.where("h is not null").select("id", "h", "rank")
     if bits < 1:
         return known.select("id").limit(0)
     first = cut(known.groupBy("h").agg(F.min("rank").alias("least"), F.min_by("id", "rank").alias("id")))
     copies = known.join(first.select("h", "least"), "h").where("rank > least").select("id")
-    late = _joined(first.select("id", "h", F.col("least").alias("rank")), [], bits - 1, chunk, "rank", found, "id bigint", True)
+    late = _joined(first.select("id", "h", F.col("least").alias("rank")), [], bits - 1, chunk, "rank", found, "id bigint", True, first_met)
     # What shadows a fingerprint's first item shadows all its items.
     others = known.join(first.select("h", F.col("id").alias("_first")), "h").join(late.select(F.col("id").alias("_first")).distinct(), "_first").select("id")
     return copies.union(others).distinct()

@@ -124,6 +124,46 @@ def test_groups_of_one_cell_are_spread_over_tasks(spark, monkeypatch):
     assert {(r["b"], r["a"]) for r in close.pairs(items, 20, ["b"], 50).collect()} == set(plain_near(rows, 20))
 
 
+def test_a_group_of_copies_hands_on_its_pairs_in_parts(monkeypatch):
+    """Two chunks of copies are all pairs of both; the task that compares them holds a part of these at a time."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Groups:
+        """Stands for the items and for their groups; gives the function that a task runs on a group."""
+
+        select = groupBy = lambda self, *columns: self
+        applyInArrow = lambda self, function, schema: function
+
+    monkeypatch.setattr(close, "_dealt", lambda *_: Groups())
+    run, n = close.pairs(Groups(), 4), 1500
+    same = {c: np.full(2 * n, v, np.int32) for c, v in (("_d", 0), ("_i", 0), ("_j", 1))}
+    group = pa.table({"id": np.arange(2 * n), "h": np.full(2 * n, 9), "_c": np.repeat([0, 1], n).astype(np.int32)} | same)
+    tracemalloc.start()
+    sizes = [len(part) for part in run(iter(group.to_batches()))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == n * n and max(sizes) < n * n / 4
+    assert peak < 40e6  # all pairs at once: 20 bytes each as they are handed on, 45 MB, and several times that on the way
+
+
+@pytest.mark.parametrize("part", [1, 40])
+def test_parts_of_pairs_equal_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(close, "PART", part, raising=False)
+    monkeypatch.setattr(close, "AT_ONCE", 3)
+    rows = clustered(150, 12, 4, 5, hot=60)
+    items = spark.createDataFrame([(*r, k * 7 % 40) for k, r in enumerate(rows)], "id bigint, h bigint, b int, rank int").repartition(3)
+    for chunk in (30, 4096):
+        want = plain_near(rows, 5)
+        assert sorted((r["b"], r["a"]) for r in close.pairs(items, 5, chunk=chunk).collect()) == sorted(want)
+        found = components(want)
+        assert {r["id"]: r["cluster_id"] for r in close.clusters(items, 5, chunk=chunk).collect()} == {k: found.get(k, k) for k, *_ in rows}
+        late = {max(p, key=lambda k: k * 7 % 40) for p in plain_near(rows, 4) if (p[0] - p[1]) % 40}
+        assert {r["id"] for r in close.shadowed(items, 5, chunk).collect()} == late
+
+
 def test_order_statistic_and_rank(spark):
     values = [random.Random(k).choice([0.0, 1.5, random.Random(k).random()]) for k in range(500)]
     df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v double, id int").repartition(5)
